@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat
+from palimpsest.llm import chat, exact_dedup, mixing, topk
 
-QUERIES = {"op8_chat_formatting": chat.op8_chat_formatting}
-ORACLES = {"op8_chat_formatting": chat.SQL}
+QUERIES = {
+    "op2_exact_topk": topk.op2_exact_topk,
+    "op3_mixing": mixing.op3_mixing,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+}
+ORACLES = {
+    "op2_exact_topk": topk.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op8_chat_formatting": chat.SQL,
+}
