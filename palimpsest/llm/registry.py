@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact_dedup, mixing, topk
+from palimpsest.llm import chat, exact_dedup, langid, mixing, packing, topk
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_mixing": mixing.op3_mixing,
+    "op4_langid": langid.op4_langid,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_exact_topk": topk.SQL,
