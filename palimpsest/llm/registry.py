@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact_dedup, langid, mixing, packing, topk
+from palimpsest.llm import chat, exact_dedup, langid, mixing, near_join, packing, topk
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_ngram_join": near_join.op9_ngram_join,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
