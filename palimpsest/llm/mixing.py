@@ -135,9 +135,14 @@ def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: flo
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"), "h")
 
 
+def positions(plan: DataFrame) -> DataFrame:
+    """The taken copies of a plan: doc_id, source, size, h, copy, position."""
+    return plan.select("doc_id", "source", "size", "h", F.posexplode("positions").alias("copy", "position"))
+
+
 def curriculum(plan: DataFrame) -> DataFrame:
-    """The taken copies of a plan, sorted in ranges by training position: doc_id, source, size, copy, position."""
-    one = plan.select("doc_id", "source", "size", "h", F.posexplode("positions").alias("copy", "position"))
+    """positions() sorted in ranges by training position."""
+    one = positions(plan)
     order = ["position", "h", "doc_id", "copy"]
     n = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return one.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h")
