@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, exact_dedup, langid, mixing, near_join, packing, topk
+from palimpsest.llm import chat, exact_dedup, html_text, langid, mixing, near_join, packing, pii, quality, topk
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_mixing": mixing.op3_mixing,
     "op4_langid": langid.op4_langid,
+    "op5_pii": pii.op5_pii,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_ngram_join": near_join.op9_ngram_join,
     "op10_packing": packing.op10_packing,
