@@ -217,7 +217,7 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
         return element("ul", y, "".join(element("li", y, f'<a href="/x">{words(1, 3)}</a>') for _ in range(n)))
 
     def paragraph(y: int) -> str:
-        s = sentences(1, pick_((1, 1, 3, 8)))
+        s = sentences(1, pick_((1, 1, 3, 8))) if rng.random() < 0.85 else "".join(pick_("aeiounrstlm1") for _ in range(rng.randint(1, 4)))
         if rng.random() < 0.2:
             s = f"<b>{s}" + pick_(("</b>", "<br>", ""))
         elif rng.random() < 0.2:
@@ -240,7 +240,9 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
             return element(pick_(("div", "div", "aside", "section", "p")), 0, text, pick_(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad banner", "adsense")))
         if kind == "form":
             return element("form", 0, element("label", 0, words(1, 3)) + "<input type=text>" + pick_(("", element("p", 0, sentences(1, 2)))) + f"<button>{words(1, 2)}</button>", pick_(("", "search", "login", "subscribe", "contact")))
-        one = lambda: element(pick_(("div", "li", "article", "p")), 0, pick_(("", element("span", 0, words(1, 2)))) + text, pick_(("comment", "comment body", "reply", "")))
+        one = lambda: element(*pick_((("div", 0), ("li", 0), ("p", 0))), pick_(("", element("span", 0, words(1, 2)))) + text, pick_(("comment", "comment body", "reply", "")))
+        if rng.random() < 0.25:
+            one = lambda: element("article", 0, text, pick_(("comment", "comment body", "user comment")))
         return element(pick_(("section", "div", "ol", "aside")), 0, pick_(("", element(pick_(("h2", "h3")), 0, words(1, 3)))) + "".join(one() for _ in range(rng.randint(1, 4))), pick_(("comments", "comment list", "reader comments", "responses", "discussion", "disqus thread")))
 
     def article() -> str:
