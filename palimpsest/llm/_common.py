@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 #: Most rows of a table that may be broadcast; the count is checked first.
 BROADCAST_ROWS = 200_000
 
-_written: list = []
+#: Rows that go to a Python worker at once; texts may be long.
+BATCH_ROWS = 1000
+
+_written: list[str] = []
+_exits: list = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,21 +49,36 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(discard, spark)
+    if not _exits:
+        _exits.append(atexit.register(lambda: delete(spark, list(_written))))
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.palimpsest_path = path
+    return out
+
 
+def written() -> set[str]:
+    """The tables that materialize() has written and nobody has deleted."""
+    return set(_written)
 
-def discard(spark: SparkSession) -> None:
-    """Remove every table that materialize() has written so far."""
+
+def delete(spark: SparkSession, paths) -> None:
+    """Remove tables of materialize(); whatever still reads them must have run."""
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _written:
+            _written.remove(p)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, [t.palimpsest_path])
 
 
 def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
@@ -95,7 +114,13 @@ def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns can't clash with an operator's own."""
+    """Only the named columns, so that further columns can't clash with an operator's own.
+
+    It also sees to it that the session sends rows to Python workers in batches of at most BATCH_ROWS.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 

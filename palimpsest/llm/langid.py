@@ -90,7 +90,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     seen = np.empty(1 << BITS, dtype=np.int64)
     docs = 0
     for batch in batches:
-        for _, texts in slices(batch, "text", 1_000_000):
+        for _, texts in slices(batch, "text", 300_000):
             h, bounds = grams(texts)
             docs += len(texts)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -105,7 +105,7 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, texts in slices(batch, "text", 1_000_000):
+        for start, texts in slices(batch, "text", 300_000):
             h, bounds = grams(texts)
             ids, tfs = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -225,7 +225,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | Non
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch, "text", 1_000_000):
+            for start, texts in slices(batch, "text", 300_000):
                 langs, scores = model.predict(texts) if model else (["und"] * len(texts), [0.0] * len(texts))
                 keep = [batch.column(c).slice(start, len(texts)) for c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

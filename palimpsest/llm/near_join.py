@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import BROADCAST_ROWS, load, materialize, pick, slices
+from palimpsest.llm._common import BROADCAST_ROWS, load, materialize, pick, release, slices
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 HASHES, TREES, DEEPEST = 128, 64, 16
 #: N-gram hashes that one verifying task takes about.
 TASK_GRAMS = 1_000_000
+#: Bytes of text, and rows of labels, that a worker holds as arrays at a time.
+TEXT_BYTES, BUCKET_ROWS = 400_000, 2000
 
 _RNG = np.random.default_rng(20240607)
 _BYTES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -75,7 +77,7 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return 1
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, _BASE_INVERSE, dtype=np.uint64)
     up[0] = down[0] = 1
@@ -87,7 +89,7 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     data = b" ".join(t or b"" for t in texts) + b" "
     b = np.frombuffer(data, dtype=np.uint8)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
-    up, down = _powers(1 << max(10, int(len(b)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(b)).bit_length()))
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
     word = ~blank
@@ -115,7 +117,7 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[byte
             w = np.where(first + k < stop, w, np.uint64(0))
         g += w * _PLACES[k]
     place = np.arange(len(h)) - np.repeat(at[:-1], n)
-    up, _ = _powers(1 << max(10, int(len(h) + 1).bit_length()))
+    up, _ = _powers(1 << max(19, int(len(h) + 1).bit_length()))
     both = []
     for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xDA942042E4DD58B5)):
         c = np.zeros(len(h) + 1, dtype=np.uint64)
@@ -148,7 +150,7 @@ def labels(g: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     depth = prefix_length()
     for batch in batches:
-        for start, texts in slices(batch, "text", 2_000_000):
+        for start, texts in slices(batch, "text", TEXT_BYTES):
             g, bounds, classes = ngrams(texts)
             keys = labels(g, bounds, depth).view(np.int64)
             n = np.diff(bounds)
@@ -158,19 +160,21 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid), one for each key of a batch, and edges (cid, to) inside the batch as rows without a key."""
+    """Rows (key, cid): one for each key of some rows. Rows that share a key there are linked to the
+    least of them under a key of that pair alone, so a crowded key leaves a task once."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cid = batch.column("cid").to_numpy()
-        order = np.argsort(cid)
-        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype="<i8").reshape(len(cid), -1)[order]
-        cid = np.repeat(cid[order], keys.shape[1])
-        u, first, inverse = np.unique(keys.reshape(-1), return_index=True, return_inverse=True)
-        to = cid[first][inverse]
-        inner = np.unique(np.stack([cid, to], axis=1)[cid != to], axis=0) if (cid != to).any() else np.zeros((0, 2), dtype=np.int64)
-        key = pa.concat_arrays([pa.array(u), pa.nulls(len(inner), pa.int64())])
-        yield pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([cid[first], inner[:, 0]])), pa.array(np.concatenate([cid[first], inner[:, 1]]))], names=["key", "cid", "to"])
+        for start in range(0, batch.num_rows, BUCKET_ROWS):
+            part = batch.slice(start, BUCKET_ROWS)
+            cid = part.column("cid").to_numpy()
+            order = np.argsort(cid)
+            keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype="<i8").reshape(len(cid), -1)[order]
+            cid = np.repeat(cid[order], keys.shape[1])
+            u, first, inverse = np.unique(keys.reshape(-1), return_index=True, return_inverse=True)
+            to = cid[first][inverse]
+            more = np.flatnonzero(cid != to)
+            pairs = np.unique(np.stack([cid[more], to[more]], axis=1), axis=0)
+            own = _mix(_mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, own, own])), pa.array(np.concatenate([cid[first], pairs[:, 0], pairs[:, 1]]))], names=["key", "cid"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = low.select("a", F.col("m").alias("b")).union(low.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small)
         same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0
+        release(edges)
         edges = small
         if same:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
@@ -212,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, texts in slices(batch, "text"):
+        for _, texts in slices(batch, "text", TEXT_BYTES):
             g, bounds, classes = ngrams(texts)
             held = [np.unique(g[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(held, pa.binary())], names=["class", "grams"])
@@ -311,14 +316,16 @@ def near_links(documents: DataFrame) -> DataFrame:
     docs = pick(documents, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.mapInArrow(_classes, f"doc_id {kind}, class binary, grams long, keys binary"))
-    texts = rows.groupBy("class").agg(F.min("doc_id").alias("text_id"), F.first("grams").alias("grams"), F.first("keys").alias("keys"))
-    texts = materialize(texts.withColumn("cid", F.monotonically_increasing_id()))
-    dealt = texts.where(F.col("keys").isNotNull()).select("cid", "keys").mapInArrow(_buckets, "key long, cid long, to long")
-    dealt = materialize(dealt)
-    shared = dealt.where("key is not null").withColumn("m", F.min("cid").over(Window.partitionBy("key"))).where("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b"))
-    edges = dealt.where("key is null").select(F.col("cid").alias("a"), F.col("to").alias("b")).union(shared)
-    groups = components(edges).withColumnRenamed("id", "cid").join(texts.select("cid", "class", "grams", "text_id"), "cid")
+    full = rows.groupBy("class").agg(F.min("doc_id").alias("text_id"), F.first("grams").alias("grams"), F.first("keys").alias("keys"))
+    full = materialize(full.withColumn("cid", F.monotonically_increasing_id()))
+    member = materialize(rows.select("doc_id", "class"))
+    release(rows)
+    texts = materialize(full.drop("keys"))
+    dealt = full.where(F.col("keys").isNotNull()).select("cid", "keys").mapInArrow(_buckets, "key long, cid long")
+    edges = dealt.withColumn("m", F.min("cid").over(Window.partitionBy("key"))).where("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b"))
+    groups = components(edges).withColumnRenamed("id", "cid").join(texts, "cid")
     groups = materialize(groups)
+    release(full)
     wanted = groups.select("text_id").distinct()
     wanted = F.broadcast(wanted) if groups.count() <= BROADCAST_ROWS else wanted
     again = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["text_id"]), "left_semi").select("text")
@@ -326,13 +333,15 @@ def near_links(documents: DataFrame) -> DataFrame:
     sets = materialize(sets.join(groups.select("class", "cid"), "class").select("cid", "grams"))
     tasks = _tasks(groups.select("cid", "component", "grams")).join(sets, "cid")
     found = materialize(tasks.groupBy("task").applyInArrow(_verify, "cid long, links long, to long"))
+    release(groups, sets)
     links = found.groupBy("cid").agg(F.sum("links").alias("n_links"))
     merged = components(found.select(F.col("cid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "cid")
     merged = merged.join(texts.select("cid", "text_id"), "cid")
     least = merged.groupBy("component").agg(F.min("text_id").alias("class_id"))
     ids = merged.select("cid", "component").join(least, "component").select("cid", "class_id").join(links, "cid", "left")
     known = materialize(texts.select("cid", "class", "text_id").join(ids, "cid", "left").select("class", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return rows.select("doc_id", "class").join(known, "class").select("doc_id", "class_id", "text_id", "n_links")
+    release(texts, found)
+    return member.join(known, "class").select("doc_id", "class_id", "text_id", "n_links")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unl
         return 1.0 if good else 0.0 if bad else 0.5
     rate = F.when(F.col("quality").isNull(), F.lit(min(1.0, unlabelled / max(1, rest)))).otherwise(F.lit(min(1.0, labelled / (good + bad))))
     sample = ids.where(F.col("key") < rate * 2.0**31)
-    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    docs = pick(documents, "doc_id", "text", "source", "lang", "n_chars").select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     rows = docs.join(F.broadcast(sample), "doc_id").select("key", "quality", "text", "source", "lang", "n_chars")  # about labelled + unlabelled rows
     got = sorted((tuple(r) for r in rows.mapInArrow(_views, "key long, quality int, xt binary, xm binary").collect()), key=lambda r: (r[0], bytes(r[2])))
     xt = np.stack([np.frombuffer(r[2], dtype="<f4") for r in got]).astype(np.float64)
@@ -205,7 +205,7 @@ def _score(model: Model | float):
 
 def score(documents: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
     """doc_id, text_score, meta_score, score (of good quality) and keep (score at the threshold or above)."""
-    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    docs = pick(documents, "doc_id", "text", "source", "lang", "n_chars").select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, text_score double, meta_score double, score double"
     return docs.mapInArrow(_score(model), schema).withColumn("keep", F.col("score") >= threshold)
 

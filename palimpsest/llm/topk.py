@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import load, materialize, pick
+from palimpsest.llm._common import load, materialize, pick, release
 
 BINS = 256
 BLOCK = 2048
