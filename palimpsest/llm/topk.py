@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import load, materialize, pick, release
+from palimpsest.llm._common import load, materialize, pick
 
 BINS = 256
 BLOCK = 2048
@@ -63,26 +63,31 @@ def quantise(embeddings: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def _pack(columns: list[str], v_type: str = "binary"):
-    """Pack rows into blocks: each column as the bytes of an int64 array, the vectors as one matrix."""
+def _block(part: pa.RecordBatch | pa.Table, columns: list[str]) -> list[pa.Array]:
+    """One row: each column as the bytes of an int64 array, and the vectors as one matrix."""
+    vectors = [np.frombuffer(x, dtype="<i8") for x in part.column("v").to_pylist()]
+    d = max((len(x) for x in vectors), default=0)
+    m = np.zeros((len(vectors), d), dtype="<i8")
+    for i, x in enumerate(vectors):
+        m[i, : len(x)] = x
+    most = int(np.abs(m.astype(np.float64)).max()) if m.size else 0
+    kind = "<i2" if most < 2**15 else "<i8"
+    arrays = [pa.array([np.asarray(part.column(c).to_pylist(), dtype="<i8").tobytes()], pa.binary()) for c in columns]
+    return [*arrays, pa.array([d], pa.int32()), pa.array([kind]), pa.array([m.astype(kind).tobytes()], pa.binary())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                vectors = [np.frombuffer(x, dtype="<i8") for x in part.column("v").to_pylist()]
-                d = max((len(x) for x in vectors), default=0)
-                m = np.zeros((len(vectors), d), dtype="<i8")
-                for i, x in enumerate(vectors):
-                    m[i, : len(x)] = x
-                most = int(np.abs(m.astype(np.float64)).max()) if m.size else 0
-                kind = "<i2" if most < 2**15 else "<i8"
-                arrays = [pa.array([np.asarray(part.column(c).to_numpy(zero_copy_only=False), dtype="<i8").tobytes()], pa.binary()) for c in columns]
-                arrays += [pa.array([d], pa.int32()), pa.array([kind]), pa.array([m.astype(kind).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "d", "kind", "m"])
-
-    schema = ", ".join(f"{c} binary" for c in columns) + ", d int, kind string, m binary"
-    return run, schema
+
+PACKED = "d int, kind string, m binary"
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            yield pa.RecordBatch.from_arrays(_block(batch.slice(at, BLOCK), ["uid", "vec_id"]), names=["uid", "vec_id", "d", "kind", "m"])
+
+
+def _pack_group(table: pa.Table) -> pa.Table:
+    names = ["qb", "uid", "vec_id", "lo", "hi", "d", "kind", "m"]
+    return pa.table([table.column("qb").combine_chunks()[:1], *_block(table, ["uid", "vec_id", "lo", "hi"])], names=names)
 
 
 def _matrix(row: dict, side: str) -> np.ndarray:
@@ -147,17 +152,13 @@ def _meet(k: int, last: bool):
 
 def _pairs(queries: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """Every query block beside every candidate block, by an equi-join on (query block, slice)."""
-    n = queries.count()
-    packed_run, schema = _pack(["uid", "vec_id", "lo", "hi"])
-    qb = queries.repartition(max(1, -(-n // BLOCK)), "uid").mapInArrow(packed_run, schema)
-    qb = qb.select(F.col("uid").alias("quid"), F.col("vec_id").alias("qvec_id"), "lo", "hi", F.col("d").alias("qd"), F.col("kind").alias("qkind"), F.col("m").alias("qm"))
-    qb = materialize(qb.withColumn("qb", F.monotonically_increasing_id()))
+    n = max(1, -(-queries.count() // BLOCK))
+    qb = queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")).groupBy("qb")
+    qb = qb.applyInArrow(_pack_group, "qb int, uid binary, vec_id binary, lo binary, hi binary, " + PACKED)
+    qb = qb.select("qb", F.col("uid").alias("quid"), F.col("vec_id").alias("qvec_id"), "lo", "hi", F.col("d").alias("qd"), F.col("kind").alias("qkind"), F.col("m").alias("qm"))
     parts = max(1, -(-n_blocks // 2))
     qb = qb.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    names = qb.select("qb").distinct()
-    cb = blocks.withColumn("slice", F.pmod(F.xxhash64("cb"), F.lit(parts)).cast("int"))
-    # the list of query blocks is one short row for every BLOCK queries; each candidate block goes to each
-    cb = cb.join(names.agg(F.collect_list("qb").alias("all")), how="cross").withColumn("qb", F.explode("all")).drop("all")
+    cb = blocks.withColumn("slice", F.pmod(F.xxhash64("cb"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return cb.join(qb.hint("shuffle_hash"), ["qb", "slice"])
 
 
@@ -165,8 +166,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k greatest integer inner products of each query (vec_id divisible by ``every``):
     query_id, rank (int from 1), vec_id, score (long)."""
     rows = quantise(pick(embeddings, "vec_id", "embedding"))
-    run, schema = _pack(["uid", "vec_id"])
-    blocks = rows.mapInArrow(run, schema)
+    blocks = rows.select("uid", "vec_id", "v").mapInArrow(_pack_rows, "uid binary, vec_id binary, " + PACKED)
     blocks = blocks.select(F.col("uid").alias("cuid"), F.col("vec_id").alias("cvec_id"), F.col("d").alias("cd"), F.col("kind").alias("ckind"), F.col("m").alias("cm"))
     blocks = materialize(blocks.withColumn("cb", F.monotonically_increasing_id()))
     n_rows, n_blocks = rows.count(), blocks.count()
