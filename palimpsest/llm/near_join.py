@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import BROADCAST_ROWS, load, materialize, pick, release, slices
+from palimpsest.llm._common import BROADCAST_ROWS, join_table, load, materialize, pick, release, slices
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
 HASHES, TREES, DEEPEST = 128, 64, 16
@@ -196,16 +196,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the least b of each a; the centre of a large star may hold most of the edges."""
+    return join_table(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to rows id, component (least id): large-star and small-star in turn until nothing changes."""
     edges = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a <> b").distinct()
         # now every edge points down; link all lower neighbours of a node, and the node, to the least of them
-        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        low = _with_least(large)
         small = low.select("a", F.col("m").alias("b")).union(low.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small)
         same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0
@@ -288,26 +292,31 @@ def _verify(table: pa.Table) -> pa.Table:
 def _tasks(groups: DataFrame) -> DataFrame:
     """Rows cid, task, part of candidate groups (cid, component, grams).
 
-    Small groups share tasks by hash. A large group's members are cut into blocks by set
-    size; block i meets block j in task (i, j) unless all of j's sets are too large for i's.
+    Small groups share tasks by hash. A large group's members are cut into blocks: by class of
+    set size, and within one by hash. Two blocks meet in a task of their own unless all sets of
+    one are too large for the other's. Sizes come from combining aggregates, so no task sees a
+    whole large group.
     """
-    sizes = groups.groupBy("component").agg(F.sum("grams").alias("all"))
+    sizes = materialize(groups.groupBy("component").agg(F.sum("grams").alias("all")))
     total = sizes.agg(F.sum(F.when(F.col("all") <= TASK_GRAMS, F.col("all")))).first()[0] or 0
     n = max(1, -(-total // TASK_GRAMS))
-    w = Window.partitionBy("component")
-    rows = groups.withColumn("all", F.sum("grams").over(w))
-    small = rows.where(F.col("all") <= TASK_GRAMS).select("cid", F.pmod(F.xxhash64("component"), F.lit(n)).cast("string").alias("task"), F.lit(0).alias("part"))
-    large = rows.where(F.col("all") > TASK_GRAMS)
-    upto = F.sum("grams").over(w.orderBy("grams", "cid"))
-    large = large.withColumn("block", F.floor((upto - 1) / (TASK_GRAMS // 2)).cast("int"))
-    edge = large.groupBy("component", "block").agg(F.min("grams").alias("least"), F.max("grams").alias("most"))
-    other = edge.select(F.col("component").alias("c2"), F.col("block").alias("j"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    meets = edge.join(other, (F.col("component") == F.col("c2")) & (F.col("block") <= F.col("j")) & (F.col("least2") * THRESHOLD <= F.col("most")))
-    name = F.concat_ws(":", "component", "block", "j")
-    sides = meets.select("component", "block", name.alias("task"), F.when(F.col("block") == F.col("j"), 0).otherwise(1).alias("part")).union(
-        meets.where("block < j").select("component", F.col("j").alias("block"), name.alias("task"), F.lit(2).alias("part"))
+    rows = join_table(groups, sizes.where(F.col("all") > TASK_GRAMS), ["component"], "left")
+    small = rows.where(F.col("all").isNull()).select("cid", F.pmod(F.xxhash64("component"), F.lit(n)).cast("string").alias("task"), F.lit(0).alias("part"))
+    large = rows.where(F.col("all").isNotNull()).withColumn("size", F.floor(F.ln("grams") / F.lit(float(np.log(1.1)))).cast("int"))
+    classes = materialize(large.groupBy("component", "size").agg(F.sum("grams").alias("sum"), F.min("grams").alias("least"), F.max("grams").alias("most")))
+    classes = classes.withColumn("n", F.ceil(F.col("sum") / (TASK_GRAMS // 2)).cast("int"))
+    large = join_table(large.select("cid", "component", "size"), classes.select("component", "size", "n"), ["component", "size"])
+    large = large.withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int"))
+    edge = classes.select("component", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("sub"), "least", "most")
+    other = edge.select(F.col("component").alias("c2"), F.col("size").alias("size2"), F.col("sub").alias("sub2"), F.col("least").alias("least2"))
+    before = F.struct("size", "sub") <= F.struct("size2", "sub2")
+    meets = edge.join(other, (F.col("component") == F.col("c2")) & before & (F.col("least2") * THRESHOLD <= F.col("most")))
+    name = F.concat_ws(":", "component", "size", "sub", "size2", "sub2")
+    itself = (F.col("size") == F.col("size2")) & (F.col("sub") == F.col("sub2"))
+    sides = meets.select("component", "size", "sub", name.alias("task"), F.when(itself, 0).otherwise(1).alias("part")).union(
+        meets.where(~itself).select("component", F.col("size2").alias("size"), F.col("sub2").alias("sub"), name.alias("task"), F.lit(2).alias("part"))
     )
-    return small.unionByName(large.join(sides, ["component", "block"]).select("cid", "task", "part"))
+    return small.unionByName(large.join(sides, ["component", "size", "sub"]).select("cid", "task", "part"))
 
 
 def near_links(documents: DataFrame) -> DataFrame:
