@@ -224,7 +224,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batch, "text", TEXT_BYTES):
             g, bounds, classes = ngrams(texts)
             held = [np.unique(g[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(held, pa.binary())], names=["class", "grams"])
+            size = [len(x) // 8 for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(held, pa.binary()), pa.array(size, pa.int64())], names=["class", "grams", "size"])
 
 
 def link(sets: list[np.ndarray], left: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +279,8 @@ def _verify(table: pa.Table) -> pa.Table:
     ids, links, to = [], [], []
     whole = part == 0
     for at in (np.flatnonzero(whole), np.flatnonzero(~whole)):
-        if len(at) > 1:
+        # where a block has no members, the other's pairs are those of a task of its own
+        if len(at) > 1 and (whole[at[0]] or len(set(part[at])) > 1):
             at = at[np.argsort(cid[at])]
             n, r, _ = link([sets[i] for i in at], np.ones(len(at), dtype=bool) if whole[at[0]] else part[at] == 1)
             some = np.flatnonzero((n > 0) | (r != np.arange(len(at))))
@@ -290,7 +292,7 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _tasks(groups: DataFrame) -> DataFrame:
-    """Rows cid, task, part of candidate groups (cid, component, grams).
+    """Rows cid, task, part of candidate groups (cid, component, grams: the number of distinct n-grams).
 
     Small groups share tasks by hash. A large group's members are cut into blocks: by class of
     set size, and within one by hash. Two blocks meet in a task of their own unless all sets of
@@ -338,9 +340,9 @@ def near_links(documents: DataFrame) -> DataFrame:
     wanted = groups.select("text_id").distinct()
     wanted = F.broadcast(wanted) if groups.count() <= BROADCAST_ROWS else wanted
     again = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["text_id"]), "left_semi").select("text")
-    sets = again.mapInArrow(_sets, "class binary, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets.join(groups.select("class", "cid"), "class").select("cid", "grams"))
-    tasks = _tasks(groups.select("cid", "component", "grams")).join(sets, "cid")
+    sets = again.mapInArrow(_sets, "class binary, grams binary, size long").groupBy("class").agg(F.first("grams").alias("grams"), F.first("size").alias("size"))
+    sets = materialize(sets.join(groups.select("class", "cid", "component"), "class").select("cid", "component", "size", "grams"))
+    tasks = _tasks(sets.select("cid", "component", F.col("size").alias("grams"))).join(sets.select("cid", "grams"), "cid")
     found = materialize(tasks.groupBy("task").applyInArrow(_verify, "cid long, links long, to long"))
     release(groups, sets)
     links = found.groupBy("cid").agg(F.sum("links").alias("n_links"))

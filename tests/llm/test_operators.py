@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,30 @@ def test_near_blocks_of_a_large_group(spark, monkeypatch):
         assert all(got[d] == (cls, links[i]) for d in texts[k])
 
 
+def test_near_large_group_with_repeated_passages(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(24):
+        w = base[:]
+        for _ in range(d % 4):
+            w[rng.integers(300)] = f"v{rng.integers(1000)}"
+        rows.append((d, " ".join(w + w[:150] * (d % 3)), "en", "s", 1))
+    monkeypatch.setattr(near_join, "TASK_GRAMS", 6000)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_links(frame(spark, rows)).collect()}
+    keys, texts, links, group = brute_links(rows)
+    for i, k in enumerate(keys):
+        cls = min(x for j in range(len(keys)) if group[j] == group[i] for x in texts[keys[j]])
+        assert all(got[d] == (cls, links[i]) for d in texts[k])
+
+
+def test_near_task_with_one_empty_block():
+    grams = [np.arange(10, dtype="<u8").tobytes()] * 2
+    for part, n in ((0, 1), (1, 0), (2, 0)):
+        got = near_join._verify(pa.table({"cid": pa.array([1, 2], pa.int64()), "grams": grams, "part": pa.array([part] * 2, pa.int32())}))
+        assert sum(got.column("links").to_pylist()) == 2 * n
+
+
 def test_topk_with_ties_and_odd_vectors(spark):
     rows = [(i, [float((i * 7) % 5) / 16, 0.25, -1.0 / (1 + i % 3)]) for i in range(120)]
     rows += [(200, None), (201, [1.0, None, 0.5]), (202, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (250, []), (3, rows[3][1]), (300, [1e6, -1e6, 3.0])]
