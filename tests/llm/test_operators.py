@@ -238,6 +238,24 @@ def test_quality(spark, docs):
     assert len(quality.score(docs, quality.train(docs, labels.limit(0))).collect()) == len(SOME)
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    rows = [(i, "A fine sentence about things, with some words." if i % 3 else "BAD!! BAD!! %%% $$$ BAD!!", "en", f"s{i % 5}", 30) for i in range(9000)]
+    table = quality.views(frame(spark, rows))
+    rest = quality.Spread(table.where("doc_id >= 300").withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2**31))))
+    got = table.where("doc_id < 300").orderBy("doc_id").toArrow().combine_chunks().to_batches()
+    xt, xm = (np.concatenate(x) for x in zip(*map(quality.dense, got)))
+    y, held = np.array([int(i % 3 > 0) for i in range(300)]), np.arange(300) % 4 == 0
+    one = quality.fit(xt, xm, y, held, rest)
+    assert len(rest) == 8700
+    # the text is sure of all: 5% of those still open in each of the rounds
+    want = 8700 * (1 - 0.95**quality.ROUNDS)
+    assert abs(sum(t.where("y1 >= 0").count() for t in rest.chosen) - want) < 0.1 * want
+    every = rest.table.toArrow().combine_chunks().to_batches()
+    rx = [np.concatenate(x) for x in zip(*map(quality.dense, every))]
+    two = quality.fit(xt, xm, y, held, quality.Held(*rx, np.concatenate([b.column("key").to_numpy() for b in every])))
+    assert np.allclose(one.text, two.text, atol=1e-4) and np.allclose(one.meta, two.meta, atol=1e-4)
+
+
 def test_packing(spark, docs):
     pieces = packing.tokenise(docs, with_ids=True)
     got = packing.pack(pieces)
