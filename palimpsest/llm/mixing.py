@@ -13,8 +13,10 @@ documents are sorted in ranges.
 Running sums use three levels of 1024 hash ranges, so the rows of one source, which
 may be a third of all, never meet in one task.
 
-Documents are taken whole: first all copies that end before the source's target,
-then, if it comes nearer, one more document whose size is nearest to what is missing.
+Documents are taken whole: first all copies that end before the source's target, then,
+of the documents no larger than what is missing, those that running sums let in, repeated
+until nothing fits (those with fewer copies first), and last, if it comes nearer, one more
+document whose size is nearest to what is missing.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; null is a
 source of its own, ranked last; ties of the random order are broken by doc_id, size
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import global_rank, join_table, load, materialize, pick
+from palimpsest.llm._common import global_rank, join_table, load, materialize, pick, release
 
 #: Densities at the knots, for sources by rank in turn: rising, even, falling. The integrals are 3, 1 and 2.
 SCHEDULES = ((1.5, 3.0, 4.5), (1.0, 1.0, 1.0), (3.0, 2.0, 1.0))
@@ -105,7 +107,31 @@ def place(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("source", "b1", "b2").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(w), F.lit(0)))
     on = F.col("source").eqNullSafe(F.col("s")) & (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
-    return docs.join(leaf, on).select("doc_id", "source", "size", "h", (F.col("before") + F.col("inside")).alias("start"))
+    return docs.join(leaf, on).select("doc_id", "source", "size", "tie", "h", (F.col("before") + F.col("inside")).alias("start"))
+
+
+def fill(placed: DataFrame, most_passes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What goes on after the first document that does not fit. placed: doc_id, source, size, start,
+    copies, target. Gives the gaps left (source, gap, target) and tables of further copies
+    (source, start, size, at: their place in the source's demand)."""
+    gaps = materialize(placed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.first("target").alias("target")))
+    rest, extra, old = placed.select("doc_id", "source", "size", "start", "copies"), [], []
+    while True:
+        fits = join_table(rest, gaps.select("source", "gap"), ["source"]).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < most_passes))
+        fits = materialize(fits.drop("gap"))
+        release(*old)
+        if fits.limit(1).count() == 0:
+            release(fits)
+            return gaps, extra
+        now = join_table(fits, fits.groupBy("source").agg(F.min("copies").alias("level")), ["source"]).where(F.col("copies") == F.col("level"))
+        run = place(now.select("doc_id", "source", "size", F.col("start").alias("tie"))).select("source", "size", "tie", F.col("start").alias("before"))
+        run = join_table(run, gaps, ["source"]).where(F.col("before") + F.col("size") <= F.col("gap"))
+        extra.append(materialize(run.select("source", F.col("tie").alias("start"), "size", (F.col("target") - F.col("gap") + F.col("before")).alias("at"))))
+        less = join_table(gaps, extra[-1].groupBy("source").agg(F.sum("size").alias("sum")), ["source"], "left")
+        old = [fits, gaps]
+        gaps = materialize(less.select("source", (F.col("gap") - F.coalesce("sum", F.lit(0))).alias("gap"), "target"))
+        rest = join_table(fits, extra[-1].select("source", "start", F.lit(1).alias("more")), ["source", "start"], "left")
+        rest = rest.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
 
 
 def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: float = 1.5, most_passes: int = 2) -> DataFrame:
@@ -120,18 +146,30 @@ def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: flo
     placed = materialize(join_table(place(rows), targets, ["source"]))
     copies = F.size(F.filter(F.sequence(F.lit(0), F.lit(most_passes - 1)), lambda p: p * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")))
     placed = placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)))
-    # what each source still lacks, and the document not yet taken in its last pass whose size is nearest to that
-    lacks = placed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("lack"), F.min(F.when(F.col("size") > 0, F.col("copies"))).alias("pass"))
-    near = join_table(placed, lacks, ["source"])
-    near = near.where((F.col("size") > 0) & (F.col("copies") == F.col("pass")) & (F.col("copies") < most_passes) & (F.col("size") < 2 * F.col("lack")))
-    best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), F.col("start").alias("at"))).alias("best"), F.first("lack").alias("lack"))
-    best = join_table(lacks.select("source", F.col("lack").alias("was")), best.select("source", F.col("best.at").alias("at"), F.col("best.off").alias("off")), ["source"], "left")
-    out = join_table(placed, best, ["source"], "left")
-    closes = (F.col("size") > 0) & (F.col("start") == F.col("at"))
-    taken_all = F.col("target") - F.coalesce(F.col("was"), F.lit(0.0)) + F.coalesce(F.col("was") - F.col("off"), F.lit(0.0))
-    out = out.withColumn("copies", F.col("copies") + F.when(F.coalesce(closes, F.lit(False)), 1).otherwise(0)).withColumn("demand", F.greatest(taken_all, F.col("target")))
-    share = lambda p: F.least((p * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.col("demand"), F.lit(1.0))
-    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: position(F.col("knots"), share(p)))).otherwise(F.array().cast("array<double>"))
+    placed = materialize(placed)
+    gaps, extra = fill(placed, most_passes)
+    own = placed.limit(0).select("source", "start", "size", F.lit(0.0).alias("at"))
+    for t in extra:
+        own = own.union(t)
+    own = own.groupBy("source", "start").agg(F.sort_array(F.collect_list("at")).alias("further"))
+    none = F.array().cast("array<double>")
+    filled = join_table(placed, materialize(own), ["source", "start"], "left") if extra else placed.withColumn("further", none)
+    filled = filled.withColumn("further", F.when((F.col("size") > 0) & F.col("further").isNotNull(), F.col("further")).otherwise(none))
+    filled = materialize(filled)
+    # the document that may be taken once more and whose size is nearest to what is still missing
+    near = join_table(filled, gaps.select("source", "gap"), ["source"])
+    near = near.where((F.col("size") > 0) & (F.col("copies") + F.size("further") < most_passes) & (F.col("size") < 2 * F.col("gap")))
+    best = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("start").alias("last"), F.col("size").alias("last_size"))).alias("best"))
+    best = join_table(gaps.select("source", "gap"), best.select("source", "best.last", "best.last_size"), ["source"], "left")
+    out = join_table(filled, best, ["source"], "left")
+    closes = F.coalesce((F.col("size") > 0) & (F.col("start") == F.col("last")), F.lit(False))
+    taken_all = F.col("target") - F.col("gap") + F.coalesce("last_size", F.lit(0))
+    out = out.withColumn("demand", F.greatest(taken_all, F.col("target")))
+    out = out.withColumn("further", F.when(closes, F.concat("further", F.array(F.col("target") - F.col("gap")))).otherwise(F.col("further")))
+    begin = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda p: (p * F.col("source_size") + F.col("start")).cast("double"))).otherwise(none)
+    out = out.withColumn("begin", F.concat(begin, "further")).withColumn("copies", F.size("begin"))
+    share = lambda x: F.least((x + F.col("size") / 2) / F.col("demand"), F.lit(1.0))
+    positions = F.transform("begin", lambda x: position(F.col("knots"), share(x)))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), positions.alias("positions"), "h")
 
 

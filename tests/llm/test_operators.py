@@ -179,6 +179,16 @@ def test_mixture(spark):
     assert ordered == sorted(ordered)
 
 
+def test_mixture_goes_on_behind_a_long_document(spark):
+    for shift in range(3):
+        rows = [(1000 * shift + i, "w " * 200, "en", "a", 1) for i in range(100)] + [(1000 * shift + 500, "w " * 50_000, "en", "a", 1)]
+        plan = mixing.plan_mixture(frame(spark, rows), demand=24_000 / 70_000).collect()
+        assert plan[0].target == pytest.approx(24_000) and sum(r.taken for r in plan) == 24_000
+        assert all(r.copies <= 2 and len(r.positions) == r.copies for r in plan)
+        ps = sorted(p for r in plan for p in r.positions)
+        assert len(set(ps)) == 120 and ps[0] < 0.02 and 0.98 < ps[-1] < 1
+
+
 def test_schedule_inverts(spark):
     knots = (1.5, 3.0, 0.0, 4.5)
     got = spark.range(0, 101).select((F.col("id") / 100).alias("u")).select("u", mixing.position(F.array(*map(F.lit, knots)), F.col("u")).alias("t")).collect()
