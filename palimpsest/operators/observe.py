@@ -139,13 +139,17 @@ def render(rows: DataFrame, cap: int = CAP) -> str:
 
 def read_set(calls: DataFrame, files: DataFrame) -> DataFrame:
     """Paths that each observation depends on. calls: iid, item (a path, a folder ending in / or a shell pattern)."""
-    plain = calls.where(~F.col("item").rlike(r"[*?\[]|/$")).join(files.select("path"), F.col("item") == F.col("path")).select("iid", "path")
-    patterns = [r[0] for r in calls.where(F.col("item").rlike(r"[*?\[]|/$")).select("item").distinct().limit(1000).collect()]
-    parts = [plain]
-    for p in patterns:
-        got = files.where(F.col("path").startswith(p) if p.endswith("/") else scalar.glob_matches(F.col("path"), p)).select("path", F.lit(p).alias("item"))
-        parts.append(calls.where(F.col("item") == p).join(got, "item").select("iid", "path"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    pattern = F.col("item").rlike(r"[*?\[]|/$")
+    plain = calls.where(~pattern).join(files.select("path"), F.col("item") == F.col("path")).select("iid", "path")
+    wide = calls.where(pattern)
+    # a folder is a prefix that ends at one of a path's slashes
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    folders = files.select("path", F.explode(F.when(F.size(parts) > 1, above)).alias("item"))
+    inside = wide.where(F.col("item").endswith("/")).join(folders, "item").select("iid", "path")
+    # each pattern meets each path once, however many calls have it
+    regex = F.udf(scalar.glob_regex, "string")
+    globs = wide.where(~F.col("item").endswith("/")).select("item").distinct().select("item", regex("item").alias("regex"))
+    held = F.when(F.col("item").contains("/"), F.col("path")).otherwise(scalar.basename(F.col("path")))
+    got = files.select("path").distinct().join(globs, F.rlike(held, F.col("regex"))).select("item", "path")
+    return plain.unionByName(inside).unionByName(wide.join(got, "item").select("iid", "path")).distinct()

@@ -99,6 +99,13 @@ def test_observations(spark):
     assert rows(observe.read_set(calls, files)) == [(1, "a/b/y.csv"), (1, "a/x.csv"), (1, "z.txt"), (2, "a/b/y.csv"), (2, "a/x.csv")]
 
 
+def test_read_set_of_many_patterns(spark):
+    n = 1200
+    calls = spark.createDataFrame([(i, f"d{i}/" if i % 2 else f"d{i}/*.csv") for i in range(n)] + [(n, "?7.csv"), (n, "nope/")], "iid long, item string")
+    files = spark.createDataFrame([(f"d{i}/x{i}.csv",) for i in range(n)] + [("d7x/y.csv",)], "path string")
+    assert set(rows(observe.read_set(calls, files))) == {(i, f"d{i}/x{i}.csv") for i in range(n)} | {(n, "d7/x7.csv")}
+
+
 def test_drifting_parquet(spark, tmp_path):
     spark.sql("select 1L as trip, 2L as fee, 'x' as Extra").coalesce(1).write.parquet(f"{tmp_path}/a")
     spark.sql("select 2L as Trip, 2.5D as Airport_fee").coalesce(1).write.parquet(f"{tmp_path}/b")
