@@ -1,14 +1,15 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding and exact verification.
 
 Texts are the words between white space (space and \\x09-\\x0D); their n-grams are runs of
 five words (a shorter text is one n-gram of all its words). Equal word lists form one
 class; the join links classes whose n-gram sets have a Jaccard similarity of 0.8 or more.
 
 1. One pass over the texts gives every document a class hash (128 bits) and, from 128
-   MinHash values, its label in each of the forest's trees: a fixed choice of values, of
-   which a prefix is compared. Prefixes start at full length and are shortened until the
+   MinHash values, its label in each tree (band): a fixed choice of values, of which a
+   prefix is compared. All prefixes have one fixed length, the longest at which the
    probability that two texts at the threshold share one in some tree, over the chance of
-   the MinHash values, reaches the target recall.
+   the MinHash values, reaches the target recall. This takes the place of an LSH forest:
+   there is no trie, and no prefix is shortened for a text that has not met the target.
 2. Classes with the same prefix in a tree become candidates by edges to one of them (never
    all pairs), and the edges' connected components become candidate groups.
 3. Only the texts of candidate groups are read again, as n-gram sets. Groups are dealt to
