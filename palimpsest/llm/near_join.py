@@ -1,25 +1,34 @@
-"""N-gram Jaccard join with MinHash banding and exact verification.
+"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Texts are the words between white space (space and \\x09-\\x0D); their n-grams are runs of
 five words (a shorter text is one n-gram of all its words). Equal word lists form one
 class; the join links classes whose n-gram sets have a Jaccard similarity of 0.8 or more.
 
-1. One pass over the texts gives every document a class hash (128 bits) and, from 128
-   MinHash values, its label in each tree (band): a fixed choice of values, of which a
-   prefix is compared. All prefixes have one fixed length, the longest at which the
-   probability that two texts at the threshold share one in some tree, over the chance of
-   the MinHash values, reaches the target recall. This takes the place of an LSH forest:
-   there is no trie, and no prefix is shortened for a text that has not met the target.
-2. Classes with the same prefix in a tree become candidates by edges to one of them (never
-   all pairs), and the edges' connected components become candidate groups.
-3. Only the texts of candidate groups are read again, as n-gram sets. Groups are dealt to
+1. One pass over the texts gives every document a class hash (128 bits) and a signature of
+   128 MinHash values, a byte of each. A tree of the forest is a fixed choice of 16 of these
+   values in order; a text's label in it is a path from the root, and texts that share a
+   prefix of their labels share a node of the trie.
+2. The tries are walked from the shortest prefixes of DEPTHS downward. A node with no more
+   than CROWDED texts is a leaf: its texts are candidates of each other. The texts of a
+   crowded node go on to the next depth, so matched prefixes are as short as crowding allows.
+   Then each text's recall is summed up from the prefix lengths it ended with, for a partner
+   at exactly the threshold. Where it lies below RECALL, matched prefixes of that text are
+   shortened again, the least crowded nodes first, until the target is met; a node taken back
+   this way makes all texts below it candidates. Texts of uncrowded parts are searched with
+   the shortest prefixes in all trees and reach a higher recall.
+3. Candidates of a node are linked by a star to one of them, never as pairs. A star of an
+   uncrowded node is cut where similarities to its centre, estimated from the signatures, leave
+   a gap that no two texts at the threshold can span (Jaccard distance is a metric), so that
+   chance meetings don't join groups. Connected components of the stars are candidate groups.
+4. Only the texts of candidate groups are read again, as n-gram sets. Groups are dealt to
    tasks of bounded size; a group too large for one task is cut into blocks, ordered by set
    size, and each two blocks that the length bound allows meet in one task. Each task counts
    common n-grams exactly through an inverted index and returns, per class, its number of
    links and one member of its linked set.
-4. Connected components of the links are the groups of near copies.
+5. Connected components of the links are the groups of near copies.
 
-Nothing here sends links, groups or fingerprints to the driver.
+Rows of one node are combined to one for each CHUNK texts before they are shuffled. Nothing
+here sends links, groups or fingerprints to the driver.
 
 Defined cases: a null, empty or blank text has no n-gram and links to nothing; such rows
 form one class; repeated rows belong to one class; an empty table gives no rows; further
@@ -29,21 +38,27 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import BROADCAST_ROWS, join_table, load, materialize, pick, release, slices
 
-NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99999
-HASHES, TREES, DEEPEST = 128, 64, 16
+NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
+HASHES, TREES, DEPTHS = 128, 64, (6, 8, 11, 16)
+#: Texts above which a node of a trie is crowded.
+CROWDED = 64
+#: A star is cut at a gap of estimated similarity above this: the distance of two texts at the
+#: threshold (0.2) and four standard deviations of the estimate's error.
+GAP = 0.35
 #: N-gram hashes that one verifying task takes about.
 TASK_GRAMS = 1_000_000
-#: Bytes of text, and rows of labels, that a worker holds as arrays at a time.
-TEXT_BYTES, BUCKET_ROWS = 400_000, 2000
+#: Bytes of text, and signatures, that a worker holds as arrays at a time.
+TEXT_BYTES, CHUNK = 400_000, 16_384
 
 _RNG = np.random.default_rng(20240607)
 _BYTES = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -52,8 +67,8 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _PLACES = _RNG.integers(0, 2**64, NGRAM, dtype=np.uint64) | np.uint64(1)
 _A = (_RNG.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
-_CHOICE = np.stack([_RNG.permutation(HASHES)[:DEEPEST] for _ in range(TREES)])
-_LABEL = _RNG.integers(0, 2**64, DEEPEST, dtype=np.uint64) | np.uint64(1)
+_CHOICE = np.stack([_RNG.permutation(HASHES)[: DEPTHS[-1]] for _ in range(TREES)])
+_LABEL = _RNG.integers(0, 2**64, DEPTHS[-1], dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,20 +77,26 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix that reaches the target recall at the threshold.
+@lru_cache(maxsize=2)
+def shared_depths(similarity: float = THRESHOLD, trials: int = 100_000, seed: int = 7) -> np.ndarray:
+    """Simulated length of the prefix that two texts of this similarity share, by trial and tree.
 
-    The forest's trees choose from the same HASHES values, so recall is averaged over which
-    of the values agree: simulated with a fixed seed, from the longest prefix downward.
+    The trees choose from the same HASHES values, so their matches aren't independent.
     """
-    rng = np.random.default_rng(7)
-    agree = rng.random((20_000, HASHES)) < threshold
-    chosen = agree[:, _CHOICE]  # (trial, tree, place)
-    for depth in range(DEEPEST, 1, -1):
-        if chosen[:, :, :depth].all(axis=2).any(axis=1).mean() >= recall:
-            return depth
-    return 1
+    agree = np.random.default_rng(seed).random((trials, HASHES)) < similarity
+    out = np.zeros((trials, TREES), dtype=np.int8)
+    for t in range(TREES):
+        out[:, t] = np.logical_and.accumulate(agree[:, _CHOICE[t]], axis=1).sum(axis=1)
+    return out
+
+
+@lru_cache(maxsize=2)
+def chances(threshold: float = THRESHOLD) -> np.ndarray:
+    """For each of DEPTHS, the log of a tree's chance to miss a partner at the threshold, if trees
+    were independent and all together missed as often as they do in the simulation."""
+    shared = shared_depths(threshold)
+    miss = [max(0.5, (shared < d).all(axis=1).sum()) / len(shared) for d in DEPTHS]
+    return np.log(miss) / TREES
 
 
 @lru_cache(maxsize=2)
@@ -128,54 +149,174 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[byte
     return _mix(g), bounds, classes
 
 
-def labels(g: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the prefix of each text in each tree; texts without n-grams are left out by the caller."""
+def signatures(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A byte of each MinHash value of each text; texts without n-grams are left out by the caller."""
     some = np.diff(bounds) > 0
     x = (g >> np.uint64(32)).astype(np.uint32)
-    sig = np.zeros((HASHES, len(some)), dtype=np.uint32)
+    sig = np.zeros((len(some), HASHES), dtype=np.uint8)
     if some.any():
         at = bounds[:-1][some]
         for k in range(HASHES):
-            v = x * _A[k] + _B[k]
-            sig[k, some] = np.minimum.reduceat(v, at)
-    out = np.empty((len(some), TREES), dtype=np.uint64)
-    for t in range(TREES):
-        key = np.full(len(some), t + 1, dtype=np.uint64)
-        for j in range(depth):
-            key += sig[_CHOICE[t, j]].astype(np.uint64) * _LABEL[j]
-            key = _mix(key)
-        out[:, t] = key
-    return out
+            least = np.minimum.reduceat(x * _A[k] + _B[k], at)
+            sig[some, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return sig
+
+
+def node_keys(sig: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of each text's node at a depth of each tree."""
+    key = np.tile((np.arange(TREES, dtype=np.uint64) + np.uint64(1)) * np.uint64(1000) + np.uint64(depth), (len(sig), 1))
+    for j in range(depth):
+        key += (sig[:, _CHOICE[:, j]].astype(np.uint64) + np.uint64(1)) * _LABEL[j]
+        key = _mix(key)
+    return key.view(np.int64)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    depth = prefix_length()
     for batch in batches:
         for start, texts in slices(batch, "text", TEXT_BYTES):
             g, bounds, classes = ngrams(texts)
-            keys = labels(g, bounds, depth).view(np.int64)
-            n = np.diff(bounds)
+            sig, n = signatures(g, bounds), np.diff(bounds)
             ids = batch.column("doc_id").slice(start, len(texts))
-            arrays = [ids, pa.array(classes, pa.binary()), pa.array(n, pa.int64()), pa.array([k.tobytes() if m else None for k, m in zip(keys, n)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "grams", "keys"])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid): one for each key of some rows. Rows that share a key there are linked to the
-    least of them under a key of that pair alone, so a crowded key leaves a task once."""
+            held = pa.array([x.tobytes() if m else None for x, m in zip(sig, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.binary()), held], names=["doc_id", "class", "sig"])
+
+
+def _longs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of 64-bit numbers as binary values; a run of one is null."""
+    starts = np.concatenate([[0], ends[:-1]])
+    offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
+    whole = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.astype("<i8").tobytes())])
+    return pc.if_else(pa.array(ends - starts > 1), whole, pa.nulls(len(ends), pa.binary()))
+
+
+def _nodes(depth: int):
+    """Rows (key, tree, first, members): the texts of one node in a chunk; members is null for one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            cid = rows.column("cid").to_numpy()
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            mask = rows.column("mask").to_numpy().view(np.uint64)
+            use = (mask[:, None] >> np.arange(TREES, dtype=np.uint64)) & np.uint64(1) == 1
+            row, tree = np.nonzero(use)
+            key, who = node_keys(sig, depth)[row, tree], cid[row]
+            order = np.lexsort((who, key))
+            key, who, tree = key[order], who[order], tree[order]
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            first = np.concatenate([[0], ends[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(tree[first], pa.int32()), pa.array(who[first]), _longs(who, ends)], names=["key", "tree", "first", "members"])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= CHUNK:
+                yield out(held)
+                held, n = [], 0
+        if n:
+            yield out(held)
+
+    return run
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a member of the rows of nodes: cid, and key, tree, n, least of its node."""
+    for batch in batches:
+        lists = [np.frombuffer(m, dtype="<i8") if m else np.array([f]) for m, f in zip(batch.column("members").to_pylist(), batch.column("first").to_pylist())]
+        at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        who = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+        keep = ["key", "tree", "n", "least"]
+        yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), *(batch.column(c).take(at) for c in keep)], names=["cid", *keep])
+
+
+MEMBERS = "cid long, key long, tree int, n long, least long"
+
+
+def shorten(nodes: list[dict], miss: np.ndarray, goal: float) -> tuple[np.ndarray, set[int]]:
+    """From the crowded nodes (n, level, tree, key) of a text: the level at which its search of each
+    tree ends, and the keys of the nodes taken back, the least crowded first, until the sum of
+    `miss` is down to the goal."""
+    level = np.zeros(TREES, dtype=int)
+    for x in nodes:
+        level[x["tree"]] = max(level[x["tree"]], min(len(DEPTHS) - 1, x["level"] + 1))
+    now, taken = miss[level].sum(), {}
+    for x in sorted(nodes, key=lambda x: (x["n"], -x["level"], x["tree"])):
+        if now <= goal:
+            break
+        t, to = x["tree"], x["level"]
+        if to < level[t]:
+            now += miss[to] - miss[level[t]]
+            level[t], taken[t] = to, x["key"]
+    return level, set(taken.values())
+
+
+def _shorten(miss: np.ndarray, goal: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = set()
+            for nodes in batch.column("nodes").to_pylist():
+                keys |= shorten(nodes, miss, goal)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.int64())], names=["key"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Share of equal signature values of pairs of texts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, BUCKET_ROWS):
-            part = batch.slice(start, BUCKET_ROWS)
-            cid = part.column("cid").to_numpy()
-            order = np.argsort(cid)
-            keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype="<i8").reshape(len(cid), -1)[order]
-            cid = np.repeat(cid[order], keys.shape[1])
-            u, first, inverse = np.unique(keys.reshape(-1), return_index=True, return_inverse=True)
-            to = cid[first][inverse]
-            more = np.flatnonzero(cid != to)
-            pairs = np.unique(np.stack([cid[more], to[more]], axis=1), axis=0)
-            own = _mix(_mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, own, own])), pa.array(np.concatenate([cid[first], pairs[:, 0], pairs[:, 1]]))], names=["key", "cid"])
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in ("sig", "sig2"))
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("least"), pa.array((a == b).mean(axis=1), pa.float64())], names=["cid", "least", "alike"])
+
+
+def _cut_stars(stars: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges of the stars of uncrowded nodes (at most CROWDED rows of one key), cut at gaps of similarity to their centre."""
+    stars = materialize(stars.where("cid <> least").select("key", "cid", "least"))
+    pairs = stars.select("cid", "least").distinct().join(sigs, "cid")
+    pairs = pairs.join(sigs.select(F.col("cid").alias("least"), F.col("sig").alias("sig2")), "least").select("cid", "least", "sig", "sig2")
+    alike = materialize(pairs.mapInArrow(_alike, "cid long, least long, alike double"))
+    down = Window.partitionBy("key").orderBy(F.col("alike").desc(), "cid")
+    cut = (F.coalesce(F.lag("alike").over(down), F.lit(1.0)) - F.col("alike") > GAP).cast("int")
+    parts = stars.join(alike, ["cid", "least"]).withColumn("cut", cut).withColumn("part", F.sum("cut").over(down))
+    centre = F.when(F.col("part") == 0, F.col("least")).otherwise(F.min("cid").over(Window.partitionBy("key", "part")))
+    edges = materialize(parts.select(F.col("cid").alias("a"), centre.alias("b")).where("a <> b").distinct())
+    release(stars, alike)
+    return edges
+
+
+def candidates(sigs: DataFrame) -> DataFrame:
+    """sigs (cid, sig) to edges a, b whose connected components hold all candidates of each other."""
+    rows = sigs.withColumn("mask", F.lit(-1).cast("long"))
+    levels, small = [], []
+    for depth in DEPTHS:
+        at_key = Window.partitionBy("key")
+        size = F.coalesce(F.length("members") / 8, F.lit(1)).cast("long")
+        nodes = rows.mapInArrow(_nodes(depth), "key long, tree int, first long, members binary")
+        nodes = nodes.withColumn("n", F.sum(size).over(at_key)).withColumn("least", F.min("first").over(at_key)).where("n > 1")
+        nodes = materialize(nodes)
+        levels.append(nodes)
+        small.append(nodes.where(F.col("n") <= CROWDED).mapInArrow(_expand, MEMBERS))
+        crowded = nodes.where(F.col("n") > CROWDED)
+        if depth == DEPTHS[-1] or crowded.limit(1).count() == 0:
+            break
+        masks = crowded.mapInArrow(_expand, MEMBERS).groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"))
+        rows = sigs.join(masks, "cid")
+    edges = [_cut_stars(reduce(DataFrame.union, small), sigs)]
+    crowds = [t.where(F.col("n") > CROWDED).withColumn("level", F.lit(i)) for i, t in enumerate(levels)]
+    star = lambda t: t.mapInArrow(_expand, MEMBERS).select(F.col("cid").alias("a"), F.col("least").alias("b")).where("a <> b")
+    if len(levels) == len(DEPTHS):
+        edges.append(star(crowds[-1].drop("level")))
+    if len(levels) > 1:
+        inside = [t.drop("level").mapInArrow(_expand, MEMBERS).withColumn("level", F.lit(i)) for i, t in enumerate(crowds)]
+        nodes = reduce(DataFrame.union, inside).groupBy("cid").agg(F.collect_list(F.struct("n", "level", "tree", "key")).alias("nodes"))
+        back = materialize(nodes.select("nodes").mapInArrow(_shorten(chances(), float(np.log(1 - RECALL))), "key long").distinct())
+        taken = join_table(reduce(DataFrame.union, crowds).drop("level"), back, ["key"])
+        edges.append(star(taken.select("key", "tree", "first", "members", "n", "least")))
+        levels.append(back)
+    out = materialize(reduce(DataFrame.union, edges).mapInArrow(_forest, "a long, b long").distinct())
+    release(*levels, edges[0])
+    return out
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,20 +468,22 @@ def near_links(documents: DataFrame) -> DataFrame:
     copies), text_id (least doc_id with the same words), n_links (other texts at the threshold)."""
     docs = pick(documents, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = materialize(docs.mapInArrow(_classes, f"doc_id {kind}, class binary, grams long, keys binary"))
-    full = rows.groupBy("class").agg(F.min("doc_id").alias("text_id"), F.first("grams").alias("grams"), F.first("keys").alias("keys"))
+    rows = materialize(docs.mapInArrow(_classes, f"doc_id {kind}, class binary, sig binary"))
+    full = rows.groupBy("class").agg(F.min("doc_id").alias("text_id"), F.first("sig").alias("sig"))
     full = materialize(full.withColumn("cid", F.monotonically_increasing_id()))
     member = materialize(rows.select("doc_id", "class"))
     release(rows)
-    texts = materialize(full.drop("keys"))
-    dealt = full.where(F.col("keys").isNotNull()).select("cid", "keys").mapInArrow(_buckets, "key long, cid long")
-    edges = dealt.withColumn("m", F.min("cid").over(Window.partitionBy("key"))).where("cid <> m").select(F.col("cid").alias("a"), F.col("m").alias("b"))
+    texts = materialize(full.drop("sig"))
+    edges = candidates(full.where(F.col("sig").isNotNull()).select("cid", "sig"))
     groups = components(edges).withColumnRenamed("id", "cid").join(texts, "cid")
     groups = materialize(groups)
-    release(full)
+    release(full, edges)
     wanted = groups.select("text_id").distinct()
     wanted = F.broadcast(wanted) if groups.count() <= BROADCAST_ROWS else wanted
-    again = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["text_id"]), "left_semi").select("text")
+    # a class without any doc_id: all rows without one are read again, and needn't meet
+    again = docs.join(wanted.where("text_id is not null"), docs["doc_id"] == F.col("text_id"), "left_semi").select("text")
+    if wanted.where("text_id is null").limit(1).count():
+        again = again.union(docs.where("doc_id is null").select("text"))
     sets = again.mapInArrow(_sets, "class binary, grams binary, size long").groupBy("class").agg(F.first("grams").alias("grams"), F.first("size").alias("size"))
     sets = materialize(sets.join(groups.select("class", "cid", "component"), "class").select("cid", "component", "size", "grams"))
     tasks = _tasks(sets.select("cid", "component", F.col("size").alias("grams"))).join(sets.select("cid", "grams"), "cid")
@@ -350,7 +493,7 @@ def near_links(documents: DataFrame) -> DataFrame:
     merged = components(found.select(F.col("cid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "cid")
     merged = merged.join(texts.select("cid", "text_id"), "cid")
     least = merged.groupBy("component").agg(F.min("text_id").alias("class_id"))
-    ids = merged.select("cid", "component").join(least, "component").select("cid", "class_id").join(links, "cid", "left")
+    ids = join_table(merged.select("cid", "component"), materialize(least), ["component"]).select("cid", "class_id").join(links, "cid", "left")
     known = materialize(texts.select("cid", "class", "text_id").join(ids, "cid", "left").select("class", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     release(texts, found)
     return member.join(known, "class").select("doc_id", "class_id", "text_id", "n_links")

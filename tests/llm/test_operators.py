@@ -124,6 +124,41 @@ def test_near_large_group_with_repeated_passages(spark, monkeypatch):
         assert all(got[d] == (cls, links[i]) for d in texts[k])
 
 
+@pytest.mark.parametrize("crowded", [2, 8])
+def test_near_crowded_nodes(spark, monkeypatch, crowded):
+    """Tries that go down to all depths and are taken back, on groups of near copies beside loosely related texts."""
+    rng = np.random.default_rng(8)
+    rows, doc = [], 0
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(80)]
+        shared = [f"s{i}" for i in range(30)]  # a passage of all texts
+        for d in range(1 + 2 * group):
+            w = base[:]
+            for _ in range(rng.integers(0, 5)):
+                w[rng.integers(80)] = f"v{rng.integers(1000)}"
+            rows.append((doc, " ".join(w[:60] + shared + w[60:]), "en", "s", 1))
+            doc += 1
+    rows += [(1000 + i, r[1], "en", "s", 1) for i, r in enumerate(rows[:20])]
+    monkeypatch.setattr(near_join, "CROWDED", crowded)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_links(frame(spark, rows)).collect()}
+    keys, texts, links, group = brute_links(rows)
+    for i, k in enumerate(keys):
+        cls = min(x for j in range(len(keys)) if group[j] == group[i] for x in texts[keys[j]])
+        assert all(got[d] == (cls, links[i]) for d in texts[k])
+
+
+def test_near_stars_are_cut_at_gaps(spark):
+    """A text that met a node's centre by chance goes; copies of it that met there stay together."""
+    sig = np.zeros((5, near_join.HASHES), dtype=np.uint8)
+    sig[1, :10] = 1  # near the centre 0
+    sig[2:, :] = 2  # far from it; 3 and 4 are near each other
+    sig[3:, :40] = 3
+    sigs = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in enumerate(sig)], "cid long, sig binary")
+    stars = spark.createDataFrame([(7, i, 0) for i in (0, 1, 3, 4)] + [(8, 2, 0), (8, 0, 0)], "key long, cid long, least long")
+    got = {tuple(r) for r in near_join._cut_stars(stars, sigs).collect()}
+    assert got == {(1, 0), (4, 3)}
+
+
 def test_near_task_with_one_empty_block():
     grams = [np.arange(10, dtype="<u8").tobytes()] * 2
     for part, n in ((0, 1), (1, 0), (2, 0)):
