@@ -5,20 +5,25 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most rows of a table that may be broadcast; the count is checked first.
-BROADCAST_ROWS = 200_000
+#: Most rows of a table that may be broadcast, and most bytes of its strings, arrays and binary
+#: values; both are checked first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 #: Rows that go to a Python worker at once; texts may be long.
 BATCH_ROWS = 1000
 
+#: Tables that are still there, and, innermost last, the scopes that own those written in them.
 _written: list[str] = []
+_scopes = threading.local()
 _exits: list = []
 
 
@@ -30,11 +35,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (local tests) is a temporary folder set.
+    Only where the session has none is one set: a temporary folder where everything runs on
+    this machine (as in tests), else one in the warehouse, which a cluster shares.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        else:
+            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/palimpsest-working-tables"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -44,10 +53,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
     It cuts the lineage: a lost executor costs at most the tasks that ran on it,
     and columns made by monotonically_increasing_id() or by a sample of ranges
-    no longer change when a task runs again.
+    no longer change when a task runs again. The table belongs to the innermost scratch()
+    of the calling thread; without one it stays until it is released or the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
+    owners = getattr(_scopes, "open", [])
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     if not _exits:
         _exits.append(atexit.register(lambda: delete(spark, list(_written))))
@@ -57,6 +70,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Owns the tables that materialize() writes inside, and deletes them at its end.
+
+    It gives a function that hands a table over to the scope around (or, without one, to the
+    caller): that table stays. Scopes know only their own tables, so two results that are held
+    at once never lose theirs.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    mine: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        mine.remove(table.palimpsest_path)
+        at = next(i for i, x in enumerate(_scopes.open) if x is mine)
+        if at:
+            _scopes.open[at - 1].append(table.palimpsest_path)
+        return table
+
+    _scopes.open.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.open = [x for x in _scopes.open if x is not mine]
+        delete(spark, mine)
+
+
 def written() -> set[str]:
     """The tables that materialize() has written and nobody has deleted."""
     return set(_written)
@@ -81,10 +121,23 @@ def release(*tables: DataFrame) -> None:
         delete(t.sparkSession, [t.palimpsest_path])
 
 
+def small(table: DataFrame) -> bool:
+    """Whether a table may be broadcast: its rows, and the bytes of its columns of varying length, are few."""
+    size = F.lit(0).cast("long")
+    for f in table.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "map"):
+            size = size + 8 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    n, held = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
+
+
 def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
     """Join rows to a table with one row per key; a key may hold most of the rows.
 
-    Keys compare null-safe. A table of at most BROADCAST_ROWS rows is broadcast.
+    Keys compare null-safe. A table that is small() is broadcast.
     A larger one is joined by key and salt: its rows are repeated once for each
     salt, so that the rows of one key spread over as many partitions.
     """
@@ -93,7 +146,7 @@ def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "i
     for k in keys:
         on = on & rows[k].eqNullSafe(renamed[f"__{k}"])
     drop = [f"__{k}" for k in keys]
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small(table):
         return rows.join(F.broadcast(renamed), on, how).drop(*drop)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     renamed = renamed.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
