@@ -11,7 +11,8 @@ integrated schedule turns that place into a position in training time, by which
 documents are sorted in ranges.
 
 Running sums use three levels of 1024 hash ranges, so the rows of one source, which
-may be a third of all, never meet in one task.
+may be a third of all, never meet in one task; nor do rows that repeat one document, which
+are numbered first, part by part.
 
 Documents are taken whole: first all copies that end before the source's target, then,
 of the documents no larger than what is missing, those that running sums let in, repeated
@@ -20,7 +21,7 @@ document whose size is nearest to what is missing.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; null is a
 source of its own, ranked last; ties of the random order are broken by doc_id, size
-and text hash, and equal rows are interchangeable; an empty table gives no rows;
+and text hash, and equal rows are interchangeable (numbered, each has a place of its own); an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import global_rank, join_table, load, materialize, pick, release
+from palimpsest.llm._common import global_rank, join_table, load, materialize, pick, release, scratch
 
 #: Densities at the knots, for sources by rank in turn: rising, even, falling. The integrals are 3, 1 and 2.
 SCHEDULES = ((1.5, 3.0, 4.5), (1.0, 1.0, 1.0), (3.0, 2.0, 1.0))
@@ -93,9 +94,30 @@ def source_targets(sizes: DataFrame, schedules: tuple = SCHEDULES, demand: float
     return ranked.withColumn("target", F.least(most.cast("double"), F.col("weight") * F.lit(level)))
 
 
+def number_twins(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, tie) with `twin`, which counts equal rows from 0.
+
+    Few rows are equal to another, as a rule none. They are numbered within the parts in which
+    they are read, and the numbers of the parts before are added, so that the equal rows of
+    one document never meet in one task.
+    """
+    keys = ["doc_id", "source", "size", "tie"]
+    several = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("several")).where("several > 1"))
+    if several.limit(1).count() == 0:
+        return rows.withColumn("twin", F.lit(0).cast("long"))
+    marked = materialize(join_table(rows.withColumn("part", F.spark_partition_id()), several, keys, "left"))
+    alone = marked.where("several is null").select(*keys, F.lit(0).cast("long").alias("twin"))
+    same = marked.where("several is not null")
+    here = Window.partitionBy(*keys, "part").orderBy("part")
+    parts = same.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).drop("n")
+    twins = join_table(same.withColumn("twin", F.row_number().over(here) - 1), materialize(before), [*keys, "part"])
+    return alone.union(twins.select(*keys, (F.col("twin") + F.col("before")).alias("twin")))
+
+
 def place(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, size, tie) with `start`: the sizes before each in its source's random order."""
-    h = F.xxhash64("doc_id", "tie", F.lit(20240607))
+    """docs (doc_id, source, size, tie, twin) with `start`: the sizes before each in its source's random order."""
+    h = F.xxhash64("doc_id", "tie", "twin", F.lit(20240607))
     docs = docs.select("doc_id", "source", "size", "tie", h.alias("h"), F.shiftrightunsigned(h, 54).alias("b1"), F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(1023)).alias("b2"))
     leaf = docs.groupBy("source", "b1", "b2").agg(F.sum("size").alias("sum2"))
     top = leaf.groupBy("source", "b1").agg(F.sum("sum2").alias("sum1"))
@@ -124,7 +146,7 @@ def fill(placed: DataFrame, most_passes: int) -> tuple[DataFrame, list[DataFrame
             release(fits)
             return gaps, extra
         now = join_table(fits, fits.groupBy("source").agg(F.min("copies").alias("level")), ["source"]).where(F.col("copies") == F.col("level"))
-        run = place(now.select("doc_id", "source", "size", F.col("start").alias("tie"))).select("source", "size", "tie", F.col("start").alias("before"))
+        run = place(now.select("doc_id", "source", "size", F.col("start").alias("tie"), F.lit(0).cast("long").alias("twin"))).select("source", "size", "tie", F.col("start").alias("before"))
         run = join_table(run, gaps, ["source"]).where(F.col("before") + F.col("size") <= F.col("gap"))
         extra.append(materialize(run.select("source", F.col("tie").alias("start"), "size", (F.col("target") - F.col("gap") + F.col("before")).alias("at"))))
         less = join_table(gaps, extra[-1].groupBy("source").agg(F.sum("size").alias("sum")), ["source"], "left")
@@ -141,7 +163,7 @@ def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: flo
 
     rows = pick(documents, "doc_id", "source", "text")
     rows = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    rows = materialize(rows)
+    rows = materialize(number_twins(materialize(rows)))
     targets = materialize(source_targets(rows, schedules, demand, float(most_passes)))
     placed = materialize(join_table(place(rows), targets, ["source"]))
     copies = F.size(F.filter(F.sequence(F.lit(0), F.lit(most_passes - 1)), lambda p: p * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")))
@@ -178,18 +200,29 @@ def positions(plan: DataFrame) -> DataFrame:
     return plan.select("doc_id", "source", "size", "h", F.posexplode("positions").alias("copy", "position"))
 
 
+def in_order(rows: DataFrame, by: str, ties: list[str]) -> DataFrame:
+    """rows sorted in ranges by a training position (0 to 1; greater ones come last).
+
+    Training time is demand, which the schedules spread evenly but for a small factor, so its
+    ranges are cells of equal width: no sample of the rows has to be taken first, which would
+    run their plan twice.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cell = F.least(F.floor(F.col(by) * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, cell).sortWithinPartitions(by, *ties)
+
+
 def curriculum(plan: DataFrame) -> DataFrame:
     """positions() sorted in ranges by training position."""
-    one = positions(plan)
-    order = ["position", "h", "doc_id", "copy"]
-    n = max(1, int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return one.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("h")
+    return in_order(positions(plan), "position", ["h", "doc_id", "copy"]).drop("h")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all documents takes of each, in the order of first use in training."""
-    plan = plan_mixture(load(spark, sf_dir, "documents"))
-    first = F.coalesce(F.array_min("positions"), F.lit(2.0))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plan = plan.withColumn("first_position", first).repartitionByRange(n, "first_position", "h").sortWithinPartitions("first_position", "h", "doc_id")
-    return plan.select("doc_id", "size", F.col("source_size"), "target", "taken", F.when(F.col("copies") > 0, F.col("first_position")).alias("first_position"))
+    with scratch(spark) as keep:
+        plan = plan_mixture(load(spark, sf_dir, "documents")).drop("source")
+        plan = keep(materialize(plan.withColumn("first_position", F.array_min("positions")).drop("positions")))
+    taken, rest = plan.where(F.col("copies") > 0), plan.where(F.col("copies") == 0)
+    # documents that the mix doesn't take have no place in training and stay where they are
+    rows = in_order(taken, "first_position", ["h", "doc_id"]).unionByName(rest)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position")
