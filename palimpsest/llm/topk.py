@@ -4,12 +4,17 @@ Vectors become integers (floor(256 * x)) and are packed into blocks. Every query
 meets every candidate block; all pairs are scored by a matrix product. For each query,
 a global histogram of its scores, refined inside one bin round after round, locates the
 k-th greatest score: until the bin is one value wide, or so few scores are at or above
-it that they can simply be ranked. The last pass keeps the scores from there on and
-breaks ties by smaller vec_id.
+it that they can simply be ranked. A round narrows the range 256 times, so that eight are
+enough for any. The last pass keeps the scores from there on and breaks ties by smaller vec_id.
 
-A block leaves out histogram bins and rows below its own k best scores of a query:
-these can't be among the global k best. Histograms are summed before they are shuffled;
-nothing grows on the driver but one row of progress a round.
+Blocks meet in a grid of slices of candidates and groups of queries, with about PAIRS scores
+in each cell. Candidates are copied once for each group and queries once for each slice; the
+grid's sides are chosen so that both copies are about as large. Few queries make one group,
+and then candidates aren't copied at all.
+
+A block leaves out the histogram bins below the one that holds its own k-th best score of a
+query: nothing in them can be among the global k best. Histograms are summed before they are
+shuffled; nothing grows on the driver but one row of progress a round.
 
 Exactness: products are taken in float64 where every partial sum stays below 2**53,
 else with unbounded integers; a score outside the range of a long saturates.
@@ -37,6 +42,8 @@ BINS = 256
 BLOCK = 2048
 #: A query is settled when at most this many times k scores are at or above its bin.
 RANKED = 8
+#: Scores that one cell of the grid computes about, and bytes of candidates that it holds at most.
+PAIRS, SLICE_BYTES = 2**32, 64_000_000
 LONG = (-(2**63), 2**63 - 1)
 
 
@@ -122,13 +129,12 @@ def _meet(k: int, last: bool):
                     own = ids["cuid"] != ids["quid"][i]
                     lo, hi = int(ids["lo"][i]), int(ids["hi"][i])
                     mine = s[i]
-                    at = np.flatnonzero(own & (mine >= lo) & (mine <= hi)) if not last else np.flatnonzero(own & (mine >= lo))
-                    if len(at) > k:  # only the block's own k best, with all ties
-                        kth = np.partition(mine[at], len(at) - k)[len(at) - k]
-                        at = at[mine[at] >= kth]
+                    at = np.flatnonzero(own & (mine >= lo)) if last else np.flatnonzero(own & (mine >= lo) & (mine <= hi))
                     if not len(at):
                         continue
-                    if last:
+                    kth = int(np.partition(mine[at], len(at) - k)[len(at) - k]) if len(at) > k else lo
+                    if last:  # only the block's own k best, with all ties
+                        at = at[mine[at] >= kth]
                         best = at[np.lexsort((ids["cvec_id"][at], -mine[at].astype(np.float64)))] if abs(int(mine[at].max())) < 2**52 else np.array(sorted(at, key=lambda j: (-int(mine[j]), int(ids["cvec_id"][j]))))
                         for j in best[:k]:
                             out[0].append(int(ids["quid"][i]))
@@ -137,11 +143,11 @@ def _meet(k: int, last: bool):
                             out[3].append(int(mine[j]))
                     else:
                         width = max(1, -((lo - hi - 1) // BINS))
-                        bins = [(int(x) - lo) // width for x in mine[at]] if hi - lo >= 2**62 else ((mine[at] - lo) // width).tolist()
-                        for b in sorted(set(bins)):
-                            out[0].append(int(ids["quid"][i]))
-                            out[1].append(b)
-                            out[2].append(bins.count(b) if len(bins) < 50 else int(np.count_nonzero(np.asarray(bins) == b)))
+                        bins = np.array([(int(x) - lo) // width for x in mine[at]], dtype=np.int64) if hi - lo >= 2**62 else (mine[at] - lo) // width
+                        found, n = np.unique(bins[bins >= (kth - lo) // width], return_counts=True)
+                        out[0].extend([int(ids["quid"][i])] * len(found))
+                        out[1].extend(found.tolist())
+                        out[2].extend(n.tolist())
                 if last:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["quid", "query_id", "vec_id", "score"])
                 else:
@@ -150,16 +156,18 @@ def _meet(k: int, last: bool):
     return run
 
 
-def _pairs(queries: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Every query block beside every candidate block, by an equi-join on (query block, slice)."""
-    n = max(1, -(-queries.count() // BLOCK))
-    qb = queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")).groupBy("qb")
+def _pairs(queries: DataFrame, blocks: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
+    """Every query block beside every candidate block, by an equi-join on the cells of a grid."""
+    n = queries.count()
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows * n // PAIRS))
+    groups = max(1, min(-(-n // BLOCK), round((tasks * n / max(1, n_rows)) ** 0.5)))
+    slices = max(1, min(-(-n_rows // BLOCK), -(-tasks // groups)), -(-n_rows * row_bytes // SLICE_BYTES))
+    qb = queries.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(-(-n // BLOCK) or 1)).cast("int")).groupBy("qb")
     qb = qb.applyInArrow(_pack_group, "qb int, uid binary, vec_id binary, lo binary, hi binary, " + PACKED)
-    qb = qb.select("qb", F.col("uid").alias("quid"), F.col("vec_id").alias("qvec_id"), "lo", "hi", F.col("d").alias("qd"), F.col("kind").alias("qkind"), F.col("m").alias("qm"))
-    parts = max(1, -(-n_blocks // 2))
-    qb = qb.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    cb = blocks.withColumn("slice", F.pmod(F.xxhash64("cb"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return cb.join(qb.hint("shuffle_hash"), ["qb", "slice"])
+    qb = qb.select((F.col("qb") % groups).alias("group"), F.col("uid").alias("quid"), F.col("vec_id").alias("qvec_id"), "lo", "hi", F.col("d").alias("qd"), F.col("kind").alias("qkind"), F.col("m").alias("qm"))
+    qb = qb.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    cb = blocks.withColumn("slice", F.pmod(F.xxhash64("cb"), F.lit(slices)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return qb.join(cb.hint("shuffle_hash"), ["group", "slice"])
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -169,7 +177,8 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     blocks = rows.select("uid", "vec_id", "v").mapInArrow(_pack_rows, "uid binary, vec_id binary, " + PACKED)
     blocks = blocks.select(F.col("uid").alias("cuid"), F.col("vec_id").alias("cvec_id"), F.col("d").alias("cd"), F.col("kind").alias("ckind"), F.col("m").alias("cm"))
     blocks = materialize(blocks.withColumn("cb", F.monotonically_increasing_id()))
-    n_rows, n_blocks = rows.count(), blocks.count()
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
+    row_bytes = total // max(1, n_rows)
     longest = rows.mapInArrow(_norms, "uid long, norm double")
     most = longest.agg(F.max("norm")).first()[0] or 0.0
     bound = F.least(F.ceil(F.col("norm") * F.lit(most) * 1.0000001) + 1, F.lit(float(2**62))).cast("long")
@@ -179,7 +188,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         open_ = state.where(~F.col("done"))
         if open_.limit(1).count() == 0:
             break
-        hist = _pairs(open_, blocks, n_blocks).mapInArrow(_meet(k, False), "quid long, bin long, n long").groupBy("quid", "bin").agg(F.sum("n").alias("n"))
+        hist = _pairs(open_, blocks, n_rows, row_bytes).mapInArrow(_meet(k, False), "quid long, bin long, n long").groupBy("quid", "bin").agg(F.sum("n").alias("n"))
         w = Window.partitionBy("quid").orderBy(F.col("bin").desc())
         hist = hist.withColumn("upto", F.sum("n").over(w)).withColumnRenamed("quid", "uid")
         got = open_.select("uid", "above").join(hist, "uid").where((F.col("above") + F.col("upto") >= k) & (F.col("above") + F.col("upto") - F.col("n") < k))
@@ -200,7 +209,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 (F.col("done") | ~fresh | (lo >= hi) | (F.col("reach") <= RANKED * k)).alias("done"),
             )
         )
-    found = _pairs(state, blocks, n_blocks).mapInArrow(_meet(k, True), "quid long, query_id long, vec_id long, score long")
+    found = _pairs(state, blocks, n_rows, row_bytes).mapInArrow(_meet(k, True), "quid long, query_id long, vec_id long, score long")
     w = Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -218,12 +227,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  select row_number() over () as place, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  from v q join v c on q.place <> c.place where q.vec_id % 50 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
 """
