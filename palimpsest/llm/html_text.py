@@ -13,8 +13,9 @@ driver: the number of pages is a parameter. Prediction is one pass over the page
 shuffle; the trained weights are a few kilobytes.
 
 Defined cases: null or empty html, or a page without content, gives an empty text; broken
-markup (missing or stray end tags, cut-off pages) is parsed as far as it goes; text in no
-element is a leaf of the page; repeated rows stay; an empty table gives no rows; further
+markup (missing or stray end tags, cut-off pages) is parsed as far as it goes; a quote that
+is never closed is a character of its tag, which ends at the next >; scripts, styles and the
+like end at their end tag alone; text in no element is a leaf of the page; repeated rows stay; an empty table gives no rows; further
 columns are ignored.
 """
 
@@ -24,6 +25,7 @@ import html as entities
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,9 +38,11 @@ from palimpsest.llm._common import load, pick, slices
 #: Tags by what they do to a page.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button select option label caption".split()
+    " header hgroup html legend li main menu nav noscript object ol p pre section summary table tbody td tfoot th thead tr ul button select option label caption".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
+#: Never shown as text, whatever they hold; of these, only the foreign ones may close themselves.
+RAW = frozenset("script style template textarea title iframe svg canvas audio video".split())
+FOREIGN = frozenset(("svg",))
 VOID_BREAKS = frozenset(("br", "hr", "wbr"))
 #: An opening tag ends these open elements first, up to the boundary elements.
 ENDS = {
@@ -51,10 +55,12 @@ ENDS = {
     "option": (frozenset(("option",)), frozenset(("select",))),
     "tbody": (frozenset(("thead", "tbody", "tfoot")), frozenset(("table",))),
 }
+#: Tags of a page that has nothing but its text ("" is a leaf).
+PLAIN = frozenset(["", *"html body p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th figure figcaption object center".split()])
 #: Kinds of children, by which edge potentials differ.
 KINDS = {"": 0, "p": 1, "pre": 1, "blockquote": 1, **{f"h{i}": 2 for i in range(1, 7)}, "li": 3, "ul": 3, "ol": 3, "dl": 3, "dt": 3, "dd": 3, "article": 4, "main": 4, "div": 5, "section": 5, "td": 6, "tr": 6, "table": 6, "tbody": 6, "th": 6}
 OTHER_KIND, N_KINDS = 7, 8
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:\s|^)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
@@ -70,9 +76,20 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Block elements and text leaves (tag "") in page order; a parent comes before its children."""
+    """Block elements and text leaves (tag "") in page order; a parent comes before its children.
+
+    Takes time in proportion to the page: where the open elements of each tag are is kept.
+    """
     nodes = [Node("html", -1)]
     stack, leaf, links, at, in_head = [0], None, 0, 0, False
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            places[nodes[stack.pop()].tag].pop()
+
+    def innermost(tags: frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def text(raw: str) -> None:
         nonlocal leaf
@@ -100,7 +117,7 @@ def parse(page: str) -> list[Node]:
             continue
         tag, closing = name.lower(), bool(m[1])
         if tag in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
+            if tag not in FOREIGN or not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif tag == "head":
@@ -119,15 +136,11 @@ def parse(page: str) -> list[Node]:
                 if tag == "html":
                     continue
                 ends, bound = ENDS.get(tag, (frozenset(), frozenset()))
-                while len(stack) > 1 and nodes[stack[-1]].tag == "p":
-                    stack.pop()
-                for i in range(len(stack) - 1, 0, -1):
-                    here = nodes[stack[i]].tag
-                    if here in bound:
-                        break
-                    if here in ends:
-                        del stack[i:]
-                        break
+                while nodes[stack[-1]].tag == "p":
+                    cut(len(stack) - 1)
+                last = innermost(ends)
+                if last > innermost(bound):
+                    cut(last)
                 names, label = [], nodes[stack[-1]].label
                 for a in _ATTRIBUTE.finditer(m[3]):
                     value = a[2] or a[3] or a[4] or ""
@@ -136,25 +149,26 @@ def parse(page: str) -> list[Node]:
                     else:
                         names += _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
                 nodes.append(Node(tag, stack[-1], tuple(dict.fromkeys(names)), label))
+                places[tag].append(len(stack))
                 stack.append(len(nodes) - 1)
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[i]].tag == tag:
-                        del stack[i:]
-                        break
+            elif places[tag]:
+                cut(places[tag][-1])
     return nodes
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
     """Names of the features of each node that hold."""
     out = []
+    bare = all(n.tag in PLAIN for n in nodes)
     for n in nodes:
         if n.tag:
             out.append(["t:" + n.tag, *["n:" + w for w in n.names], "named" if n.names else "plain"])
+            if n.parent >= 0 and nodes[n.parent].tag in ("html", "body"):
+                out[-1].append(f"top:{n.tag}:{bare}")
             continue
         s = _SPACE.sub(" ", "".join(n.parts)).strip()
         chars, share = len(s), n.linked / max(1, len(s))
-        got = ["leaf", "in:" + nodes[n.parent].tag, f"len:{min(7, int(math.log2(chars + 1)))}" if chars < 256 else "len:long"]
+        got = ["leaf", f"in:{nodes[n.parent].tag}:{bare and nodes[n.parent].tag in ('html', 'body')}", f"len:{min(7, int(math.log2(chars + 1)))}" if chars < 256 else "len:long"]
         got.append("link:all" if share > 0.8 else "link:some" if share > 0.2 else "link:no")
         if s[-1:] in ".!?:;…\"'”»":
             got.append("sentence")
@@ -235,6 +249,8 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
         if kind == "sidebar":
             return element(pick_(("aside", "aside", "div", "section")), 0, pick_(("", element("h3", 0, words(1, 4)))) + pick_((links(0, 5), text)), pick_(("sidebar", "side", "related", "widget", "recommended", "more", "newsletter", "social share", "tags", "author bio")))
         if kind == "notice":
+            if rng.random() < 0.1:
+                return element("noscript", 0, text)
             return element(pick_(("div", "div", "section", "p", "dialog")), 0, text + pick_(("", "<button>Ok</button>")), pick_(("cookie notice", "notice", "consent", "banner notice", "gdpr", "alert", "popup", "modal", "cookies", "paywall")))
         if kind == "advert":
             return element(pick_(("div", "div", "aside", "section", "p")), 0, text, pick_(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad banner", "adsense")))
@@ -259,10 +275,19 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
                 inner.append(element("blockquote", 1, pick_((sentences(1, 3), paragraph(1)))))
             elif r < 0.9:
                 inner.append(element("table", 1, "".join(element("tr", 1, element("td", 1, words(1, 4)) + element("td", 1, words(1, 4))) for _ in range(3))))
-            elif r < 0.92:
+            elif r < 0.915:
                 inner.append(element("pre", 1, words(2, 20)))
+            elif r < 0.93:
+                caption = element("figcaption", 1, pick_((words(2, 12), sentences(1, 2))))
+                inner.append(element("figure", 1, pick_(('<img src="/i">' + caption, caption + '<img src="/i">', element("object", 1, words(2, 8)) + caption))))
+            elif r < 0.94:
+                inner.append(element(pick_(("p", "div")), 1, words(1, 6) + " <math><mi>x</mi><mo>=</mo><mn>2</mn></math> " + sentences(1, 1)))
             else:
                 inner.append(junk(pick_(("advert", "sidebar", "notice", "form"))))
+        if rng.random() < 0.04:  # a list of verses, steps or the like
+            inner += [element("p", 1, words(1, 4) + pick_((".", ""))) for _ in range(rng.randint(20, 120))]
+        if rng.random() < 0.04:  # right in the body, or in what holds the article and other things
+            return "".join(inner)
         body = "".join(inner) + (junk("comments") if rng.random() < 0.15 else "")
         r = rng.random()
         if r < 0.45:
@@ -273,7 +298,10 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
         return element(pick_(("div", "section")), 1, body, name)
 
     pages = []
-    for _ in range(count):
+    for i in range(count):
+        if i % 25 == 0:  # a fragment without any page around it
+            pages.append(article() if i % 50 else "".join(paragraph(1) for _ in range(rng.randint(1, 4))) if i % 100 else f'<div data-y="1">{sentences(1, 4)}</div>')
+            continue
         some = lambda kinds, p: "".join(junk(k) for k in kinds if rng.random() < p)
         middle = article()
         if rng.random() < 0.4:
@@ -285,7 +313,7 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 400, epochs: int = 6, rate: float = 0.3, penalty: float = 1e-4) -> Model:
+def trained(pages: int = 800, epochs: int = 8, rate: float = 0.3, penalty: float = 1e-4) -> Model:
     """The model fitted to ``pages`` labelled pages, the same in every process."""
     model, squares = Model(), {}
     edge_squares = [[[1e-6] * 2 for _ in range(2)] for _ in range(N_KINDS)]
