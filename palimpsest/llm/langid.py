@@ -6,7 +6,8 @@ Features: hashed n-grams of 1 to 3 characters of the lower-case text, where ever
 characters that aren't letters counts as one space. Term frequency is a share of a
 document's n-grams; document frequencies come from all labelled training documents.
 The model is fitted on a sample of at most ``per_language`` training documents of each
-language (those whose keyed hash is smallest in rate); four fifths of it train the
+language (those with the smallest keyed hashes of doc_id and text; rows that repeat both
+count once); four fifths of it train the
 weights, one fifth sets the temperature.
 
 Training documents: crc32 of the doc_id as text leaves a remainder other than 2 on
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import load, pick, slices
@@ -204,7 +205,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | Non
     """Learn from the training rows of documents (doc_id, text, lang); None if there are none."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = pick(documents, "doc_id", "text", "lang").where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2**31))).withColumn("text", F.col("text").cast("binary"))
+    rows = rows.withColumn("key", F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(2**31))).withColumn("text", F.col("text").cast("binary"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
@@ -215,9 +216,12 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model | Non
             docs = r[1]
         else:
             df[r[0]] = r[1]
-    # a language's share of the hash range, so that about per_language of its rows fall below it
-    limit = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])[F.col("lang")]
-    sample = rows.where(F.col("key") < limit * 2.0**31).select("lang", "key", "text").mapInArrow(_counts, "lang string, key long, ids binary, tf binary")
+    # a language's share of the hash range below which per_language of its rows fall almost surely; of them the first
+    share = (per_language + 10 * per_language**0.5) / per_language
+    limit = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, share * per_language / n)))])[F.col("lang")]
+    few = rows.where(F.col("key") < limit * 2.0**31).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    sample = few.withColumn("first", first).where(F.col("first") <= per_language).select("lang", "key", "text").mapInArrow(_counts, "lang string, key long, ids binary, tf binary")
     got = sorted((tuple(r) for r in sample.collect()), key=lambda r: (r[1], r[0], bytes(r[2]), bytes(r[3])))
     return fit(got, df, docs) if got else None
 

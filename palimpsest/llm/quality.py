@@ -7,8 +7,8 @@ final scores of both views are calibrated (Platt) on labelled documents held out
 training, and a logistic combination of the two gives the probability of good quality.
 
 The views of every document are written once, from its whole text, without a shuffle. At
-most ``labelled`` labelled documents, those with the smallest keyed hash in rate, are used
-to fit. Of the others all take part in every round: a pass over the views counts the
+most ``labelled`` labelled documents, those with the smallest keyed hashes of doc_id and
+views (rows that repeat both count once), are used to fit. Of the others all take part in every round: a pass over the views counts the
 scores of those still open in bins, which gives the limits of the most sure ones of the
 whole corpus (in the bin at a limit, the smallest hashes), and a second one writes these
 out. Newton's sums over all of them are added to those of the labelled documents; they
@@ -332,15 +332,16 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
 def train_views(table: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | float:
     """train() from the views of all documents."""
     known = materialize(pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
-    key = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2**31))
+    key = F.pmod(F.xxhash64("doc_id", "ti", "tv", "mi", F.lit(13)), F.lit(2**31))
     rows = materialize(join_table(table.where("doc_id is not null"), known, ["doc_id"], "left").withColumn("key", key))
     release(known)
     counts = {r[0]: r[1] for r in rows.where("quality is not null").select("doc_id", "quality").distinct().groupBy("quality").count().collect()}
     good, bad = (sum(n for q, n in counts.items() if f(q)) for f in (lambda q: q > 0, lambda q: q <= 0))
     if not good or not bad:
         return 1.0 if good else 0.0 if bad else 0.5
-    sample = rows.where(F.col("quality").isNotNull() & (F.col("key") < min(1.0, labelled / (good + bad)) * 2.0**31))  # about labelled rows
-    got = sample.select("key", "quality", "ti", "tv", "mi").toArrow().combine_chunks().to_batches()
+    share = (labelled + 10 * labelled**0.5) / (good + bad)  # as many fall below it almost surely; of them the first
+    few = rows.where(F.col("quality").isNotNull() & (F.col("key") < min(1.0, share) * 2.0**31)).groupBy("key").agg(F.min(F.struct("quality", "ti", "tv", "mi")).alias("x"))
+    got = few.orderBy("key").limit(labelled).select("key", "x.*").toArrow().combine_chunks().to_batches()
     y = np.concatenate([(b.column("quality").to_numpy() > 0).astype(int) for b in got] or [np.zeros(0, dtype=int)])
     held = np.concatenate([b.column("key").to_numpy() % 4 == 0 for b in got] or [np.zeros(0, dtype=bool)])
     if len(np.unique(y[~held])) < 2:
