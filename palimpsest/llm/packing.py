@@ -9,7 +9,8 @@ length; a shard's open bins are the only loss against one single run.
 
 Token ids of a word are remembered per worker (the vocabulary treats words between
 boundaries independently), so most of a text is looked up rather than encoded. That path
-takes texts in Latin letters; any other text is encoded by the library as a whole.
+takes texts in Latin letters; any other text is encoded by the library as a whole. The
+memory is bounded in characters, and long strings aren't kept.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are packed
 each for itself; an empty table gives no rows; further columns are ignored.
@@ -32,8 +33,8 @@ from palimpsest.llm._common import load, materialize, pick, slices
 CAPACITY = 2048
 #: About as many pieces as are packed together in one task.
 SHARD = 50_000
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 600_000
+#: Characters of strings whose ids a worker remembers, beyond which it starts anew, and the longest such string.
+REMEMBERED, LONGEST = 4_000_000, 64
 #: Fixed values of the word-level vocabulary: how it parts a lower-case text into words,
 #: written for the characters that PLAIN allows.
 WORDS = r"[a-z\xc0-\u017f]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-z\xc0-\u017f]+"
@@ -55,6 +56,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.unplain = re.compile(WORDS), re.compile(UNPLAIN)
         self.model = self.tokenizer.model
@@ -66,15 +68,19 @@ class WordIds(dict):
         ids: list[int] = []
         for word in self.words.findall(chunk):
             ids += [t.id for t in self.model.tokenize(word.translate(self.letters))]
-        self[chunk] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
+            self.held += len(chunk)
         return out
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""
         if self.unplain.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
+        if self.held >= REMEMBERED:
             self.clear()
+            self.held = 0
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
