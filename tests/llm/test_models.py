@@ -2,6 +2,9 @@
 
 import html
 import random
+import re
+import time
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -127,6 +130,35 @@ def test_language_counts_and_accuracy():
     assert model.predict([None, b"", b"12 !?", "é".encode()])[0][:3] == ["und"] * 3
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One two, three four.</p><script src='a.js'/>var leak = 1;</script><p>Five six.</p></article>", "One two, three four.\nFive six."),
+        ("<article><script src=/x/>leak()</script><p>Text is here.</p></article>", "Text is here."),
+        ("<article><style/>p{leak:1}</style><p>Text is here.</p><svg/><p>More of it.</p></article>", "Text is here.\nMore of it."),
+        ('<article><p title="x>Hello there, my friends.', "Hello there, my friends."),
+        ("<article><p title=it's>Hello, it's me.</p><p>More, and more.</p></article>", "Hello, it's me.\nMore, and more."),
+        ('<article><p title="a > b">Hello there.</p></article>', "Hello there."),
+        ("<article><h1>Head</h1><p>Some text, of some length.</p><figure><img src=x><figcaption>A caption.</figcaption></figure></article>", "Head\nSome text, of some length.\nA caption."),
+        ("<article><h1>Head</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>", "Head\nLet x=1 hold."),
+    ],
+)
+def test_odd_markup(page, text):
+    assert html_text.trained().extract(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x", "<div>" * 10_000 + "</span></section>" * 10_000, "<ul><li>" * 10_000, '<p title="' * 20_000, "<p a" + "= " * 100_000, "<!--" * 50_000, "<article>" + "<p>Text, and more text.</p>" * 30_000])
+def test_odd_pages_take_linear_time(page):
+    model = html_text.trained()
+    start = time.perf_counter()
+    model.extract(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_very_long_page_is_whole():
+    assert html_text.trained().extract("<article>" + "<p>Text, and more text.</p>" * 30_000) == "\n".join(["Text, and more text."] * 30_000)
+
+
 def test_shortest_prefixes_find_partners():
     rng = np.random.default_rng(9)
     hit = 0
@@ -174,6 +206,45 @@ def test_surrogates_keep_type_and_format():
         if kind == "name":
             assert out.startswith("Frau ") and out.split()[1] in pii.GIVEN["f"]
     assert pii.detect("nothing here, 12 times") == []
+    assert pii.detect("password: -------- token = ........ api_key=________") == []
+
+
+def surrogate_of(text, attempt=0):
+    at, out = 0, []
+    for a, b, kind, us in pii.mentions(text):
+        out += [text[at:a], pii.dress(kind, text[a:b], " ".join(pii.form(*u, b"k", attempt) for u in us))]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("name", ["Dr. 김민수", "Mr. محمد", "Dr. नरेंद्र मोदी", "Господин Иванов", "Prof. Παπαδόπουλος", "Dr. 王小明", "Frau Müller"])
+@pytest.mark.parametrize("attempt", [0, 1, 20])
+def test_names_keep_their_script(name, attempt):
+    title, name = name.split(" ", 1)
+    new = surrogate_of(f"{title} {name}", attempt)
+    assert new.startswith(title + " ") and new != f"{title} {name}"
+    scripts = lambda s: {unicodedata.name(c).split(" ")[0] for c in s if c.isalpha()}
+    assert scripts(new[len(title) :]) == scripts(name)
+
+
+def test_names_keep_gender_and_coreference():
+    for attempt in range(40):
+        text = "Frau Xenia Maier met Mr Paul Smith. Later Mr Smith and Xenia left; Smith paid, Smithson did not. Herr Xaver Maier came."
+        new = surrogate_of(text, attempt)
+        word = re.match(r"Frau (\S+) (\S+) met Mr (\S+) (\S+)\. Later Mr (\S+) and (\S+) left; (\S+) paid, Smithson did not\. Herr (\S+) (\S+) came\.", new)
+        she, maier, he, smith, smith2, she2, smith3, xaver, maier2 = word.groups()
+        assert smith == smith2 == smith3 and she == she2 and maier == maier2
+        assert she[-1] == "a" and he in pii.GIVEN["m"] or attempt >= pii.WIDER
+        assert she[-1] == "a" and xaver[-1] in "nrsl"
+    one, two = (surrogate_of(t) for t in ("+1 274 555 9629", "(274) 555-9629"))
+    assert re.sub(r"\D", "", one) == "1" + re.sub(r"\D", "", two) and one.startswith("+1 ")
+
+
+def test_detection_takes_linear_time():
+    for text in ("a" * 1_000_000, "0123456789" * 100_000, "a.b-" * 250_000, "x@" * 400_000, "+1 " * 300_000, "token=" * 150_000, "1-" * 400_000, "AB12 " * 200_000):
+        start = time.perf_counter()
+        pii.detect(text)
+        assert time.perf_counter() - start < 4
 
 
 def test_cotraining_learns_from_either_view():

@@ -274,6 +274,44 @@ def test_surrogate_collisions_are_resolved(spark):
     assert a == b
 
 
+def test_surrogates_of_short_names_never_run_out(spark):
+    names = [a + b for a in "BCDFGHJKLMNPRSTVWZ" for b in "aeiou"]
+    rows = [(i, f"Mr {n} and {n} again. Password: --------", "en", "s", 1) for i, n in enumerate(names)] + [(None, "Mr Li", "en", "s", 1)] * 2 + [(500, "Mr Bo " + "x" * 1_000_000, "en", "s", 1)]
+    df = frame(spark, rows)
+    table = pii.surrogate_table(df).collect()
+    assert {r.canon for r in table} == {*names, "Li", "Bo"}
+    assert len({r.surrogate for r in table}) == len(table) and not {r.surrogate for r in table} & {r.canon for r in table}
+    new = {(r.kind, r.canon): r.surrogate for r in table}
+    got = Counter((r.doc_id, r.text) for r in pii.replace_entities(df).collect())
+    assert got == Counter((d, re.sub(r"\b([A-Z][a-z])\b(?= |$)", lambda m: new.get(("surname", m[1]), m[1]), t) if t else t) for d, t, *_ in rows)
+
+
+def test_surrogates_of_the_query_are_those_of_a_plain_replacement(spark):
+    """The whole query on a small table against detection and replacement in plain Python."""
+    sf = "/root/testdata/sf0.001"
+    rows = load(spark, sf, "documents").select("doc_id", "text").collect()
+    taken, new, originals = set(), {}, {u for r in rows for *_, us in pii.mentions(r.text or "") for u in us}
+    open_ = {u: 0 for u in originals}
+    while open_:  # by rounds: a surrogate that is an original, or another's, moves on
+        tries = {u: pii.form(*u, pii.KEY, a) for u, a in (new | open_).items()}
+        space = lambda u: "given" if u[0].startswith("given") else u[0]
+        holders = defaultdict(list)
+        for u, s in tries.items():
+            holders[space(u), s].append(((new | open_)[u], u[1], u[0]))
+        attempts = new | open_
+        clash = {u for u, s in tries.items() if (attempts[u], u[1], u[0]) != min(holders[space(u), s]) or any((space(o), o[1]) == (space(u), s) for o in originals)}
+        new, open_ = {u: a for u, a in attempts.items() if u not in clash}, {u: attempts[u] + 1 for u in clash}
+    want = []
+    for r in rows:
+        out, at, text = [], 0, r.text
+        for a, b, kind, us in pii.mentions(text or ""):
+            out += [text[at:a], pii.dress(kind, text[a:b], " ".join(pii.form(*u, pii.KEY, new[u]) for u in us))]
+            at = b
+        want.append((r.doc_id, None if text is None else "".join([*out, text[at:]]), len(pii.mentions(text or ""))))
+    got = [(r.doc_id, r.text, r.n_entities) for r in registry.QUERIES["op5_pii"](spark, sf).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(n for *_, n in got)
+
+
 def test_quality(spark, docs):
     rows = [(i, "A fine sentence about things, with some words." if i % 3 else "BAD!! BAD!! %%% $$$ BAD!!", "en", f"s{i % 5}", 30) for i in range(300)]
     df = frame(spark, rows)
@@ -378,7 +416,9 @@ def test_pipeline(spark):
         assert after.columns == list(corpus_pipeline.COLUMNS)
         texts = [r.text for r in before.select("text").collect()]
         if name == "language_id":
-            assert len(rows) == sum(bool(t and re.search(r"[^\W\d_]", t)) for t in texts)
+            told = {r.doc_id: (r.lang_pred, r.score) for r in registry.QUERIES["op4_langid"](spark, sf).collect()}
+            assert {r.doc_id: r.lang for r in rows} == {d: lang for d, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+            assert 0 < len(rows) <= sum(bool(t and re.search(r"[^\W\d_]", t)) for t in texts)
         elif name == "exact_dedup":
             assert len(rows) == len({re.sub("[\x20\x09-\x0d]+", " ", t) for t in texts})
         elif name == "near_dedup":
@@ -390,6 +430,28 @@ def test_pipeline(spark):
         before = spark.createDataFrame(rows, before.select(*corpus_pipeline.COLUMNS).schema)
 
 
+def test_pipeline_on_odd_rows(spark, docs, tmp_path):
+    """Null, empty, repeated and very long rows and further columns; and results of two runs held at once."""
+    more = [(100 + i, " ".join(f"w{(i * j) % 97}" for j in range(60)), "en", "s9", 1) for i in range(12)]
+    for d, rows in (("a", SOME + more), ("b", [(i, r[1], "de", None, 3) for i, r in enumerate(more)])):
+        frame(spark, rows).write.parquet(f"{tmp_path}/{d}/documents.parquet")
+    a = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    b = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    assert b.count() > 0
+    got = a.collect()
+    assert sum(r.length for r in got) > 0 and {r.piece for r in got if r.doc_id == 9} > {0, 1}
+    assert {r.doc_id for r in got} <= {r[0] for r in SOME + more if r[1] and re.search(r"[^\W\d_]", r[1])}
+
+
+def test_pipeline_without_rows_or_languages(spark, docs, tmp_path):
+    docs.where("doc_id < 0").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    blank = frame(spark, [(1, "", None, "s", 0), (2, "some words", None, "s", 1), (3, "12 !?", None, "s", 1), (4, None, None, "s", 1), (None, " ", None, None, None)])
+    assert [r.doc_id for r in corpus_pipeline.identified(spark, blank, "").collect()] == [2]
+    for name, stage in corpus_pipeline.STAGES[1:3]:  # neither looks at letters
+        assert sorted(str(r.doc_id) for r in stage(spark, blank, "").collect()) == (["1", "2", "3", "None"] if name == "exact_dedup" else ["1", "2", "3", "4", "None"])
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
