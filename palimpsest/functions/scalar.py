@@ -13,7 +13,7 @@ NONE = "NONE"
 
 def exact_cents(x: Column) -> Column:
     """A double rounded to 2 places as an exact decimal, ready for an exact sum."""
-    return F.round(x, 2).cast("decimal(38,2)")
+    return F.round(x, 2).cast("decimal(18,2)")
 
 
 def ratio_half_even(num: Column, den: Column, places: int, scale: int = 0) -> Column:

@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _slice(time: str):
+    """The day of a time: what a key's rows are cut into, so that a hot key is no single task's."""
+    return F.to_date(F.col(time))
+
+
 def asof(tasks: DataFrame, clock: DataFrame, by: str, time: str = "time", value: str = "t") -> DataFrame:
-    """tasks with the value of the last clock row at or before their time, per key: a union and one
-    window, so neither side is repeated."""
+    """tasks with the value of the last clock row at or before their time, per key.
+
+    A union and a window per key and day; what a day starts with comes from a window over one
+    row a key and day. Neither side is repeated, and no task sees a whole key.
+    """
     c = clock.select(by, F.col(time), F.lit(0).alias("__k"), F.col(value).alias("__v"), *[F.lit(None).cast(tasks.schema[x].dataType).alias(x) for x in tasks.columns if x not in (by, time)])
     x = tasks.select(by, time, F.lit(1).alias("__k"), F.lit(None).cast(clock.schema[value].dataType).alias("__v"), *[x for x in tasks.columns if x not in (by, time)])
-    w = Window.partitionBy(by).orderBy(time, "__k").rowsBetween(Window.unboundedPreceding, 0)
-    return c.unionByName(x).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__k = 1").drop("__k", "__v")
+    rows = c.unionByName(x).withColumn("__d", _slice(time))
+    w = Window.partitionBy(by, "__d").orderBy(time, "__k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.last("__v", ignorenulls=True).over(w))
+    days = rows.groupBy(F.col(by).alias("__by"), F.col("__d").alias("__day")).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__end"))
+    before = Window.partitionBy("__by").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__start", F.last("__end", ignorenulls=True).over(before))
+    rows = rows.where("__k = 1").join(days, (F.col(by) == F.col("__by")) & (F.col("__d") == F.col("__day")))
+    return rows.withColumn(value, F.coalesce("__here", "__start")).drop("__k", "__v", "__d", "__here", "__by", "__day", "__end", "__start")
 
 
 def lazy_cost(reads: DataFrame, costs: DataFrame) -> DataFrame:
@@ -47,13 +61,29 @@ def eager_cost(costs: DataFrame) -> DataFrame:
 
 def impute_nearest(wanted: DataFrame, derivations: DataFrame) -> DataFrame:
     """wanted (iid, u, truth) to the recorded derivation (iid, t, truth, tokens) that stands for it: one of
-    the same truth first, then the nearest in versions, then the earlier."""
-    d = derivations.select("iid", "t", F.col("truth").alias("dtruth"), "tokens")
-    same = F.col("truth").eqNullSafe(F.col("dtruth"))
-    rank = F.struct((~same).alias("other"), F.abs(F.col("t") - F.col("u")).alias("off"), F.col("t").alias("at"))
-    j = wanted.join(d, "iid", "left").groupBy("iid", "u", "truth").agg(F.min_by(F.struct("t", "tokens", "dtruth"), rank).alias("d"))
-    kind = F.when(F.col("d.t").isNull(), "none").when(F.col("d.t") == F.col("u"), "exact").when(F.col("d.dtruth").eqNullSafe(F.col("truth")), "same_truth").otherwise("other_truth")
-    return j.select("iid", "u", F.col("d.t").alias("t"), F.col("d.tokens").alias("tokens"), kind.alias("kind"))
+    the same truth first, then the nearest in versions, then the earlier.
+
+    Both sides in one order of versions: windows give the last derivation before each wanted row and
+    the first one after it, of its truth and of any; no wanted row meets more than these four.
+    """
+    d = F.struct("t", "tokens", "truth")
+    rows = derivations.select("iid", "t", "truth", "tokens", F.lit(True).alias("der")).unionByName(
+        wanted.select("iid", F.col("u").alias("t"), "truth", F.lit(None).cast(derivations.schema["tokens"].dataType).alias("tokens"), F.lit(False).alias("der"))
+    )
+    held = F.when(F.col("der"), d)
+    for name, keys in (("same", ["iid", "truth"]), ("any", ["iid"])):
+        w = Window.partitionBy(*keys).orderBy("t")
+        rows = rows.withColumn(f"{name}0", F.last(held, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn(f"{name}1", F.first(held, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    rows = rows.where("not der")
+
+    def nearer(name: str):
+        a, b = F.col(f"{name}0"), F.col(f"{name}1")
+        return F.when(a.isNull() | (F.col("t") - a["t"] > b["t"] - F.col("t")), F.coalesce(b, a)).otherwise(a)
+
+    got = rows.withColumn("d", F.coalesce(nearer("same"), nearer("any")))
+    kind = F.when(F.col("d.t").isNull(), "none").when(F.col("d.t") == F.col("t"), "exact").when(F.col("d.truth").eqNullSafe(F.col("truth")), "same_truth").otherwise("other_truth")
+    return got.select("iid", F.col("t").alias("u"), F.col("d.t").alias("t"), F.col("d.tokens").alias("tokens"), kind.alias("kind"))
 
 
 def interarrival(events: DataFrame, by: str, time: str = "time") -> DataFrame:
@@ -63,10 +93,18 @@ def interarrival(events: DataFrame, by: str, time: str = "time") -> DataFrame:
     return g.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), (F.stddev_pop("gap") / F.avg("gap")).alias("cv"))
 
 
-def monotone_clock(commits: DataFrame, by: str, order: str, ct: str) -> DataFrame:
-    """Commit times made monotone by a running maximum."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return commits.withColumn("at", F.max(ct).over(w))
+def monotone_clock(commits: DataFrame, by: str, order: str, ct: str, width: int = 4096) -> DataFrame:
+    """Commit times made monotone by a running maximum over a whole-number order.
+
+    A window per key and run of ``width`` numbers, and one over the greatest time of each run.
+    """
+    rows = commits.withColumn("__r", F.floor(F.col(order) / width))
+    runs = rows.groupBy(F.col(by).alias("__by"), F.col("__r").alias("__run")).agg(F.max(ct).alias("__most"))
+    before = Window.partitionBy("__by").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__start", F.max("__most").over(before))
+    w = Window.partitionBy(by, "__r").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.max(ct).over(w)).join(runs, (F.col(by) == F.col("__by")) & (F.col("__r") == F.col("__run")))
+    return rows.withColumn("at", F.greatest("__here", "__start")).drop("__r", "__here", "__by", "__run", "__most", "__start")
 
 
 def task_rollup(reads: DataFrame, task: str, group: str) -> DataFrame:
@@ -75,16 +113,40 @@ def task_rollup(reads: DataFrame, task: str, group: str) -> DataFrame:
     return per.groupBy(group).agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(~F.col("right")).alias("n_wrong"))
 
 
-def zipf_tasks(facts: DataFrame, tasks: DataFrame, k: int, s: float, seed: str = "zipf") -> DataFrame:
-    """k distinct facts for every task, drawn by a Zipf law over hashed ranks: the k smallest exponential
-    keys -ln(u) / weight. facts: repo, iid, rank (from 1); tasks: repo, task."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "task", "iid")), 1, 12), 16, 10).cast("double") + 1) / float(16**12 + 1)
-    j = tasks.join(facts, "repo").withColumn("key", -F.ln(u) * F.pow(F.col("rank"), F.lit(s)))
-    w = Window.partitionBy("repo", "task").orderBy("key", "iid")
-    return j.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("repo", "task", "iid", "n")
+#: Cells of the unit interval by which draws meet the facts that they may hit.
+CELLS = 1024
+
+
+def zipf_tasks(facts: DataFrame, tasks: DataFrame, k: int, s: float, seed: str = "zipf", draws: int = 64) -> DataFrame:
+    """k distinct facts for every task (all, if a repository has fewer), drawn by a Zipf law over ranks.
+    facts: repo, iid, rank (from 1); tasks: repo, task.
+
+    Hashed numbers of a task are turned into ranks by the inverse of the law's distribution until k
+    facts are found, which draws without replacement; ``draws`` bounds the numbers of a task, so that
+    fewer than k come out only where a few facts hold nearly all the weight. A number meets the facts
+    of its cell of the unit interval alone: no task is paired with all facts.
+    """
+    weight = 1 / F.pow(F.col("rank"), F.lit(s))
+    f = facts.withColumn("w", weight)
+    upto = F.sum("w").over(Window.partitionBy("repo").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    f = f.withColumn("upto", upto).withColumn("all", F.sum("w").over(Window.partitionBy("repo")))
+    f = f.withColumn("before", F.lag("upto", 1, 0.0).over(Window.partitionBy("repo").orderBy("rank")))
+    f = f.select("repo", "iid", (F.col("before") / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"))
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
+    f = f.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("task").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("double")
+    d = tasks.select("repo", "task", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", hashed / float(16**12)).withColumn("cell", cell(F.col("u")))
+    hit = d.join(f, ["repo", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    first = hit.groupBy("repo", "task", "iid").agg(F.min("draw").alias("draw"))
+    w = Window.partitionBy("repo", "task").orderBy("draw")
+    return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("repo", "task", "iid", "n")
 
 
 def event_windows(reads: DataFrame, events: DataFrame, span: int = 10) -> DataFrame:
-    """Reads within ``span`` versions after an event of their key: iid, at (event), n_reads, n_wrong."""
+    """Reads within ``span`` versions after an event of their key: iid, at (event), n_reads, n_wrong, and
+    whether the event changed the truth (affected). reads: iid, t, truth, served_valid."""
+    before = F.lag("truth").over(Window.partitionBy("iid").orderBy("t"))
+    reads = reads.withColumn("moved", before.isNotNull() & ~F.col("truth").eqNullSafe(before))
     points = events.select("iid", "at", F.explode(F.sequence(F.col("at"), F.col("at") + span - 1)).alias("t"))
-    return points.join(reads, ["iid", "t"]).groupBy("iid", "at").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if(~F.col("served_valid")).alias("n_wrong"))
+    got = points.join(reads, ["iid", "t"])
+    return got.groupBy("iid", "at").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if(~F.col("served_valid")).alias("n_wrong"), F.max(F.when(F.col("t") == F.col("at"), F.col("moved"))).alias("affected"))

@@ -92,8 +92,10 @@ def percentiles(rows: DataFrame, by: list[str], value: str, at: tuple[float, ...
 
 
 def pair_persistence(derivations: DataFrame) -> DataFrame:
-    """All pairs of a key's derivations (iid, t, answer, valid), a key's being few: both wrong, same answer."""
-    a = derivations.select("iid", F.col("t").alias("t1"), F.col("answer").alias("a1"), F.col("valid").alias("v1"))
-    b = derivations.select("iid", F.col("t").alias("t2"), F.col("answer").alias("a2"), F.col("valid").alias("v2"))
-    j = a.join(b, "iid").where("t1 < t2")
-    return j.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.expr("not v1 and not v2")).alias("both_wrong"), F.count_if(F.expr("not v1 and not v2 and a1 = a2")).alias("same_wrong"))
+    """All pairs of a key's derivations (iid, answer, valid): both wrong, same answer. Pairs are counted
+    from the sizes of their groups: n rows make n (n - 1) / 2."""
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    per = derivations.groupBy("iid", "answer").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("w"))
+    key = per.groupBy("iid").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(pairs("w")).alias("same"))
+    whole = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return key.agg(whole(pairs("n")).alias("pairs"), whole(pairs("w")).alias("both_wrong"), whole(F.col("same")).alias("same_wrong"))

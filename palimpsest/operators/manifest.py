@@ -88,6 +88,17 @@ def change_counts(log: DataFrame) -> DataFrame:
     return log.withColumn("before", before).groupBy("path").agg(F.count_if(~F.col("sha").eqNullSafe(F.col("before"))).alias("n_changes"))
 
 
+def schema_changes(columns: DataFrame, at: str) -> DataFrame:
+    """columns (at, name, type) of a series of files: where the columns differ from the file before, the
+    names added, removed and retyped, each sorted and joined by commas."""
+    held = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "type"))))
+    one = columns.groupBy(at).agg(held.alias("now")).withColumn("before", F.lag("now").over(Window.orderBy(at)))  # one row a file
+    names = lambda a, b: F.array_sort(F.array_except(F.map_keys(a), F.map_keys(b)))
+    both = F.array_sort(F.filter(F.array_intersect(F.map_keys("now"), F.map_keys("before")), lambda k: ~F.element_at("now", k).eqNullSafe(F.element_at("before", k))))
+    out = one.where("before is not null").select(at, names("now", "before").alias("added"), names("before", "now").alias("removed"), both.alias("retyped"))
+    return out.where("size(added) + size(removed) + size(retyped) > 0").select(at, *[F.array_join(c, ",").alias(c) for c in ("added", "removed", "retyped")])
+
+
 def split_parts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each partition's rows in two part files: the first half and the rest."""
     w = Window.partitionBy(*keys)

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def ls(files: DataFrame, path: str = ".") -> DataFrame:
     return files.where(F.col("path").startswith(prefix)).groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
+#: How many entries the text of a listing, a search of names and a search of lines shows.
+SHOWN = {"ls": 200, "find": 150, "grep": 60}
+
+
+def listed(kind: str, rows: DataFrame, order: list[str], line) -> str:
+    """The text of an observation: its first entries in order, and a mark if there are more; an error if there is none."""
+    most = SHOWN[kind]
+    got = [r[0] for r in rows.orderBy(*order).select(line.alias("line")).limit(most + 1).collect()]
+    if not got:
+        return "ERROR: nothing found"
+    return "\n".join(got[:most]) + (f"\n... [more than {most}]" if len(got) > most else "")
+
+
 def find(files: DataFrame, glob: str) -> DataFrame:
     """Paths that match a shell pattern."""
     return files.where(scalar.glob_matches(F.col("path"), glob)).select("path")
@@ -86,6 +100,13 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select(F.coalesce("old_name", "new_name").alias("name"), change.alias("change"), "old_type", "new_type").where("change is not null")
 
 
+def same_order(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of the columns (pos, name) that two file versions share: how many, and whether their order is the same."""
+    j = a.select("name", F.col("pos").alias("i")).join(b.select("name", F.col("pos").alias("k")), "name")
+    rank = lambda c: F.row_number().over(Window.orderBy(c))  # noqa: E731  (columns are few)
+    return j.select(rank("i").alias("x"), rank("k").alias("y")).agg(F.count(F.lit(1)).alias("n_shared"), F.coalesce(F.bool_and(F.col("x") == F.col("y")), F.lit(True)).alias("same_order"))
+
+
 def guarded_sql(spark: SparkSession, query: str, files: dict[str, DataFrame], sizes: dict[str, int], most_files: int = 3, most_rows: int = 1_200_000, show: int = 50, seconds: int = 30) -> tuple[DataFrame, bool]:
     """One read-only SELECT over logical file names written as string literals.
 
@@ -101,10 +122,10 @@ def guarded_sql(spark: SparkSession, query: str, files: dict[str, DataFrame], si
     if len(names) > most_files or sum(sizes[n] for n in names) > most_rows:
         raise Refused(f"budget: at most {most_files} files and {most_rows} rows")
     text = query.rstrip().rstrip(";")
-    for i, n in enumerate(names):
-        view = f"__file_{i}"
+    for n in names:  # a file stands after FROM, JOIN or a comma between them; elsewhere its name is a string
+        view = f"__file_{uuid.uuid4().hex}"
         files[n].createOrReplaceTempView(view)
-        text = text.replace(f"'{n}'", view)
+        text = re.sub(rf"(\b(?:from|join)\s+(?:{LITERAL.pattern}\s*(?:as\s+)?\w*\s*,\s*)*)'{re.escape(n)}'", rf"\g<1>{view}", text, flags=re.I)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
@@ -122,6 +143,8 @@ def guarded_sql(spark: SparkSession, query: str, files: dict[str, DataFrame], si
         got = rows.collect()  # at most show + 1 rows
     finally:
         timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(key, None)
     return spark.createDataFrame(got[:show], rows.schema), len(got) > show
 
 

@@ -8,7 +8,6 @@ a window of the past stay windows; the ones that depend on their own earlier act
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +57,10 @@ def ttl_epoch(rows: DataFrame, k: int) -> DataFrame:
 
 def ttl_age_reads(rows: DataFrame, k: int) -> DataFrame:
     """Per key, the reads at which an answer older than k versions is derived anew; its clock restarts
-    at that read. A fold over the key's sorted reads."""
+    at that read. A fold over the key's sorted reads whose result holds only those reads; a key's
+    reads are its version axis."""
     reads = rows.groupBy("iid").agg(F.sort_array(F.collect_list(F.col("t").cast("long"))).alias("ts"))
+    # of the steps of width k from a due read, the first read in each is due: at most (last - first) / k times
     step = F.aggregate(
         "ts",
         F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out")),
@@ -87,48 +88,61 @@ def detect(rows: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.when(F.col("state").eqNullSafe(first), "same").when(again, "memo").otherwise("eval"))
 
 
-MACHINE = "iid long, t long, action string, served string, wrong boolean, eval_tok long, der_tok long"
-
-
 def _machine(force_after: int, unsure: str):
-    """The verdict-driven machine of one key: rows iid, t, truth, state, verdict, tokens."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        served = anchor = since = None
-        memo: dict = {}
-        out = []
-        for r in group.itertuples(index=False):
-            ev = der = 0
-            if anchor is None:
-                action, served, anchor, since, der = "derive", r.truth, r.state, r.t, r.tokens
-            elif force_after and r.t - since >= force_after:
-                action, served, anchor, since, der, memo = "forced", r.truth, r.state, r.t, r.tokens, {}
-            elif r.state == anchor:
-                action = "same"
-            elif r.state in memo:
-                action = "memo"
-            else:
-                ev = r.tokens // 10
-                if r.verdict == "still_valid" or (r.verdict == "unsure" and unsure == "fresh"):
-                    action = "valid" if r.verdict == "still_valid" else "unsure_fresh"
-                    memo[r.state] = True
-                else:
-                    action = "repair" if r.verdict == "changed" else "rederive"
-                    served, anchor, since, der, memo = r.truth, r.state, r.t, r.tokens, {}
-            out.append((r.iid, r.t, action, served, served != r.truth, ev, der))
-        return pd.DataFrame(out, columns=["iid", "t", "action", "served", "wrong", "eval_tok", "der_tok"])
-
-    return run
+    """One step of the verdict-driven machine: (state, read) -> state, whose `out` are the rows so far."""
+    keeps = ["still_valid", "unsure"] if unsure == "fresh" else ["still_valid"]
+
+    def step(a, r):
+        due = (r["t"] - a["since"] >= force_after) if force_after else F.lit(False)
+        action = (
+            F.when(a["since"].isNull(), "derive")
+            .when(due, "forced")
+            .when(r["state"].eqNullSafe(a["anchor"]), "same")
+            .when(F.array_contains(a["memo"], F.coalesce(r["state"], F.lit(""))), "memo")
+            .when(r["verdict"] == "still_valid", "valid")
+            .when((r["verdict"] == "unsure") & F.lit("unsure" in keeps), "unsure_fresh")
+            .when(r["verdict"] == "changed", "repair")
+            .otherwise("rederive")
+        )
+
+        def go(x):
+            anew = x.isin("derive", "forced", "repair", "rederive")
+            asked = x.isin("valid", "unsure_fresh", "repair", "rederive")
+            served = F.when(anew, r["truth"]).otherwise(a["served"])
+            row = F.struct(
+                r["t"].alias("t"),
+                x.alias("action"),
+                served.alias("served"),
+                (~served.eqNullSafe(r["truth"])).alias("wrong"),
+                F.when(asked, F.floor(r["tokens"] / 10)).otherwise(0).cast("long").alias("eval_tok"),
+                F.when(anew, r["tokens"]).otherwise(0).cast("long").alias("der_tok"),
+            )
+            memo = F.when(anew, F.array().cast("array<string>")).when(asked, F.array_append(a["memo"], F.coalesce(r["state"], F.lit("")))).otherwise(a["memo"])
+            return F.struct(
+                served.alias("served"),
+                F.when(anew, r["state"]).otherwise(a["anchor"]).alias("anchor"),
+                F.when(anew, r["t"]).otherwise(a["since"]).alias("since"),
+                memo.alias("memo"),
+                F.array_append(a["out"], row).alias("out"),
+            )
+
+        return F.transform(F.array(action), go)[0]  # binds the action once
+
+    return step
+
+
+#: State of the machine.
+START = "struct<served:string,anchor:string,since:bigint,memo:array<string>,out:array<struct<t:bigint,action:string,served:string,wrong:boolean,eval_tok:bigint,der_tok:bigint>>>"
 
 
 def verdict_driven(rows: DataFrame, force_after: int = 0, unsure: str = "rederive") -> DataFrame:
     """The evidence-state policy: equal evidence serves the stored answer; a new state asks for a verdict,
     remembers a valid one, and repairs or derives anew otherwise, which re-anchors the evidence.
 
-    Its query set depends on its own actions, so it is a state machine per key; a key's reads are its
-    version axis, bounded by the number of snapshots.
+    Its query set depends on its own actions, so it is a fold over a key's reads in order, which are
+    its version axis, bounded by the number of snapshots. It stays in the JVM.
     """
-    return rows.groupBy("iid").applyInPandas(_machine(force_after, unsure), MACHINE)
-
-
+    reads = F.sort_array(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), "truth", "state", "verdict", F.col("tokens").cast("long").alias("tokens"))))
+    start = F.from_json(F.lit('{"memo": [], "out": []}'), START)
+    done = rows.groupBy("iid").agg(reads.alias("reads")).select("iid", F.aggregate("reads", start, _machine(force_after, unsure), lambda a: a["out"]).alias("out"))
+    return done.select("iid", F.inline("out"))

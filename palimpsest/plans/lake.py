@@ -166,35 +166,58 @@ def file_schema(spark, sf):
     return readers.file_columns(spark, f"{sf}/orders.parquet")
 
 
-@query("select * from (values ('region', 'removed', 'string', null), ('Airport_fee', 'added', null, 'double'), ('trip_id', 'renamed', 'bigint', 'bigint'), ('fare', 'retyped', 'bigint', 'double')) t(name, change, old_type, new_type)")
+_TYPES = "t as (select * from (values ('BIGINT', 'bigint'), ('VARCHAR', 'string'), ('DOUBLE', 'double'), ('TIMESTAMP', 'timestamp_ntz'), ('INTEGER', 'int'), ('FLOAT', 'float'), ('FLOAT[]', 'array<float>'), ('DOUBLE[]', 'array<double>')) v(d, s))"
+
+
+@query(
+    f"""with {_TYPES}, c as (select table_name as f, column_index as i, regexp_replace(column_name, '^[a-z]+_', '') as name, t.s as type from duckdb_columns() join t on data_type = t.d where table_name in ('customer', 'supplier')),
+    a as (select name, type from c where f = 'customer'), b as (select case when name = 'name' then 'Name' else name end as name, type from c where f = 'supplier')
+    select coalesce(a.name, b.name) as name, case when a.name is null then 'added' when b.name is null then 'removed' when a.name <> b.name then 'renamed' else 'retyped' end as change, a.type as old_type, b.type as new_type
+    from a full join b on lower(a.name) = lower(b.name) where a.name is distinct from b.name or a.type <> b.type"""
+)
 def schema_diff(spark, sf):
-    a = spark.sql("select * from values ('trip_id', 'bigint'), ('fare', 'bigint'), ('region', 'string'), ('tip', 'double') as t(name, type)")
-    b = spark.sql("select * from values ('Trip_ID', 'bigint'), ('fare', 'double'), ('tip', 'double'), ('Airport_fee', 'double') as t(name, type)")
-    return observe.schema_diff(a, b)
+    """The columns of two files, without their prefixes."""
+    bare = F.regexp_replace("name", "^[a-z]+_", "")
+    a = readers.file_columns(spark, f"{sf}/customer.parquet").withColumn("name", bare)
+    b = readers.file_columns(spark, f"{sf}/supplier.parquet").withColumn("name", bare)
+    return observe.schema_diff(a, b.withColumn("name", F.when(F.col("name") == "name", "Name").otherwise(F.col("name"))))
+
+
+@query(
+    """with c as (select table_name as f, column_index as i, regexp_replace(column_name, '^[a-z]+_', '') as name from duckdb_columns() where table_name in ('customer', 'supplier')),
+    j as (select a.i as i, b.i as k from c a join c b on a.name = b.name and a.f = 'customer' and b.f = 'supplier'), r as (select row_number() over (order by i) as x, row_number() over (order by k) as y from j)
+    select count(*) as n_shared, coalesce(bool_and(x = y), true) as same_order from r"""
+)
+def schema_order(spark, sf):
+    """Whether the columns that two files share stand in the same order."""
+    bare = F.regexp_replace("name", "^[a-z]+_", "")
+    a = readers.file_columns(spark, f"{sf}/customer.parquet").withColumn("name", bare)
+    b = readers.file_columns(spark, f"{sf}/supplier.parquet").withColumn("name", bare)
+    return observe.same_order(a, b)
 
 
 @query(
-    """with m as (select strftime(o_orderdate, '%Y-%m') as month, list_sort(list(distinct o_orderstatus || '')) as cols from orders where o_orderkey % 97 = 0 group by 1),
-    c as (select month, cols, lag(cols) over (order by month) as before from m)
-    select month, array_to_string(list_sort(list_filter(cols, lambda x: not list_contains(before, x))), ',') as added, array_to_string(list_sort(list_filter(before, lambda x: not list_contains(cols, x))), ',') as removed
-    from c where before is not null and cols <> before"""
+    """with n as (select distinct o_orderdate::date as day, o_orderpriority as name, max(o_orderstatus) as type from orders group by 1, 2),
+    d as (select distinct day, dense_rank() over (order by day) as i from n),
+    a as (select d.i, d.day, n.name, n.type from n join d using (day)),
+    j as (select coalesce(x.day, e.day) as day, coalesce(x.name, y.name) as name, x.type as now, y.type as before from a x full join a y on x.i = y.i + 1 and x.name = y.name left join d e on e.i = y.i + 1)
+    select day, coalesce(string_agg(name, ',' order by name) filter (where before is null), '') as added, coalesce(string_agg(name, ',' order by name) filter (where now is null), '') as removed, coalesce(string_agg(name, ',' order by name) filter (where now <> before), '') as retyped
+    from j where day is not null and day > (select min(day) from n) and now is distinct from before group by day"""
 )
 def schema_timeline(spark, sf):
-    """Months whose set of names differs from the month before (statuses stand in for columns)."""
-    o = table(spark, sf, "orders").where("o_orderkey % 97 = 0")
-    m = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sort_array(F.collect_set("o_orderstatus")).alias("cols"))
-    m = m.withColumn("before", F.lag("cols").over(Window.orderBy("month"))).where("before is not null and cols <> before")
-    text = lambda a, b: F.array_join(F.sort_array(F.array_except(a, b)), ",")
-    return m.select("month", text("cols", "before").alias("added"), text("before", "cols").alias("removed"))
+    """Days whose columns differ from the day before: priorities are names, their greatest status is the type."""
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("name")).agg(F.max("o_orderstatus").alias("type"))
+    return manifest.schema_changes(o, "day")
 
 
-@query("select o_orderstatus, count(*) as n, sum(round(o_totalprice, 2)::decimal(38,2)) as total from orders where o_totalprice > 1000 group by 1 order by n desc, 1 limit 51")
+@query("select o_orderstatus, count(*) as n, sum(round(o_totalprice, 2)::decimal(18,2)) as total from orders where o_totalprice > 1000 group by 1 order by n desc, 1 limit 51")
 def guarded_select(spark, sf):
     rows, _ = observe.guarded_sql(
         spark,
         "SELECT o_orderstatus, count(*) AS n, sum(cast(round(o_totalprice, 2) AS decimal(28,2))) AS total FROM 'orders.parquet' WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY n DESC, 1",
         {"orders.parquet": table(spark, sf, "orders")},
-        {"orders.parquet": 0},
+        {"orders.parquet": table(spark, sf, "orders").count()},
+        most_rows=10**15,  # the whole table, whatever its size
     )
     return rows
 
@@ -237,8 +260,14 @@ def json_arg_extract(spark, sf):
 
 
 @query(
-    """select * from (values (1, '3.14'), (2, 'NONE'), (3, '1234'), (4, 'a, b'), (5, 'x y'), (6, '0.12'), (7, '-5')) t(id, answer)"""
+    """select o_orderkey, case when o_orderstatus = 'P' then 'NONE' when o_orderstatus = 'F' then round_even(o_totalprice::decimal(18,2), 1)::decimal(18,1)::varchar
+      when o_orderpriority = '1-URGENT' then o_orderkey::varchar else o_orderpriority || ', ' || o_custkey end as answer from orders"""
 )
 def canonical_answers(spark, sf):
-    rows = spark.sql("select * from values (1, '\"3.141\"', '2.72'), (2, '`none`', '7'), (3, 'about 1,234 rows', '99'), (4, 'a,b', 'c, d'), (5, ' x y ', 'z'), (6, '0.125', '9.99'), (7, '-5', '3') as t(id, given, known)")
-    return rows.select("id", scalar.canonical_answer(F.col("given"), F.col("known")).alias("answer"))
+    """Answers as they are written by hand: quoted, with a unit, as a list without blanks."""
+    o, urgent = table(spark, sf, "orders"), F.col("o_orderpriority") == "1-URGENT"
+    kind = lambda none, number, whole, listed: F.when(F.col("o_orderstatus") == "P", none).when(F.col("o_orderstatus") == "F", number).when(urgent, whole).otherwise(listed)
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    given = kind(F.lit("`none`"), F.concat(F.lit('"'), price, F.lit('"')), F.concat(F.lit("about "), F.format_number("o_orderkey", 0), F.lit(" rows")), F.concat_ws(",", "o_orderpriority", F.col("o_custkey").cast("string")))
+    known = kind(F.lit("7"), F.lit("2.7"), F.lit("99"), F.lit("c, d"))
+    return o.select("o_orderkey", scalar.canonical_answer(given, known).alias("answer"))

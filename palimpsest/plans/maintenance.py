@@ -86,9 +86,21 @@ def detect_memo_actions(spark, sf):
     return policies.detect(_reads(spark, sf)).select("iid", "t", "action")
 
 
-@query()
+@query(
+    f"""with recursive {READS}, v as (select r.*, ['still_valid', 'changed', 'unsure'][e.event_id % 3 + 1] as verdict, row_number() over (partition by iid order by t) as i from reads r join (select iid, t, event_id from records) e using (iid, t)),
+    m as (
+      select iid, i, t, 'derive' as action, truth as served, false as wrong, 0::bigint as eval_tok, tokens as der_tok, state as anchor, t as since, []::varchar[] as memo from v where i = 1
+      union all
+      select iid, i, t, action, case when anew then truth else served end, (case when anew then truth else served end) <> truth, case when action in ('valid', 'repair', 'rederive') then tokens // 10 else 0 end, case when anew then tokens else 0 end,
+        case when anew then state else anchor end, case when anew then t else since end, case when anew then [] when action = 'valid' then list_append(memo, state) else memo end
+      from (select *, action in ('forced', 'repair', 'rederive') as anew from (
+        select v.iid, v.i, v.t, v.truth, v.state, v.tokens, m.served, m.anchor, m.since, m.memo,
+          case when v.t - m.since >= 40 then 'forced' when v.state = m.anchor then 'same' when list_contains(m.memo, v.state) then 'memo' when verdict = 'still_valid' then 'valid' when verdict = 'changed' then 'repair' else 'rederive' end as action
+        from m join v on v.iid = m.iid and v.i = m.i + 1)))
+    select iid, t, action, served, wrong, eval_tok, der_tok from m"""
+)
 def policy_verdict_driven(spark, sf):
-    """A state machine whose evidence depends on its own actions; a test holds it against a plain loop."""
+    """A state machine whose evidence depends on its own actions."""
     return policies.verdict_driven(_reads(spark, sf), force_after=40)
 
 
@@ -224,13 +236,13 @@ def asof_clock_join(spark, sf):
 
 @query(
     f"""with {RECORDS}, c as (select iid, t, sum(eval_tok + der_tok) over w as upto, max(case when eval_tok > 0 then t else 0 end) over w as le, max(case when der_tok > 0 then t else 0 end) over w as ld from records window w as (partition by iid order by t)),
-    f as (select iid, t, coalesce(lag(t) over (partition by iid order by t), 0) as p from records where t % 3 = 0)
+    f as (select iid, t, coalesce(lag(t) over (partition by iid order by t), 0) as p from records where action = 'memo')
     select f.iid, f.t, f.p, (coalesce(case when c.le > f.p then e.eval_tok end, 0) + coalesce(case when c.ld > f.p then d.der_tok end, 0))::bigint as lazy_tok, (c.upto - coalesce(b.upto, 0))::bigint as sum_tok
     from f join c using (iid, t) left join c b on b.iid = f.iid and b.t = f.p left join records e on e.iid = f.iid and e.t = c.le left join records d on d.iid = f.iid and d.t = c.ld"""
 )
 def lazy_coalesced_cost(spark, sf):
     r = base.records(spark, sf)
-    return arrivals.lazy_cost(r.where("t % 3 = 0").select("iid", "t", "time"), r.select("iid", "t", "eval_tok", "der_tok"))
+    return arrivals.lazy_cost(r.where("action = 'memo'").select("iid", "t", "time"), r.select("iid", "t", "eval_tok", "der_tok"))
 
 
 @query(f"with {RECORDS} select iid, sum(eval_tok + der_tok)::bigint as eager_tok, count_if(der_tok > 0) as n_derived from records group by iid")
@@ -239,20 +251,20 @@ def eager_cost(spark, sf):
 
 
 @query(
-    f"""with {RECORDS}, w as (select iid, t as u, answer as truth from records where t % 9 = 0), d as (select iid, t, answer as dtruth, der_tok as tokens from records where der_tok > 0),
+    f"""with {RECORDS}, w as (select iid, t as u, answer as truth from records), d as (select iid, t, answer as dtruth, der_tok as tokens from records where der_tok > 0),
     j as (select w.iid, w.u, d.t, d.tokens, case when d.t is null then 'none' when d.t = w.u then 'exact' when dtruth = truth then 'same_truth' else 'other_truth' end as kind, row_number() over (partition by w.iid, w.u order by (dtruth is distinct from truth), abs(d.t - w.u), d.t) as r from w left join d on w.iid = d.iid)
     select iid, u, t, tokens, kind from j where r = 1"""
 )
 def impute_nearest(spark, sf):
     r = base.records(spark, sf)
-    wanted = r.where("t % 9 = 0").select("iid", F.col("t").alias("u"), F.col("answer").alias("truth"))
+    wanted = r.select("iid", F.col("t").alias("u"), F.col("answer").alias("truth"))
     return arrivals.impute_nearest(wanted, r.where("der_tok > 0").select("iid", "t", F.col("answer").alias("truth"), F.col("der_tok").alias("tokens")))
 
 
 @query(f"with {RECORDS}, d as (select iid, t, answer, served_valid as v from records where der_tok > 0) select count(*) as pairs, count_if(not a.v and not b.v) as both_wrong, count_if(not a.v and not b.v and a.answer = b.answer) as same_wrong from d a join d b on a.iid = b.iid and a.t < b.t")
 def pair_persistence(spark, sf):
     r = base.records(spark, sf).where("der_tok > 0")
-    return inference.pair_persistence(r.select("iid", "t", "answer", F.col("served_valid").alias("valid")))
+    return inference.pair_persistence(r.select("iid", "answer", F.col("served_valid").alias("valid")))
 
 
 @query("select g as repo, count(*) as n_tasks, count_if(not ok) as n_wrong from (select user_id % 5 as g, user_id, date_trunc('day', ts) as day, bool_and(event_type <> 'error') as ok from events group by 1, 2, 3) group by 1")
@@ -273,21 +285,29 @@ def monotone_clock(spark, sf):
     return arrivals.monotone_clock(e, "repo", "event_id", "ct").select("repo", "event_id", "at")
 
 
-@query(f"with {RECORDS}, ev as (select iid, t as \"at\" from records where event_id % 50 = 0) select ev.iid, ev.\"at\", count(*) as n_reads, count_if(not served_valid) as n_wrong from ev join records r on r.iid = ev.iid and r.t >= ev.\"at\" and r.t < ev.\"at\" + 10 group by 1, 2")
+@query(
+    f"""with {RECORDS}, b as (select *, lag(answer) over (partition by iid order by t) as before from records), ev as (select iid, t as "at" from records where action = 'rederive')
+    select ev.iid, ev."at", count(*) as n_reads, count_if(not served_valid) as n_wrong, max(case when r.t = ev."at" then before is not null and answer <> before end) as affected
+    from ev join b r on r.iid = ev.iid and r.t >= ev."at" and r.t < ev."at" + 10 group by 1, 2"""
+)
 def event_windows(spark, sf):
+    """The ten reads from each re-derivation on."""
     r = base.records(spark, sf)
-    return arrivals.event_windows(r.select("iid", "t", "served_valid"), r.where("event_id % 50 = 0").select("iid", F.col("t").alias("at")))
+    return arrivals.event_windows(r.select("iid", "t", F.col("answer").alias("truth"), "served_valid"), r.where("action = 'rederive'").select("iid", F.col("t").alias("at")))
 
 
 @query(
-    """with f as (select distinct user_id % 10 as repo, user_id as iid, dense_rank() over (partition by user_id % 10 order by user_id) as rank from events), k as (select distinct user_id % 10 as repo, event_id as task from events where event_id % 100 = 0),
-    j as (select f.repo, k.task, f.iid, row_number() over (partition by f.repo, k.task order by -ln((('0x' || substr(md5('zipf|' || k.task || '|' || f.iid), 1, 12))::bigint + 1)::double / 281474976710657.0) * pow(f.rank, 1.1), f.iid) as n from f join k on f.repo = k.repo)
-    select * from j where n <= 3"""
+    """with f as (select distinct user_id % 10 as repo, user_id as iid, dense_rank() over (partition by user_id % 10 order by user_id) as rank from events),
+    c as (select *, sum(1 / pow(rank, 1.1)) over (partition by repo order by rank) as upto, sum(1 / pow(rank, 1.1)) over (partition by repo) as al from f),
+    g as (select repo, iid, coalesce(lag(upto) over (partition by repo order by rank), 0) / al as lo, upto / al as hi from c),
+    d as (select user_id % 10 as repo, event_id as task, draw, ('0x' || substr(md5('zipf|' || event_id || '|' || draw), 1, 12))::bigint / 281474976710656.0::double as u from events, range(1, 65) r(draw) where event_type = 'click'),
+    j as (select d.repo, task, iid, min(draw) as draw from d join g on d.repo = g.repo and u >= lo and u < hi group by 1, 2, 3), n as (select repo, task, iid, row_number() over (partition by repo, task order by draw) as n from j)
+    select * from n where n <= 3"""
 )
 def zipf_task_generator(spark, sf):
     e = table(spark, sf, "events").withColumn("repo", F.col("user_id") % 10)
     f = e.select("repo", F.col("user_id").alias("iid")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy("iid")))
-    return arrivals.zipf_tasks(f, e.where("event_id % 100 = 0").select("repo", F.col("event_id").alias("task")), 3, 1.1)
+    return arrivals.zipf_tasks(f, e.where("event_type = 'click'").select("repo", F.col("event_id").alias("task")), 3, 1.1)
 
 
 @query(
