@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,5 +178,78 @@ def rate_distance(a: Column, b: Column) -> Column:
 
 
 def float_text(x: Column) -> Column:
-    """A double as text with ten significant digits."""
-    return F.format_string("%.10g", x)
+    """A double as text with ten significant digits and no zeros at the end; with an exponent below 1e-4 and from 1e10 on."""
+    digits = F.format_string("%.9e", x)
+    mantissa, exponent = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1)
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    fixed = bare(digits.cast("decimal(38,18)").cast("string"))
+    inside = exponent.cast("int").between(-4, 9) | (x == 0)
+    return F.when(F.isnan(x) | F.isnan(x - x), x.cast("string")).when(inside, fixed).otherwise(F.concat(bare(mantissa), F.lit("e"), exponent))
+
+
+#: Top-level folders that hold no source of a package.
+NO_SOURCE = ("docs", "doc", "examples", "example", "benchmarks", "scripts", "tools")
+
+
+def is_test(path: Column) -> Column:
+    """Whether a path is a test file: in a folder of tests, or named like one."""
+    return path.rlike(r"(^|/)tests?/") | path.rlike(r"(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$")
+
+
+def is_source(path: Column) -> Column:
+    """Whether a path is a source file of the package: Python, no test, not in a folder beside the package."""
+    return path.endswith(".py") & ~is_test(path) & ~F.split(path, "/")[0].isin(*NO_SOURCE)
+
+
+PARSE_ERROR = "PARSE_ERROR"
+
+
+def _ini(texts: pd.Series, section: pd.Series, key: pd.Series) -> pd.Series:
+    import configparser
+
+    def one(t, s, k):
+        if t is None:
+            return None
+        p = configparser.ConfigParser(interpolation=None)
+        try:
+            p.read_string(t)
+        except configparser.Error:
+            return PARSE_ERROR
+        return p.get(s, k, fallback=NONE)
+
+    return pd.Series([one(*x) for x in zip(texts, section, key)], dtype=object)
+
+
+def _toml(texts: pd.Series, path: pd.Series) -> pd.Series:
+    import json
+    import tomllib
+
+    def one(t, path):
+        if t is None:
+            return None
+        try:
+            at = tomllib.loads(t)
+        except tomllib.TOMLDecodeError:
+            return PARSE_ERROR
+        for k in path.split("."):
+            if not isinstance(at, dict) or k not in at:
+                return NONE
+            at = at[k]
+        return json.dumps(at, sort_keys=True, default=str)
+
+    return pd.Series([one(*x) for x in zip(texts, path)], dtype=object)
+
+
+def ini_value(text: Column, section: str, key: str) -> Column:
+    """The value of a key in a section of an INI text; NONE if absent, PARSE_ERROR if the text is broken."""
+    return F.pandas_udf(_ini, "string")(text, F.lit(section), F.lit(key))
+
+
+def toml_value(text: Column, path: str) -> Column:
+    """The value at a dotted path of a TOML text, as JSON; NONE if absent, PARSE_ERROR if the text is broken."""
+    return F.pandas_udf(_toml, "string")(text, F.lit(path))
+
+
+def question(period: Column, agg: Column, what: Column, name: Column) -> Column:
+    """A fact as a question."""
+    return F.concat(F.lit("In the data of "), period, F.lit(", what is the "), agg, F.lit(" of "), what, name, F.lit("?"))

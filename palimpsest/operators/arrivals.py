@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,3 +152,48 @@ def event_windows(reads: DataFrame, events: DataFrame, span: int = 10) -> DataFr
     points = events.select("iid", "at", F.explode(F.sequence(F.col("at"), F.col("at") + span - 1)).alias("t"))
     got = points.join(reads, ["iid", "t"])
     return got.groupBy("iid", "at").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if(~F.col("served_valid")).alias("n_wrong"), F.max(F.when(F.col("t") == F.col("at"), F.col("moved"))).alias("affected"))
+
+
+def greedy_assignment(repos: list[tuple[str, float]], proxies: list[tuple[str, float]]) -> dict[str, str]:
+    """Each repository, in the order of rising rate, gets the proxy with the nearest rate that is still
+    free (ties to the first by name). Both lists are small tables of names and rates, not data."""
+    free, out = dict(proxies), {}
+    for name, rate in sorted(repos, key=lambda x: (x[1], x[0])):
+        if not free:
+            break
+        best = min(sorted(free), key=lambda p: abs(math.log(rate / free[p])))
+        out[name] = best
+        free.pop(best)
+    return out
+
+
+def poisson_control(counts: DataFrame, by: str, start: str, end: str, seed: str = "poisson") -> DataFrame:
+    """counts (by, n) to n arrivals between two times in seconds: order statistics of hashed uniform numbers,
+    which are those of a Poisson process given its count."""
+    rows = counts.select(by, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / float(16**8)
+    return rows.select(by, "i", (F.lit(float(start)) + u * F.lit(float(end) - float(start))).alias("at"))
+
+
+def composed_cost(reads: DataFrame, triggers: DataFrame, derivations: DataFrame) -> DataFrame:
+    """A policy put together from records: at each read (iid, t, truth) that its trigger (iid, t, fired) tells,
+    the derivation that stands for it is paid. Gives per key its reads, derivations and imputed tokens."""
+    fired = reads.join(triggers.where("fired").select("iid", "t"), ["iid", "t"], "left_semi")
+    imputed = impute_nearest(fired.select("iid", F.col("t").alias("u"), "truth"), derivations)
+    paid = imputed.groupBy("iid").agg(F.count(F.lit(1)).alias("n_derived"), F.sum("tokens").alias("tok"))
+    n = reads.groupBy("iid").agg(F.count(F.lit(1)).alias("n_reads"))
+    return n.join(paid, "iid", "left").select("iid", "n_reads", F.coalesce("n_derived", F.lit(0)).alias("n_derived"), F.coalesce("tok", F.lit(0)).alias("tok"))
+
+
+def agreement(engine: DataFrame, recorded: DataFrame, on: list[str], value: str) -> DataFrame:
+    """Share of common reads at which the engine and the record agree, and reads that only one of them has."""
+    j = engine.select(*on, F.col(value).alias("x")).join(recorded.select(*on, F.col(value).alias("y")), on, "full_outer")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return j.agg(F.count_if(both).alias("n"), F.avg(F.when(both, (F.col("x") == F.col("y")).cast("int"))).alias("agree"), F.count_if(F.col("y").isNull()).alias("only_engine"), F.count_if(F.col("x").isNull()).alias("only_recorded"))
+
+
+def after_commit(tasks: DataFrame, commits: DataFrame, by: str, hours: int = 24) -> DataFrame:
+    """Per key: tasks, and the share that arrives within ``hours`` after a commit (both: by, time)."""
+    j = asof(tasks.select(by, "time"), commits.select(by, "time", F.col("time").alias("t")), by)
+    near = F.col("t").isNotNull() & (F.unix_micros(F.col("time").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp")) <= hours * 3_600_000_000)
+    return j.groupBy(by).agg(F.count(F.lit(1)).alias("n_tasks"), (F.count_if(near) / F.count(F.lit(1))).alias("within"))

@@ -3,6 +3,7 @@ evaluated once per distinct state, and re-evaluated only when that state changes
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +78,67 @@ def combine_samples(samples: DataFrame, by: list[str], rule: str = "majority") -
     total = counts.withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
     wins = F.col("n") == F.col("all") if rule == "unanimous" else F.col("n") * 2 > F.col("all")
     return total.groupBy(*by).agg(F.coalesce(F.max(F.when(wins, F.col("verdict"))), F.lit("unsure")).alias("verdict"))
+
+
+def span_anchors(texts: DataFrame, least: int = 6) -> DataFrame:
+    """Per text (path, text), its first and last distinctive line: of ``least`` characters and unlike any other line."""
+    from palimpsest.operators.observe import text_lines
+
+    one = text_lines(texts).where(F.length("line") >= least).groupBy("path", "line").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    return one.groupBy("path").agg(F.min_by("line", "line_no").alias("first"), F.max_by("line", "line_no").alias("last"))
+
+
+def auto_citations(texts: DataFrame, items: DataFrame, most: int = 8) -> DataFrame:
+    """The first lines of each text (path, text) that hold an item of its answer (path, item): path, line_no, line."""
+    from palimpsest.operators.observe import text_lines
+
+    hit = text_lines(texts).join(items, "path").where(F.contains("line", F.col("item"))).select("path", "line_no", "line").distinct()
+    w = Window.partitionBy("path").orderBy("line_no")
+    return hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
+def decode(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """rows (iid, value_hash, ...) with the values that a dictionary (iid, value_hash, value) tells."""
+    return rows.join(dictionary, ["iid", "value_hash"])
+
+
+def capped_groups(items: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
+    """Items of a key in order, put into groups of at most ``most`` in size (a larger item is a group of its own):
+    by, group, n_items, total. A fold over a key's items, whose state is the open group alone."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(size).cast("long").alias("size")))), lambda x: x["size"])
+    whole = F.aggregate(
+        listed,
+        F.struct(F.array().cast("array<struct<n:bigint,total:bigint>>").alias("done"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")),
+        lambda a, x: F.when(
+            (a["n"] > 0) & (a["total"] + x > most),
+            F.struct(F.array_append(a["done"], F.struct(a["n"].alias("n"), a["total"].alias("total"))).alias("done"), F.lit(1).cast("long").alias("n"), x.alias("total")),
+        ).otherwise(F.struct(a["done"].alias("done"), (a["n"] + 1).alias("n"), (a["total"] + x).alias("total"))),
+        lambda a: F.array_append(a["done"], F.struct(a["n"].alias("n"), a["total"].alias("total"))),
+    )
+    return items.groupBy(by).agg(whole.alias("g")).select(by, F.posexplode("g").alias("group", "g")).select(by, "group", F.col("g.n").alias("n_items"), F.col("g.total").alias("total"))
+
+
+def hunks(pairs: DataFrame, old: str, new: str, context: int = 2) -> DataFrame:
+    """pairs with hunks: of the unified difference of two texts with some lines of context, each hunk's first
+    line in the new text, its number of lines there, and its text. Text differences are no column expression."""
+
+    @F.pandas_udf("array<struct<start:int,lines:int,text:string>>")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        def one(x, y):
+            x, y = (x or "").split("\n"), (y or "").split("\n")
+            out = []
+            for group in difflib.SequenceMatcher(None, x, y, autojunk=False).get_grouped_opcodes(context):
+                lines = []
+                for tag, i1, i2, j1, j2 in group:
+                    if tag == "equal":
+                        lines += [" " + z for z in x[i1:i2]]
+                    else:
+                        lines += ["-" + z for z in x[i1:i2]] + ["+" + z for z in y[j1:j2]]
+                out.append({"start": group[0][3] + 1, "lines": group[-1][4] - group[0][3], "text": "\n".join(lines)})
+            return out
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+    return pairs.withColumn("hunks", diff(F.col(old), F.col(new)))

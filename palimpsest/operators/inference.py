@@ -99,3 +99,85 @@ def pair_persistence(derivations: DataFrame) -> DataFrame:
     key = per.groupBy("iid").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(pairs("w")).alias("same"))
     whole = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
     return key.agg(whole(pairs("n")).alias("pairs"), whole(pairs("w")).alias("both_wrong"), whole(F.col("same")).alias("same_wrong"))
+
+
+def bootstrap_mean(rows: DataFrame, key: str, value: str, replicates: int = 1000, seed: str = "boot", levels: tuple[float, ...] = (0.95, 0.9)) -> DataFrame:
+    """Mean of one value a key (or cluster), with percentile intervals of hash-weighted replicates at each level."""
+    per = rows.groupBy(F.col(key).alias("k")).agg(F.sum(value).alias("a"), F.count(F.lit(1)).alias("b"))
+    rep = per.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    w = poisson_weight(F.col("k"), F.col("r"), seed)
+    one = rep.groupBy("r").agg((F.sum(w * F.col("a")) / F.greatest(F.sum(w * F.col("b")), F.lit(1))).alias("x"))
+    bands = [F.expr(f"percentile(x, {q})").alias(f"{side}{round(level * 100)}") for level in levels for side, q in (("low", round((1 - level) / 2, 6)), ("high", round((1 + level) / 2, 6)))]
+    point = per.agg((F.sum("a") / F.greatest(F.sum("b"), F.lit(1))).alias("mean"))
+    return point.crossJoin(F.broadcast(one.agg(*bands)))  # one row each
+
+
+def bootstrap_quotient(facts: DataFrame, key: str, num: str, den: str, replicates: int = 1000) -> DataFrame:
+    """mean(num) / mean(den) over the same keys with its 95 % interval."""
+    return bootstrap_ratio(facts, key, num, den, replicates)
+
+
+def differences(a: DataFrame, b: DataFrame, key: str, value: str, cluster=None) -> DataFrame:
+    """key, d: a - b over common keys, and the cluster of each key."""
+    j = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key)
+    rows = j.select(key, (F.col("x") - F.col("y")).alias("d"))
+    return rows if cluster is None else rows.withColumn("cluster", cluster)
+
+
+def wilcoxon(rows: DataFrame, d: str = "d") -> DataFrame:
+    """Signed-rank sums of the differences that aren't 0, with mean ranks for ties, and their normal score.
+
+    Ranks come from the counts of each absolute difference, so that rows are counted, not sorted.
+    """
+    c = rows.where(F.col(d) != 0).groupBy(F.abs(d).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) > 0).alias("up"))
+    before = F.sum("n").over(Window.orderBy("x")) - F.col("n")  # one row a distinct difference
+    r = c.withColumn("rank", before + (F.col("n") + 1) / 2)
+    s = r.agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return s.select("n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / sd).alias("z"))
+
+
+def margins(interval: DataFrame, at: list[float]) -> DataFrame:
+    """interval (low90, high90) of a difference at each margin: not inferior (its upper bound stays below the
+    margin) and equivalent (both bounds stay within it: two one-sided tests at 5 %)."""
+    m = F.explode(F.array(*map(F.lit, at)))
+    rows = interval.select("low90", "high90", m.alias("margin"))
+    low, high, m = F.col("low90"), F.col("high90"), F.col("margin")
+    return rows.select("margin", (high < m).alias("non_inferior"), ((high < m) & (low > -m)).alias("equivalent"))
+
+
+def stratified_bootstrap(sample: DataFrame, population: DataFrame, stratum: str, key: str, value: str, replicates: int = 1000) -> DataFrame:
+    """Post-stratified mean with a 95 % interval: keys are drawn within strata, whose shares are the population's."""
+    p = population.groupBy(stratum).agg(F.count(F.lit(1)).alias("np"))
+    p = p.select(stratum, (F.col("np") / F.sum("np").over(Window.partitionBy())).alias("share"))  # one row a stratum
+    rep = sample.select(stratum, key, value).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    w = F.when(F.col("r") == 0, 1).otherwise(poisson_weight(F.col(key), F.col("r"), "strata"))
+    per = rep.groupBy("r", stratum).agg((F.sum(w * F.col(value)) / F.greatest(F.sum(w), F.lit(1))).alias("m"))
+    one = per.join(F.broadcast(p), stratum).groupBy("r").agg((F.sum(F.col("share") * F.col("m")) / F.sum("share")).alias("x"))
+    x = F.when(F.col("r") > 0, F.col("x"))
+    q = lambda at: F.percentile(x, F.lit(at))
+    return one.agg(F.max(F.when(F.col("r") == 0, F.col("x"))).alias("mean"), q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+def break_even(points: DataFrame, key: str, tok: str, tools: str, baseline) -> DataFrame:
+    """At which weight of a tool call, in tokens, each policy costs what the baseline does: the quotient of the
+    differences; always or never cheaper where both have one sign."""
+    w = Window.partitionBy()  # one row a policy
+    base = lambda c: F.max(F.when(F.col(key) == baseline, F.col(c))).over(w)
+    rows = points.withColumn("dt", F.col(tok) - base(tok)).withColumn("dc", base(tools) - F.col(tools)).where(F.col(key) != baseline)
+    dt, dc = F.col("dt"), F.col("dc")
+    case = F.when((dt <= 0) & (dc >= 0), "always").when((dt >= 0) & (dc <= 0), "never").when(dc > 0, "above").otherwise("below")
+    return rows.select(key, case.alias("cheaper"), F.when(case.isin("above", "below"), dt / dc).alias("weight"))
+
+
+def stratified_sample(rows: DataFrame, stratum: str, key: str, k: int, seed: str) -> DataFrame:
+    """k rows of each stratum: those with the least hash of seed and key. Candidates are cut to k a part first,
+    by a top-k that Spark pushes below the shuffle."""
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
+    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """A short table of distinct values (months, snapshots) with their places from 0."""
+    return rows.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))

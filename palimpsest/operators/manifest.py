@@ -109,3 +109,58 @@ def split_parts(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Bag equality of two tables."""
     return a.exceptAll(b).limit(1).count() == 0 and b.exceptAll(a).limit(1).count() == 0
+
+
+def partition_index(files: DataFrame, pattern: str) -> DataFrame:
+    """Partition files by dataset and month: ds, month, paths (sorted). The pattern's groups are ds and month."""
+    part = lambda i: F.regexp_extract("path", pattern, i)
+    return files.where(F.col("path").rlike(pattern)).groupBy(part(1).alias("ds"), part(2).alias("month")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
+def period_parts(index: DataFrame, ds: str, period: str) -> DataFrame:
+    """Files of a dataset in a period (yyyy-MM, yyyy or all), chosen before anything is scanned."""
+    rows = index.where(F.col("ds") == ds)
+    rows = rows if period == "all" else rows.where(F.col("month").startswith(period))
+    return rows.select("ds", "month", F.explode("paths").alias("path"))
+
+
+def latest_parts(index: DataFrame) -> DataFrame:
+    """Per dataset, the files of its last month."""
+    return index.groupBy("ds").agg(F.max("month").alias("month"), F.max_by("paths", "month").alias("paths"))
+
+
+def relevant(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """The exact dependency set of each fact: facts (fact, ds, period) with the files (ds, month, ...) in their period."""
+    inside = (F.col("period") == "all") | F.col("month").startswith(F.col("period"))
+    return facts.join(files, "ds").where(inside)
+
+
+def rename(base: DataFrame, old: str, new: str, idx: int) -> DataFrame:
+    """The changes of a snapshot that moves a folder: each file is removed and put under its new path."""
+    moved = base.where(F.col("path").startswith(old))
+    to = F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 20))
+    gone = moved.select("path", F.lit(idx).cast("long").alias("idx"), F.lit(None).cast("string").alias("sha"))
+    return moved.select(to.alias("path"), F.lit(idx).cast("long").alias("idx"), "sha").unionByName(gone)
+
+
+def bootstrap_versions(docs: DataFrame, start) -> DataFrame:
+    """docs (path, arrival, sha): the version that the first snapshot holds, the latest up to the start, else the earliest."""
+    there = F.when(F.col("arrival") <= start, F.col("arrival"))
+    chosen = F.coalesce(F.max(there), F.min("arrival"))
+    sha = F.coalesce(F.max_by("sha", there), F.min_by("sha", "arrival"))
+    return docs.groupBy("path").agg(chosen.alias("arrival"), sha.alias("sha"))
+
+
+def real_only(log: DataFrame) -> DataFrame:
+    """A log (path, idx, sha, synthetic) without its synthetic events: earlier puts of a path get the last
+    synthetic content, and numbers stay as they are."""
+    final = log.where("synthetic").groupBy("path").agg(F.max_by("sha", "idx").alias("final"), F.max("idx").alias("upto"))
+    rows = log.where("not synthetic").join(final, "path", "left")
+    sha = F.when((F.col("idx") < F.col("upto")) & F.col("sha").isNotNull(), F.col("final")).otherwise(F.col("sha"))
+    return rows.select("path", "idx", sha.alias("sha"))
+
+
+def two_versions(intervals: DataFrame, a: int, b: int) -> DataFrame:
+    """The files of two snapshots side by side: path, old, new (null where it isn't there)."""
+    x = world(intervals, a).withColumnRenamed("sha", "old")
+    return x.join(world(intervals, b).withColumnRenamed("sha", "new"), "path", "full_outer").select("path", "old", "new")

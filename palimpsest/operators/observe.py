@@ -4,6 +4,7 @@ statistics, and one guarded SELECT. Each returns a DataFrame; ``render`` gives c
 
 from __future__ import annotations
 
+import inspect
 import re
 import threading
 import uuid
@@ -176,3 +177,26 @@ def read_set(calls: DataFrame, files: DataFrame) -> DataFrame:
     held = F.when(F.col("item").contains("/"), F.col("path")).otherwise(scalar.basename(F.col("path")))
     got = files.select("path").distinct().join(globs, F.rlike(held, F.col("regex"))).select("item", "path")
     return plain.unionByName(inside).unionByName(wide.join(got, "item").select("iid", "path")).distinct()
+
+
+def label(tool, argument):
+    """A call as text, for people."""
+    return F.concat(tool, F.lit("("), argument, F.lit(")"))
+
+
+def tools() -> list[dict]:
+    """The observations as tools: name, description and parameters (name, type, required) from their signatures."""
+    out = []
+    for f in (ls, find, grep, grep_count, read_text, head, stats, schema_diff, guarded_sql):
+        parameters = [(n, p) for n, p in inspect.signature(f).parameters.items() if "DataFrame" not in str(p.annotation) and "SparkSession" not in str(p.annotation)]
+        out.append({"name": f.__name__, "description": (f.__doc__ or "").split("\n")[0], "parameters": [{"name": n, "type": str(p.annotation), "required": p.default is p.empty} for n, p in parameters]})
+    return out
+
+
+def call(name: str, given: dict, **bound):
+    """Run an observation by name: arguments that it doesn't know are left out; an unknown name is refused."""
+    known = {f.__name__: f for f in (ls, find, grep, grep_count, read_text, head, stats, schema_diff, guarded_sql)}
+    if name not in known:
+        raise Refused(f"no observation is called {name!r}")
+    names = inspect.signature(known[name]).parameters
+    return known[name](**{k: v for k, v in {**given, **bound}.items() if k in names})

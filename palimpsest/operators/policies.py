@@ -146,3 +146,34 @@ def verdict_driven(rows: DataFrame, force_after: int = 0, unsure: str = "rederiv
     start = F.from_json(F.lit('{"memo": [], "out": []}'), START)
     done = rows.groupBy("iid").agg(reads.alias("reads")).select("iid", F.aggregate("reads", start, _machine(force_after, unsure), lambda a: a["out"]).alias("out"))
     return done.select("iid", F.inline("out"))
+
+
+def at_times(rows: DataFrame, times: list[int], t: str = "t") -> DataFrame:
+    """The reads at given times: a schedule, as long as the version axis."""
+    return rows.where(F.col(t).isin(times))
+
+
+def sweep(rows: DataFrame, ages: list[int], schedules: list[int]) -> DataFrame:
+    """Expiry by age at each read, for several ages and read schedules at once: k, every, n_reads, n_wrong, n_derived.
+    The configuration is a column, so all run in one job."""
+    rows = rows.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in ages])))
+    first = F.first("t").over(Window.partitionBy("k", "iid").orderBy("t"))
+    rows = rows.withColumn("derived", (F.col("t") - first) % F.col("k") == 0)
+    w = Window.partitionBy("k", "iid").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    served = F.last(F.when(F.col("derived"), F.col("truth")), ignorenulls=True).over(w)
+    rows = rows.withColumn("wrong", ~served.eqNullSafe(F.col("truth"))).withColumn("every", F.explode(F.array(*[F.lit(e).cast("long") for e in schedules])))
+    return rows.where(F.col("t") % F.col("every") == 0).groupBy("k", "every").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if("wrong").alias("n_wrong"), F.count_if("derived").alias("n_derived"))
+
+
+#: Named policies: each takes reads (iid, t, truth, state) and gives them with derived, served and wrong.
+REGISTRY = {"never": never, "always": always, "replay": guard, "filehash": guard, "manifest": guard}
+
+
+def run(name: str, rows: DataFrame) -> DataFrame:
+    """A policy by name: one of REGISTRY, or ttl_epoch<k> or ttl_age<k>."""
+    for prefix, f in (("ttl_epoch", ttl_epoch), ("ttl_age", ttl_age)):
+        if name.startswith(prefix) and name.removeprefix(prefix).isdigit():
+            return f(rows, int(name.removeprefix(prefix)))
+    if name not in REGISTRY:
+        raise KeyError(f"no policy is called {name!r}")
+    return REGISTRY[name](rows)

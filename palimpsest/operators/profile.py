@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
+from palimpsest.operators import manifest
 
 
 def profile(rows: DataFrame, key: str, ts: str, numbers: list[str]) -> DataFrame:
@@ -82,3 +83,49 @@ def concept(columns: DataFrame, candidates: list[str]) -> DataFrame:
     """columns (ds, name): per dataset the exact spelling of the first candidate that exists, in any case."""
     order = F.array_position(F.array(*[F.lit(c.lower()) for c in candidates]), F.lower("name"))
     return columns.where(order > 0).groupBy("ds").agg(F.min_by("name", F.struct(order, "name")).alias("column"))
+
+
+def fact_series(facts: DataFrame, worlds: DataFrame, profiles: DataFrame, sums: list[str]) -> DataFrame:
+    """Facts (fact, ds, period) at every snapshot, through their exact dependency sets.
+
+    worlds: idx, path, sha, ds, month; profiles: one row per file version (sha). Each version was
+    scanned once, however many snapshots hold it. Gives fact, idx, the sums, the dependency key and
+    whether it is new in the fact's series (evaluate) or seen before.
+    """
+    deps = manifest.relevant(facts, worlds).join(profiles, "sha")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("path", "sha"))), lambda x: F.concat_ws("=", x["path"], x["sha"]))
+    rows = deps.groupBy("fact", "idx").agg(*[F.sum(c).alias(c) for c in sums], scalar.fingerprint(parts).alias("dep"))
+    first = F.row_number().over(Window.partitionBy("fact", "dep").orderBy("idx")) == 1
+    return rows.withColumn("evaluate", first)
+
+
+def base_rates(series: DataFrame, value: str) -> DataFrame:
+    """Per group of facts (type, fact, idx, value): facts, the share whose value ever changes, and how many values they take."""
+    per = series.groupBy("type", "fact").agg(F.countDistinct(value).alias("n"))
+    return per.groupBy("type").agg(F.count(F.lit(1)).alias("n_facts"), (F.count_if(F.col("n") > 1) / F.count(F.lit(1))).alias("changing"), F.avg("n").alias("mean_values"))
+
+
+def entity_profile(rows: DataFrame, by: str, serial: str, model: str, failed, capacity: str) -> DataFrame:
+    """Per file version of an entity table: rows, failures, entities, models, and the capacity's count, negatives and exact sum."""
+    c = F.col(capacity)
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(failed).alias("failures"),
+        F.countDistinct(serial).alias("n_serials"),
+        F.countDistinct(model).alias("n_models"),
+        F.count(c).alias("n_capacity"),
+        F.count_if(c < 0).alias("neg_capacity"),
+        F.sum(scalar.exact_cents(c)).alias("sum_capacity"),
+    )
+
+
+def quality_fraction(rows: DataFrame, by: str, check: str, column: str, places: int = 5) -> DataFrame:
+    """Share of rows that fail a check (null, neg or zero), as text with ties to even; NONE without rows.
+    Of a column that isn't there, all rows are null and none is negative or zero."""
+    if column in rows.columns:
+        x = F.col(column)
+        bad = {"null": x.isNull(), "neg": x < 0, "zero": x == 0}[check]
+    else:
+        bad = F.lit(check == "null")
+    g = rows.groupBy(by).agg(F.count_if(bad).alias("a"), F.count(F.lit(1)).alias("b"))
+    return g.select(by, scalar.answer(scalar.ratio_half_even(F.col("a"), F.col("b"), places)).alias("answer"))

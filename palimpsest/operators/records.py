@@ -173,3 +173,140 @@ def completeness(states: DataFrame) -> DataFrame:
         .otherwise("caught")
     )
     return states.groupBy(kind.alias("kind")).agg(F.count_if("is_none").alias("n_none"), F.count_if(~F.col("is_none")).alias("n_present"))
+
+
+def full(records: DataFrame) -> DataFrame:
+    """per_fact() with episodes (number, missed, mean delay, longest) and lifetime (life, kept)."""
+    eps = episodes(records).groupBy("iid").agg(F.count(F.lit(1)).alias("n_episodes"), F.count_if(F.col("delay").isNull()).alias("n_missed"), F.avg("delay").alias("mean_delay"), F.max("n_reads").alias("longest"))
+    out = per_fact(records).join(lifetime_kept(records), "iid").join(eps, "iid", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_episodes", "n_missed", "longest")})
+
+
+def episode_summary(facts: DataFrame) -> DataFrame:
+    """Ratios of sums of full() facts: accuracy, repairs, missed episodes, lifetime kept."""
+    r = lambda a, b: F.sum(a) / F.greatest(F.sum(b), F.lit(1))
+    return facts.agg(
+        (1 - r("n_wrong", "n_reads")).alias("accuracy"),
+        (F.sum("n_repair") / F.greatest(F.sum(F.col("n_repair") + F.col("n_rederive")), F.lit(1))).alias("repair_rate"),
+        r("n_missed", "n_episodes").alias("missed_share"),
+        r("kept", "life").alias("lifetime_kept"),
+    )
+
+
+def episode_causes(records: DataFrame) -> DataFrame:
+    """Episodes by the cause of their first wrong read and by how they ended: a right read of what action, or not (censored)."""
+    rows = islands(records).withColumn("next_action", F.lead("action").over(_over(["iid"])))
+    rows = rows.where("episode is not null").join(taxonomy(records), ["iid", "t"])
+    one = rows.groupBy("iid", "episode").agg(F.min_by("cause", "t").alias("cause"), F.max_by(F.coalesce("next_action", F.lit("censored")), "t").alias("ended"), F.count(F.lit(1)).alias("n_reads"))
+    return one.groupBy("cause", "ended").agg(F.count(F.lit(1)).alias("n_episodes"), F.sum("n_reads").alias("n_reads"))
+
+
+def present(records: DataFrame, truth: DataFrame, value: str = "value") -> DataFrame:
+    """Records whose referent exists: the truth (iid, t, value) isn't NONE."""
+    return records.join(truth.where(F.col(value) != "NONE").select("iid", "t"), ["iid", "t"], "left_semi")
+
+
+def trace_diagnostics(values: DataFrame) -> DataFrame:
+    """values (iid, t, value) against each key's first one: share of later versions that differ, the first
+    change, whether it only ever disappears, changes to another value, distinct later values."""
+    w = Window.partitionBy("iid").orderBy("t")
+    rows = values.withColumn("k", F.first("value").over(w)).withColumn("i", F.row_number().over(w)).where("i > 1")
+    off, gone = F.col("value") != F.col("k"), F.col("value") == "NONE"
+    return rows.groupBy("iid").agg(
+        (F.count_if(off) / F.count(F.lit(1))).alias("invalid_frac"),
+        F.min(F.when(off, F.col("t"))).alias("first_change"),
+        (F.bool_or(off) & F.coalesce(F.bool_and(F.when(off, gone)), F.lit(True))).alias("only_gone"),
+        F.count_if(off & ~gone).alias("n_other"),
+        F.countDistinct("value").alias("n_values"),
+    )
+
+
+def keep_filter(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """Keys whose recorded answer (iid, answer) is the truth (iid, t, value) at the first version, with how
+    many later versions there are, how many it stays valid at, and the first at which it isn't."""
+    w = Window.partitionBy("iid").orderBy("t")
+    rows = truth.join(answers, "iid").withColumn("ok", F.col("answer").eqNullSafe(F.col("value"))).withColumn("i", F.row_number().over(w))
+    out = rows.groupBy("iid").agg(
+        F.bool_or((F.col("i") == 1) & F.col("ok")).alias("kept"),
+        F.count_if(F.col("i") > 1).alias("n_later"),
+        F.count_if((F.col("i") > 1) & F.col("ok")).alias("n_valid"),
+        F.min(F.when((F.col("i") > 1) & ~F.col("ok"), F.col("t"))).alias("first_invalid"),
+    )
+    return out.where("kept").drop("kept")
+
+
+def valid_versions(derivations: DataFrame, truth: DataFrame) -> DataFrame:
+    """Each recorded derivation (iid, t, answer) against the truth (iid, t, value) at all versions: at how many it
+    holds. Truths are counted by value first, so that no derivation meets every version."""
+    n = truth.groupBy("iid", F.col("value").alias("answer")).agg(F.count(F.lit(1)).alias("n_valid"))
+    return derivations.join(n, ["iid", "answer"], "left").select("iid", "t", "answer", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+
+
+def churn_bins(facts: DataFrame) -> DataFrame:
+    """Facts (n_invalid, cost_a, cost_b) by class of invalid versions, with the ratio of costs."""
+    n = F.col("n_invalid")
+    name = F.when(n == 0, "0").when(n <= 5, "1-5").when(n <= 10, "6-10").otherwise("11+")
+    per = facts.groupBy(name.alias("bin")).agg(F.count(F.lit(1)).alias("n_facts"), F.sum("cost_a").alias("a"), F.sum("cost_b").alias("b"))
+    return per.select("bin", "n_facts", (F.col("a") / F.greatest("b", F.lit(1))).alias("ratio"))
+
+
+def first_calls(calls: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Calls without repeats, in their order: the first occurrence of each of a key's calls wins."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return calls.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
+def rederivation_accuracy(derivations: list[DataFrame], truth: DataFrame) -> DataFrame:
+    """Derivations (iid, t, answer) of several policies, each (iid, t) once, by outcome against the truth (iid, t, value)."""
+    rows = derivations[0]
+    for d in derivations[1:]:
+        rows = rows.unionByName(d)
+    one = rows.groupBy("iid", "t").agg(F.min("answer").alias("answer"))
+    j = one.join(truth, ["iid", "t"])
+    kind = F.when(F.col("answer").isNull(), "no_answer").when(F.col("answer") == F.col("value"), "correct").when(F.col("value") == "NONE", "none").otherwise("changed")
+    return j.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_summary(records: DataFrame, policy: str, baseline, seeds: int = 10) -> DataFrame:
+    """Per policy: reads and wrong reads per seed, wrong reads per 1000 tokens, and wrong reads avoided
+    against the baseline policy per million tokens spent."""
+    per = records.groupBy(policy).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("served_valid")).alias("wrong"), F.sum(F.col("eval_tok") + F.col("der_tok")).alias("tok"))
+    base = F.max(F.when(F.col(policy) == baseline, F.col("wrong"))).over(Window.partitionBy())  # one row a policy
+    per = per.withColumn("base", base)
+    return per.select(
+        policy,
+        (F.col("n") / seeds).alias("reads"),
+        (F.col("wrong") / seeds).alias("wrong"),
+        (F.col("wrong") * 1000 / F.greatest("tok", F.lit(1))).alias("wrong_per_1k"),
+        ((F.col("base") - F.col("wrong")) * 1_000_000 / F.greatest("tok", F.lit(1))).alias("avoided_per_1m"),
+    )
+
+
+def tool_cost(records: DataFrame, traces: DataFrame) -> DataFrame:
+    """Per key: reads, and the lengths of the traces (iid, t, calls) of the derivations that were triggered."""
+    j = records.join(traces, ["iid", "t"], "left")
+    return j.groupBy("iid").agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.when(F.col("der_tok") > 0, F.coalesce(F.size("calls"), F.lit(0))).otherwise(0)).alias("n_calls"))
+
+
+def memo_ablation(records: DataFrame) -> DataFrame:
+    """What judging costs, and what it would without the memo (each remembered state judged again, at the
+    mean cost of a judgement of its key)."""
+    judged = F.when(F.col("eval_tok") > 0, F.col("eval_tok"))
+    per = records.groupBy("iid").agg(F.sum("eval_tok").alias("eval_tok"), F.avg(judged).alias("mean"), F.count_if(F.col("action") == "memo").alias("n_memo"))
+    return per.select("iid", "eval_tok", (F.col("eval_tok") + F.coalesce(F.col("mean"), F.lit(0.0)) * F.col("n_memo")).alias("without_memo"))
+
+
+def expiry_segments(records: DataFrame, ages: list[int], chance: float) -> DataFrame:
+    """Expiry at age N: in each segment between derivations (or up to the last read), how many expiries
+    fall, and how many of them a re-derivation that errs with this chance is expected to get wrong."""
+    last = F.max("t").over(Window.partitionBy("iid"))
+    rows = records.withColumn("last", last).where(F.col("der_tok") > 0)
+    rows = rows.withColumn("length", F.coalesce(F.lead("t").over(_over(["iid"])), F.col("last") + 1) - F.col("t"))
+    rows = rows.select("length", F.explode(F.array(*map(F.lit, ages))).alias("age"))
+    n = F.floor((F.col("length") - 1) / F.col("age"))
+    return rows.groupBy("age").agg(F.count(F.lit(1)).alias("n_segments"), F.sum(n).alias("n_expiries"), (F.sum(n) * F.lit(chance)).alias("expected_wrong"))
+
+
+def with_setup(facts: DataFrame, setup: DataFrame) -> DataFrame:
+    """Facts (iid, tok) with the tokens of their certificate (iid, setup_tok) added once."""
+    return facts.join(setup, "iid", "left").select("iid", (F.col("tok") + F.coalesce("setup_tok", F.lit(0))).alias("tok"))

@@ -89,10 +89,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def read_shards(spark: SparkSession, paths: list[str], schema: str, keys: list[str]) -> DataFrame:
     """JSON-lines shards in the given order: bad lines are skipped and a key's first record wins."""
     order = F.array_position(F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths]), F.col("_metadata.file_name"))
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths).withColumn("__f", order).withColumn("__r", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths).withColumn("__f", order).withColumn("__b", F.col("_metadata.file_block_start")).withColumn("__r", F.monotonically_increasing_id())
     rows = rows.where(F.col(keys[0]).isNotNull())
-    w = Window.partitionBy(*keys).orderBy("__f", "__r")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__f", "__r", "__n")
+    w = Window.partitionBy(*keys).orderBy("__f", "__b", "__r")  # a split of a shard is read in order by one task
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__f", "__b", "__r", "__n")
 
 
 def read_lookup(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -105,3 +105,71 @@ def first_versions(docs: DataFrame) -> DataFrame:
     norm = F.md5(F.trim(F.regexp_replace("text", r"\s+", " ")))
     w = Window.partitionBy("path", "__n").orderBy("arrival")
     return docs.withColumn("__n", norm).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__n", "__r")
+
+
+def footers(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One row for a Parquet file or folder from its footers alone, read through Spark's file system: n_rows,
+    n_groups, codec, created_by, and least and greatest value, nulls of a column (null where a group has no
+    statistics). Footers are small and few: a folder has one a part."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    status = fs.getFileStatus(root)
+    parts = [x for x in fs.listStatus(root) if x.getPath().getName().endswith(".parquet")] if status.isDirectory() else [status]
+    n = groups = nulls = 0
+    lows, highs, codecs, makers, known = [], [], set(), set(), True
+    for part in parts:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(part, conf))
+        meta = reader.getFooter()
+        makers.add(meta.getFileMetaData().getCreatedBy())
+        for block in meta.getBlocks():
+            n, groups = n + block.getRowCount(), groups + 1
+            for chunk in block.getColumns():
+                if chunk.getPath().toDotString() != column:
+                    continue
+                codecs.add(chunk.getCodec().name())
+                s = chunk.getStatistics()
+                known = known and s.hasNonNullValue() and s.getNumNulls() >= 0
+                if known:
+                    nulls += s.getNumNulls()
+                    lows.append(s.genericGetMin())
+                    highs.append(s.genericGetMax())
+        reader.close()
+    text = lambda x: x if x is None or isinstance(x, (int, float, str)) else x.toStringUsingUTF8()
+    lo, hi = (str(min(map(text, lows))), str(max(map(text, highs)))) if known and lows else (None, None)
+    row = (n, groups, ",".join(sorted(codecs)), ",".join(sorted(filter(None, makers))), lo, hi, nulls if known else None)
+    return spark.createDataFrame([row], "n_rows long, n_groups long, codec string, created_by string, lo string, hi string, nulls long")
+
+
+def read_zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV members of zip archives as rows of the schema, with archive and member: any newline convention, columns by
+    the header's names (null if absent), resource forks and folders skipped. An archive is read by one task, member by
+    member and line by line; archives are the unit of work."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    fields = spark.createDataFrame([], schema).schema
+    out = ", ".join(["archive string", "member string", *(f"`{f.name}` string" for f in fields)])
+    names = [f.name for f in fields]
+
+    def run(batches):
+        import csv
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        if not member.endswith(".csv") or "__MACOSX" in member or member.rsplit("/", 1)[-1].startswith("._"):
+                            continue
+                        text = io.TextIOWrapper(z.open(member), "utf-8", "replace", newline=None)
+                        rows = csv.DictReader(text)
+                        while part := [r for _, r in zip(range(10_000), rows)]:
+                            cols = [[r.get(n) or None for r in part] for n in names]
+                            arrays = [pa.array([archive] * len(part)), pa.array([member] * len(part)), *(pa.array(c, pa.string()) for c in cols)]
+                            yield pa.RecordBatch.from_arrays(arrays, names=["archive", "member", *names])
+
+    rows = files.mapInArrow(run, out)
+    return rows.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
