@@ -83,10 +83,11 @@ def shared_depths(similarity: float = THRESHOLD, trials: int = 100_000, seed: in
 
     The trees choose from the same HASHES values, so their matches aren't independent.
     """
-    agree = np.random.default_rng(seed).random((trials, HASHES)) < similarity
-    out = np.zeros((trials, TREES), dtype=np.int8)
-    for t in range(TREES):
-        out[:, t] = np.logical_and.accumulate(agree[:, _CHOICE[t]], axis=1).sum(axis=1)
+    rng, out = np.random.default_rng(seed), np.zeros((trials, TREES), dtype=np.int8)
+    for at in range(0, trials, 5000):  # a few megabytes at a time
+        agree = rng.random((min(5000, trials - at), HASHES)) < similarity
+        for t in range(TREES):
+            out[at : at + len(agree), t] = np.logical_and.accumulate(agree[:, _CHOICE[t]], axis=1).sum(axis=1, dtype=np.int8)
     return out
 
 
@@ -504,3 +505,17 @@ def near_links(documents: DataFrame) -> DataFrame:
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
     return near_links(load(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+c as (select w, row_number() over () as cid, min(doc_id) as text_id from t group by w),
+g as (select distinct cid, unnest(case when len(w) < 5 then case when len(w) = 0 then [] else [w] end else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as gram from c),
+n as (select cid, count(*) as n from g group by cid),
+p as (select a.cid as x, b.cid as y, count(*) as k from g a join g b on a.gram = b.gram and a.cid <> b.cid group by 1, 2),
+l as (select x, y from p join n a on a.cid = x join n b on b.cid = y where 5 * k >= 4 * (a.n + b.n - k)),
+reach as (select cid as x, cid as y from c union select reach.x, l.y from reach join l on reach.y = l.x),
+m as (select x as cid, min(text_id) as class_id from reach join c on c.cid = reach.y group by x),
+k as (select x as cid, count(*) as n_links from l group by x)
+select t.doc_id, m.class_id, c.text_id, coalesce(k.n_links, 0) as n_links from t join c using (w) join m using (cid) left join k using (cid)
+"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op2_exact_topk": topk.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_chat_formatting": chat.SQL,
+    "op9_ngram_join": near_join.SQL,
 }
