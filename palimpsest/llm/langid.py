@@ -158,7 +158,7 @@ def fit(rows: list[tuple[str, int, bytes, bytes]], df: np.ndarray, docs: int) ->
     number = {x: i for i, x in enumerate(languages)}
     examples = []
     for lang, key, ids, tf in rows:
-        i = np.frombuffer(ids, dtype="<u4").astype(np.int64)
+        i = np.frombuffer(ids, dtype="<u4").astype(np.int32)
         x = np.frombuffer(tf, dtype="<f4").astype(np.float64) * idf[i]
         examples.append((number[lang], key % 5 == 0 and len(rows) >= 50, i, x * SCALE))
     z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))

@@ -156,14 +156,16 @@ def fill(placed: DataFrame, most_passes: int) -> tuple[DataFrame, list[DataFrame
         rest = rest.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
 
 
-def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: float = 1.5, most_passes: int = 2) -> DataFrame:
+def plan_mixture(documents: DataFrame, schedules: tuple = SCHEDULES, demand: float = 1.5, most_passes: int = 2, unique: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (int),
     taken (long: copies times size) and positions (array of training times of its copies).
+    unique: no two rows have the same doc_id, so none has to be numbered.
     """
 
     rows = pick(documents, "doc_id", "source", "text")
     rows = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    rows = materialize(number_twins(materialize(rows)))
+    rows = materialize(rows)
+    rows = rows.withColumn("twin", F.lit(0).cast("long")) if unique else materialize(number_twins(rows))
     targets = materialize(source_targets(rows, schedules, demand, float(most_passes)))
     placed = materialize(join_table(place(rows), targets, ["source"]))
     copies = F.size(F.filter(F.sequence(F.lit(0), F.lit(most_passes - 1)), lambda p: p * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")))
