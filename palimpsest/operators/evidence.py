@@ -142,3 +142,30 @@ def hunks(pairs: DataFrame, old: str, new: str, context: int = 2) -> DataFrame:
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
     return pairs.withColumn("hunks", diff(F.col(old), F.col(new)))
+
+
+def anchor_calls(calls: DataFrame, newest: DataFrame) -> DataFrame:
+    """calls (iid, pos, tool, path) as queries that survive drift: a call on the newest file of a series asks for
+    the newest one, any other for its path; repeats of a query keep their first place. newest: series, path."""
+    told = calls.join(newest.select("path", "series"), "path", "left")
+    role = F.when(F.col("series").isNotNull(), F.concat(F.lit("newest "), F.col("series"))).otherwise(F.concat(F.lit("path "), F.col("path")))
+    rows = told.select("iid", "pos", F.concat_ws(" ", "tool", role).alias("query"))
+    return rows.groupBy("iid", "query").agg(F.min("pos").alias("pos"))
+
+
+def guard_states(worlds: DataFrame) -> DataFrame:
+    """The states that guards compare, per snapshot of worlds (idx, path, sha): of the contents (filehash) and of the
+    names of the files alone (manifest)."""
+    files = F.sort_array(F.collect_list(F.struct("path", "sha")))
+    one = worlds.groupBy("idx").agg(files.alias("f"))
+    content = scalar.fingerprint(F.transform("f", lambda x: F.concat_ws("=", x["path"], x["sha"])))
+    return one.select("idx", content.alias("filehash"), scalar.fingerprint(F.transform("f", lambda x: x["path"])).alias("manifest"))
+
+
+#: Bytes of a difference that one verdict is asked for, and of a final one after screening.
+SINGLE, FINAL = 12 * 1024, 20 * 1024
+
+
+def verdict_plan(delta_bytes, screened_bytes):
+    """How a difference is judged: in one piece, by screening its parts first, or not at all."""
+    return F.when(delta_bytes <= SINGLE, "single").when(screened_bytes <= FINAL, "hierarchical").otherwise("too_large")

@@ -164,3 +164,27 @@ def two_versions(intervals: DataFrame, a: int, b: int) -> DataFrame:
     """The files of two snapshots side by side: path, old, new (null where it isn't there)."""
     x = world(intervals, a).withColumnRenamed("sha", "old")
     return x.join(world(intervals, b).withColumnRenamed("sha", "new"), "path", "full_outer").select("path", "old", "new")
+
+
+def release_date(month, lag: int, day: int):
+    """When the data of a month (text yyyy-MM) come out: a day of the month ``lag`` months later."""
+    return F.date_add(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), lag), day - 1)
+
+
+def newest(files: DataFrame) -> DataFrame:
+    """Each series of files (idx, path) at each snapshot: its newest member and how many it has. idx, series, path, n_members."""
+    years = F.filter(F.regexp_extract_all("path", F.lit(r"(\d+)")), lambda x: F.length(x) == 4)
+    rest = F.transform(F.filter(F.regexp_extract_all("path", F.lit(r"(\d+)")), lambda x: F.length(x) != 4), lambda x: x.cast("decimal(38,0)"))
+    return files.groupBy("idx", scalar.series_pattern(F.col("path")).alias("series")).agg(F.max_by("path", F.struct(years, rest, "path")).alias("path"), F.count(F.lit(1)).alias("n_members"))
+
+
+def named_series(path, question):
+    """The series of a path that a question is about: runs of digits become # but for a year, or a year and month,
+    that the question names."""
+    month, year = F.regexp_extract(path, r"(\d{4}-\d{2})", 1), F.regexp_extract(path, r"(\d{4})", 1)
+    held = lambda x: (x != "") & F.contains(question, x)
+    loose = lambda p: F.regexp_replace(p, r"\d+", "#")
+    keep = lambda p, part, f: F.call_function("array_join", F.transform(F.split(p, part), f), part)
+    by_year = keep(path, year, loose)
+    whole = keep(path, month, lambda p: keep(p, year, loose))
+    return F.when(held(month), whole).when(held(year), by_year).otherwise(loose(path))

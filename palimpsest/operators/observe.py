@@ -200,3 +200,8 @@ def call(name: str, given: dict, **bound):
         raise Refused(f"no observation is called {name!r}")
     names = inspect.signature(known[name]).parameters
     return known[name](**{k: v for k, v in {**given, **bound}.items() if k in names})
+
+
+def canonical_rows(rows: DataFrame, query: str) -> DataFrame:
+    """A result in an order that doesn't depend on the run: its own if the query fixes one, else that of its values as text."""
+    return rows if has_order(query) else rows.orderBy(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in rows.columns])

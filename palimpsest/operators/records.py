@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import scalar
+
 ACTIONS = ("same", "memo", "valid", "none")
 
 
@@ -310,3 +312,9 @@ def expiry_segments(records: DataFrame, ages: list[int], chance: float) -> DataF
 def with_setup(facts: DataFrame, setup: DataFrame) -> DataFrame:
     """Facts (iid, tok) with the tokens of their certificate (iid, setup_tok) added once."""
     return facts.join(setup, "iid", "left").select("iid", (F.col("tok") + F.coalesce("setup_tok", F.lit(0))).alias("tok"))
+
+
+def task_check(given, truth):
+    """Outcome of a task's answer: fail without one, success if its canonical form is the truth, else wrong."""
+    canon = scalar.canonical_answer(given, truth)
+    return F.when(given.isNull() | (F.trim(given) == ""), "fail").when(canon.eqNullSafe(truth), "success").otherwise("wrong")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
-from palimpsest.operators import inference, manifest, profile
+from palimpsest.operators import evidence, inference, manifest, profile, records
 from palimpsest.plans.base import FILES, INTERVALS, ITEMS, LOG, files, items, log, query, table
 from palimpsest.sources import readers, sinks
 
@@ -224,3 +224,86 @@ def footer_statistics(spark, sf):
     """Rows, extremes and nulls of a column from footers alone, on any file system that Spark reads."""
     one = lambda n, c: readers.footers(spark, f"{sf}/{n}.parquet", c).select(F.lit(n).alias("file"), "n_rows", "lo", "hi", "nulls")
     return one("orders", "o_orderkey").unionByName(one("lineitem", "l_orderkey"))
+
+
+@query("select distinct strftime(o_orderdate, '%Y-%m') as month, (date_trunc('month', o_orderdate) + interval 2 month + interval 14 day)::date as monthly, (date_trunc('month', o_orderdate) + interval 1 month)::date as daily from orders")
+def release_calendar(spark, sf):
+    """When a month comes out: on the 15th of the month after next, or on the first of the next."""
+    m = table(spark, sf, "orders").select(scalar.month_of(F.col("o_orderdate")).alias("month")).distinct()
+    return m.select("month", manifest.release_date(F.col("month"), 2, 15).alias("monthly"), manifest.release_date(F.col("month"), 1, 1).alias("daily"))
+
+
+@query("select user_id::varchar as path, year(ts)::integer as year, min(ts) as arrival, min_by(props, ts) as text from events group by 1, 2")
+def first_captures(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").alias("arrival"), F.col("props").alias("text"))
+    return readers.first_captures(e)
+
+
+_NEWEST = _PARTS + """, fw as (select s.idx, 'lake/' || substr(p.month, 1, 4) || '/orders_' || p.ds || '_' || p.month || '.parquet' as path from pr p join ms a using (month) join ms s on a.idx <= s.idx),
+  newest as (select idx, regexp_replace(path, '\\d+', '#', 'g') as series, max(path) as path, count(*) as n_members from fw group by 1, 2)"""
+
+
+def _files_by_snapshot(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("ds"), scalar.month_of(F.col("o_orderdate")).alias("month")).distinct()
+    snapshots = inference.numbered(o.select("month").distinct(), "month", "idx")
+    path = F.concat(F.lit("lake/"), F.substring("month", 1, 4), F.lit("/orders_"), "ds", F.lit("_"), "month", F.lit(".parquet"))
+    changes = o.join(snapshots, "month").select(path.alias("path"), "idx", F.md5(path).alias("sha"))
+    return manifest.worlds(manifest.fold(changes), snapshots.select("idx"))
+
+
+@query(f"with {_NEWEST} select * from newest")
+def newest_members(spark, sf):
+    """The role "newest file of a series", resolved at every snapshot."""
+    return manifest.newest(_files_by_snapshot(spark, sf))
+
+
+@query(f"with {_NEWEST} select n.idx, n.series, pr.n as n_rows from newest n join pr on n.path = 'lake/' || substr(pr.month, 1, 4) || '/orders_' || pr.ds || '_' || pr.month || '.parquet'")
+def observed_newest(spark, sf):
+    """What an anchored row count observes at every snapshot: each file version is counted once."""
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("ds"), scalar.month_of(F.col("o_orderdate")).alias("month"))
+    path = F.concat(F.lit("lake/"), F.substring("month", 1, 4), F.lit("/orders_"), "ds", F.lit("_"), "month", F.lit(".parquet"))
+    counts = o.groupBy("ds", "month").agg(F.count(F.lit(1)).alias("n_rows")).select(path.alias("path"), "n_rows")
+    return manifest.newest(_files_by_snapshot(spark, sf)).join(counts, "path").select("idx", "series", "n_rows")
+
+
+@query(
+    f"""with {_NEWEST}, l as (select * from newest where idx = (select max(idx) from ms)), c as (select o_custkey as iid, o_orderkey as pos, 'lake/' || strftime(o_orderdate, '%Y') || '/orders_' || o_orderstatus || '_' || strftime(o_orderdate, '%Y-%m') || '.parquet' as path from orders)
+    select iid, 'head ' || case when l.path is not null then 'newest ' || l.series else 'path ' || c.path end as query, min(pos) as pos from c left join l on c.path = l.path group by 1, 2"""
+)
+def anchored_calls(spark, sf):
+    """Calls on files as queries that survive drift, without repeats."""
+    path = F.concat(F.lit("lake/"), F.date_format("o_orderdate", "yyyy"), F.lit("/orders_"), "o_orderstatus", F.lit("_"), F.date_format("o_orderdate", "yyyy-MM"), F.lit(".parquet"))
+    calls = table(spark, sf, "orders").select(F.col("o_custkey").alias("iid"), F.col("o_orderkey").alias("pos"), F.lit("head").alias("tool"), path.alias("path"))
+    n = manifest.newest(_files_by_snapshot(spark, sf))
+    return evidence.anchor_calls(calls, n.join(F.broadcast(n.agg(F.max("idx").alias("idx"))), "idx"))  # one row
+
+
+@query(f"with {FILES} select path, case when path like '%_1997-03.parquet' then 'lake/1997/orders_' || split_part(path, '_', 2) || '_1997-03.parquet' when path like 'lake/1997/%' then 'lake/1997/orders_' || split_part(path, '_', 2) || '_1997-#.parquet' else 'lake/#/orders_' || split_part(path, '_', 2) || '_#-#.parquet' end as series from files")
+def question_series(spark, sf):
+    """Series as narrow as a question about March 1997 makes them."""
+    return files(spark, sf).select("path", manifest.named_series(F.col("path"), F.lit("How many orders of 1997 came by 1997-03?")).alias("series"))
+
+
+@query(
+    f"""with {INTERVALS}, worlds as (select i.path, i.sha, s.idx from intervals i join (select distinct idx from log) s on i.valid_from <= s.idx and (i.valid_to is null or i.valid_to > s.idx))
+    select idx, substr(sha1(string_agg(path || '=' || sha, chr(30) order by path)), 1, 16) as filehash, substr(sha1(string_agg(path, chr(30) order by path)), 1, 16) as manifest from worlds group by idx"""
+)
+def guard_states(spark, sf):
+    changes = log(spark, sf).select("path", "idx", "sha")
+    return evidence.guard_states(manifest.worlds(manifest.fold(changes), changes.select("idx").distinct()))
+
+
+@query("select doc_id, case when length(text) <= 12288 then 'single' when length(text) // 2 <= 20480 then 'hierarchical' else 'too_large' end as plan from documents where text is not null")
+def verdict_plans(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", evidence.verdict_plan(F.length("text"), F.floor(F.length("text") / 2)).alias("plan"))
+
+
+@query("select user_id % 10 as repo, count(*) as n, count_if(event_type = 'error') as fail, count_if(event_type <> 'error' and event_id % 4 <> 0) as success, count_if(event_type <> 'error' and event_id % 4 = 0) as wrong from events group by 1")
+def task_checks(spark, sf):
+    """Answers to tasks, quoted, some of them wrong or missing, against the truth."""
+    e = table(spark, sf, "events")
+    truth = F.col("event_id").cast("string")
+    given = F.when(F.col("event_type") == "error", F.lit(None)).when(F.col("event_id") % 4 == 0, (F.col("event_id") + 1).cast("string")).otherwise(F.concat(F.lit('"'), truth, F.lit('"')))
+    rows = e.select((F.col("user_id") % 10).alias("repo"), records.task_check(given, truth).alias("outcome"))
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("fail", "success", "wrong")])

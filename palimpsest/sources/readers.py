@@ -173,3 +173,9 @@ def read_zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     rows = files.mapInArrow(run, out)
     return rows.select(F.element_at(F.split("archive", "/"), -1).alias("archive"), "member", *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def first_captures(docs: DataFrame) -> DataFrame:
+    """docs (path, arrival, text) with arrival a time: of each path and year, the first capture."""
+    year = F.year("arrival")
+    return docs.groupBy("path", year.alias("year")).agg(F.min("arrival").alias("arrival"), F.min_by("text", "arrival").alias("text"))

@@ -198,3 +198,9 @@ def test_asof_with_gaps_and_one_hot_key(spark):
     for by, s, i in tasks:
         before = [x for x in clock if x[0] == by and x[1] <= s]
         assert (got[by, i] is None) == (not before) and (not before or times[got[by, i]] == max(x[1] for x in before))
+
+
+def test_canonical_rows(spark):
+    rows = spark.createDataFrame([(2, None), (1, "b"), (10, "a")], "i int, s string")
+    assert [r.i for r in observe.canonical_rows(rows, "select * from t").collect()] == [1, 10, 2]
+    assert observe.canonical_rows(rows, "select * from t order by i") is rows
