@@ -27,8 +27,8 @@ class; the join links classes whose n-gram sets have a Jaccard similarity of 0.8
    links and one member of its linked set.
 5. Connected components of the links are the groups of near copies.
 
-Rows of one node are combined to one for each CHUNK texts before they are shuffled. Nothing
-here sends links, groups or fingerprints to the driver.
+Rows of one node are combined to one for each CHUNK texts before they are shuffled, and no
+task sees a whole crowded node. Nothing here sends links, groups or fingerprints to the driver.
 
 Defined cases: a null, empty or blank text has no n-gram and links to nothing; such rows
 form one class; repeated rows belong to one class; an empty table gives no rows; further
@@ -291,11 +291,11 @@ def candidates(sigs: DataFrame) -> DataFrame:
     rows = sigs.withColumn("mask", F.lit(-1).cast("long"))
     levels, small = [], []
     for depth in DEPTHS:
-        at_key = Window.partitionBy("key")
         size = F.coalesce(F.length("members") / 8, F.lit(1)).cast("long")
         nodes = rows.mapInArrow(_nodes(depth), "key long, tree int, first long, members binary")
-        nodes = nodes.withColumn("n", F.sum(size).over(at_key)).withColumn("least", F.min("first").over(at_key)).where("n > 1")
-        nodes = materialize(nodes)
+        # sizes by a combining aggregate; the rows of a crowded node spread in the join, whose other side has one row a key
+        shared = nodes.groupBy("key").agg(F.sum(size).alias("n"), F.min("first").alias("least")).where("n > 1")
+        nodes = materialize(nodes.join(shared, "key").select("key", "tree", "first", "members", "n", "least"))
         levels.append(nodes)
         small.append(nodes.where(F.col("n") <= CROWDED).mapInArrow(_expand, MEMBERS))
         crowded = nodes.where(F.col("n") > CROWDED)
