@@ -134,10 +134,10 @@ def small(table: DataFrame) -> bool:
     return n <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
 
 
-def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, known_small: bool | None = None) -> DataFrame:
     """Join rows to a table with one row per key; a key may hold most of the rows.
 
-    Keys compare null-safe. A table that is small() is broadcast.
+    Keys compare null-safe. A table that is small() is broadcast (known_small: its caller has looked).
     A larger one is joined by key and salt: its rows are repeated once for each
     salt, so that the rows of one key spread over as many partitions.
     """
@@ -146,7 +146,7 @@ def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "i
     for k in keys:
         on = on & rows[k].eqNullSafe(renamed[f"__{k}"])
     drop = [f"__{k}" for k in keys]
-    if small(table):
+    if small(table) if known_small is None else known_small:
         return rows.join(F.broadcast(renamed), on, how).drop(*drop)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     renamed = renamed.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import global_rank, join_table, load, materialize, pick, release, scratch
+from palimpsest.llm._common import global_rank, join_table, load, materialize, pick, release, scratch, small
 
 #: Densities at the knots, for sources by rank in turn: rising, even, falling. The integrals are 3, 1 and 2.
 SCHEDULES = ((1.5, 3.0, 4.5), (1.0, 1.0, 1.0), (3.0, 2.0, 1.0))
@@ -138,18 +138,20 @@ def fill(placed: DataFrame, most_passes: int) -> tuple[DataFrame, list[DataFrame
     (source, start, size, at: their place in the source's demand)."""
     gaps = materialize(placed.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"), F.first("target").alias("target")))
     rest, extra, old = placed.select("doc_id", "source", "size", "start", "copies"), [], []
+    few = small(gaps)  # so is any table with a row for each of some sources
+    by_source = lambda rows, table, how="inner": join_table(rows, table, ["source"], how, known_small=few)
     while True:
-        fits = join_table(rest, gaps.select("source", "gap"), ["source"]).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < most_passes))
+        fits = by_source(rest, gaps.select("source", "gap")).where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("copies") < most_passes))
         fits = materialize(fits.drop("gap"))
         release(*old)
         if fits.limit(1).count() == 0:
             release(fits)
             return gaps, extra
-        now = join_table(fits, fits.groupBy("source").agg(F.min("copies").alias("level")), ["source"]).where(F.col("copies") == F.col("level"))
+        now = by_source(fits, fits.groupBy("source").agg(F.min("copies").alias("level"))).where(F.col("copies") == F.col("level"))
         run = place(now.select("doc_id", "source", "size", F.col("start").alias("tie"), F.lit(0).cast("long").alias("twin"))).select("source", "size", "tie", F.col("start").alias("before"))
-        run = join_table(run, gaps, ["source"]).where(F.col("before") + F.col("size") <= F.col("gap"))
+        run = by_source(run, gaps).where(F.col("before") + F.col("size") <= F.col("gap"))
         extra.append(materialize(run.select("source", F.col("tie").alias("start"), "size", (F.col("target") - F.col("gap") + F.col("before")).alias("at"))))
-        less = join_table(gaps, extra[-1].groupBy("source").agg(F.sum("size").alias("sum")), ["source"], "left")
+        less = by_source(gaps, extra[-1].groupBy("source").agg(F.sum("size").alias("sum")), "left")
         old = [fits, gaps]
         gaps = materialize(less.select("source", (F.col("gap") - F.coalesce("sum", F.lit(0))).alias("gap"), "target"))
         rest = join_table(fits, extra[-1].select("source", "start", F.lit(1).alias("more")), ["source", "start"], "left")
