@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import load, materialize, pick
+from palimpsest.llm._common import load, materialize, pick, scratch
 
 BINS = 256
 BLOCK = 2048
@@ -173,42 +173,44 @@ def _pairs(queries: DataFrame, blocks: DataFrame, n_rows: int, row_bytes: int) -
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k greatest integer inner products of each query (vec_id divisible by ``every``):
     query_id, rank (int from 1), vec_id, score (long)."""
-    rows = quantise(pick(embeddings, "vec_id", "embedding"))
-    blocks = rows.select("uid", "vec_id", "v").mapInArrow(_pack_rows, "uid binary, vec_id binary, " + PACKED)
-    blocks = blocks.select(F.col("uid").alias("cuid"), F.col("vec_id").alias("cvec_id"), F.col("d").alias("cd"), F.col("kind").alias("ckind"), F.col("m").alias("cm"))
-    blocks = materialize(blocks.withColumn("cb", F.monotonically_increasing_id()))
-    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
-    row_bytes = total // max(1, n_rows)
-    longest = rows.mapInArrow(_norms, "uid long, norm double")
-    most = longest.agg(F.max("norm")).first()[0] or 0.0
-    bound = F.least(F.ceil(F.col("norm") * F.lit(most) * 1.0000001) + 1, F.lit(float(2**62))).cast("long")
-    state = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(longest, "uid").select("uid", "vec_id", "v", (-bound).alias("lo"), bound.alias("hi"), F.lit(0).cast("long").alias("above"), F.lit(n_rows - 1 <= k).alias("done"))
-    state = materialize(state)
-    while True:
-        open_ = state.where(~F.col("done"))
-        if open_.limit(1).count() == 0:
-            break
-        hist = _pairs(open_, blocks, n_rows, row_bytes).mapInArrow(_meet(k, False), "quid long, bin long, n long").groupBy("quid", "bin").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("quid").orderBy(F.col("bin").desc())
-        hist = hist.withColumn("upto", F.sum("n").over(w)).withColumnRenamed("quid", "uid")
-        got = open_.select("uid", "above").join(hist, "uid").where((F.col("above") + F.col("upto") >= k) & (F.col("above") + F.col("upto") - F.col("n") < k))
-        got = got.select("uid", "bin", (F.col("above") + F.col("upto")).alias("reach"), (F.col("above") + F.col("upto") - F.col("n")).alias("over"))
-        s = state.join(got, "uid", "left")
-        width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1).cast("decimal(38,0)") / BINS).cast("long"))
-        lo = F.col("lo") + F.col("bin") * width
-        hi = F.least(F.col("hi"), lo + width - 1)
-        fresh = F.col("bin").isNotNull()
-        state = materialize(
-            s.select(
-                "uid",
-                "vec_id",
-                "v",
-                F.when(fresh, lo).otherwise(F.col("lo")).alias("lo"),
-                F.when(fresh, hi).otherwise(F.col("hi")).alias("hi"),
-                F.when(fresh, F.col("over")).otherwise(F.col("above")).alias("above"),
-                (F.col("done") | ~fresh | (lo >= hi) | (F.col("reach") <= RANKED * k)).alias("done"),
+    with scratch(embeddings.sparkSession) as keep:
+        rows = quantise(pick(embeddings, "vec_id", "embedding"))
+        blocks = rows.select("uid", "vec_id", "v").mapInArrow(_pack_rows, "uid binary, vec_id binary, " + PACKED)
+        blocks = blocks.select(F.col("uid").alias("cuid"), F.col("vec_id").alias("cvec_id"), F.col("d").alias("cd"), F.col("kind").alias("ckind"), F.col("m").alias("cm"))
+        blocks = materialize(blocks.withColumn("cb", F.monotonically_increasing_id()))
+        n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("v")), F.lit(0))).first()
+        row_bytes = total // max(1, n_rows)
+        longest = rows.mapInArrow(_norms, "uid long, norm double")
+        most = longest.agg(F.max("norm")).first()[0] or 0.0
+        bound = F.least(F.ceil(F.col("norm") * F.lit(most) * 1.0000001) + 1, F.lit(float(2**62))).cast("long")
+        state = rows.where(F.pmod("vec_id", F.lit(every)) == 0).join(longest, "uid").select("uid", "vec_id", "v", (-bound).alias("lo"), bound.alias("hi"), F.lit(0).cast("long").alias("above"), F.lit(n_rows - 1 <= k).alias("done"))
+        state = materialize(state)
+        while True:
+            open_ = state.where(~F.col("done"))
+            if open_.limit(1).count() == 0:
+                break
+            hist = _pairs(open_, blocks, n_rows, row_bytes).mapInArrow(_meet(k, False), "quid long, bin long, n long").groupBy("quid", "bin").agg(F.sum("n").alias("n"))
+            w = Window.partitionBy("quid").orderBy(F.col("bin").desc())
+            hist = hist.withColumn("upto", F.sum("n").over(w)).withColumnRenamed("quid", "uid")
+            got = open_.select("uid", "above").join(hist, "uid").where((F.col("above") + F.col("upto") >= k) & (F.col("above") + F.col("upto") - F.col("n") < k))
+            got = got.select("uid", "bin", (F.col("above") + F.col("upto")).alias("reach"), (F.col("above") + F.col("upto") - F.col("n")).alias("over"))
+            s = state.join(got, "uid", "left")
+            width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1).cast("decimal(38,0)") / BINS).cast("long"))
+            lo = F.col("lo") + F.col("bin") * width
+            hi = F.least(F.col("hi"), lo + width - 1)
+            fresh = F.col("bin").isNotNull()
+            state = materialize(
+                s.select(
+                    "uid",
+                    "vec_id",
+                    "v",
+                    F.when(fresh, lo).otherwise(F.col("lo")).alias("lo"),
+                    F.when(fresh, hi).otherwise(F.col("hi")).alias("hi"),
+                    F.when(fresh, F.col("over")).otherwise(F.col("above")).alias("above"),
+                    (F.col("done") | ~fresh | (lo >= hi) | (F.col("reach") <= RANKED * k)).alias("done"),
+                )
             )
-        )
+        keep(blocks), keep(state)
     found = _pairs(state, blocks, n_rows, row_bytes).mapInArrow(_meet(k, True), "quid long, query_id long, vec_id long, score long")
     w = Window.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
