@@ -417,7 +417,7 @@ def test_pipeline(spark):
         texts = [r.text for r in before.select("text").collect()]
         if name == "language_id":
             told = {r.doc_id: (r.lang_pred, r.score) for r in registry.QUERIES["op4_langid"](spark, sf).collect()}
-            assert {r.doc_id: r.lang for r in rows} == {d: lang for d, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+            assert {r.doc_id: r.lang for r in rows} == {d: lang for d, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.least_score(4)}
             assert 0 < len(rows) <= sum(bool(t and re.search(r"[^\W\d_]", t)) for t in texts)
         elif name == "exact_dedup":
             assert len(rows) == len({re.sub("[\x20\x09-\x0d]+", " ", t) for t in texts})
