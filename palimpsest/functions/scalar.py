@@ -253,3 +253,20 @@ def toml_value(text: Column, path: str) -> Column:
 def question(period: Column, agg: Column, what: Column, name: Column) -> Column:
     """A fact as a question."""
     return F.concat(F.lit("In the data of "), period, F.lit(", what is the "), agg, F.lit(" of "), what, name, F.lit("?"))
+
+
+def iso_text(ts: Column) -> Column:
+    """A time as ISO 8601 text in seconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def first_object(text: Column, key: str) -> Column:
+    """The value of a key in the first JSON object of a text (an object without nested ones); NONE if there is none."""
+    found = F.regexp_extract(text, r"\{[^{}]*\}", 0)
+    return F.coalesce(F.get_json_object(found, f"$.{key}"), F.lit(NONE))
+
+
+def sorted_json(text: Column) -> Column:
+    """A flat JSON object with its keys in order; null if it is none."""
+    entries = F.map_entries(F.from_json(text, "map<string,string>"))
+    return F.when(entries.isNotNull(), F.to_json(F.map_from_entries(F.array_sort(entries))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
@@ -271,3 +270,32 @@ def canonical_answers(spark, sf):
     given = kind(F.lit("`none`"), F.concat(F.lit('"'), price, F.lit('"')), F.concat(F.lit("about "), F.format_number("o_orderkey", 0), F.lit(" rows")), F.concat_ws(",", "o_orderpriority", F.col("o_custkey").cast("string")))
     known = kind(F.lit("7"), F.lit("2.7"), F.lit("99"), F.lit("c, d"))
     return o.select("o_orderkey", scalar.canonical_answer(given, known).alias("answer"))
+
+
+@query(
+    f"""with {FILES}, c as (select distinct user_id as iid, case event_type when 'click' then 'lake/1995/' when 'view' then 'orders_F_*-0?.parquet' when 'signup' then 'lake/**/orders_P_*.parquet' else 'lake/1996/orders_O_1996-03.parquet' end as item from events)
+    select distinct iid, path from c join files on case when item like '%/' then starts_with(path, item) when item = path then true
+      when item = 'orders_F_*-0?.parquet' then regexp_matches(path, '/orders_F_[^/]*-0.\\.parquet$') when item like '%**%' then regexp_matches(path, '^lake/.*orders_P_.*\\.parquet$') else false end"""
+)
+def read_sets(spark, sf):
+    """The files that each key's calls read: a folder, two shell patterns, a path."""
+    kind = F.col("event_type")
+    item = F.when(kind == "click", "lake/1995/").when(kind == "view", "orders_F_*-0?.parquet").when(kind == "signup", "lake/**/orders_P_*.parquet").otherwise("lake/1996/orders_O_1996-03.parquet")
+    calls = table(spark, sf, "events").select(F.col("user_id").alias("iid"), item.alias("item")).distinct()
+    return observe.read_set(calls, files(spark, sf))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, epoch_us(ts) as micros, (date_trunc('month', ts) + interval 1 month)::date as next_month from events")
+def date_texts(spark, sf):
+    e = table(spark, sf, "events")
+    next_month = F.add_months(F.to_date(F.concat(scalar.month_of(F.col("ts")), F.lit("-01"))), 1)
+    return e.select("event_id", scalar.iso_text(F.col("ts")).alias("iso"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), next_month.alias("next_month"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k, 'NONE' as gone, '{\"a\":\"' || event_type || '\",\"k\":\"' || json_extract_string(props, '$.k') || '\"}' as sorted from events")
+def json_objects(spark, sf):
+    """The first object of a text, a missing key, and an object with its keys in order."""
+    e = table(spark, sf, "events")
+    text = F.concat(F.lit("the answer is "), "props", F.lit(' and not {"k": 0}'))
+    loose = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": "'), "event_type", F.lit('"}'))
+    return e.select("event_id", scalar.first_object(text, "k").alias("k"), scalar.first_object(text, "q").alias("gone"), scalar.sorted_json(loose).alias("sorted"))

@@ -204,3 +204,21 @@ def test_canonical_rows(spark):
     rows = spark.createDataFrame([(2, None), (1, "b"), (10, "a")], "i int, s string")
     assert [r.i for r in observe.canonical_rows(rows, "select * from t").collect()] == [1, 10, 2]
     assert observe.canonical_rows(rows, "select * from t order by i") is rows
+
+
+def test_environment(spark):
+    from palimpsest.operators import environment
+
+    log = spark.createDataFrame([("d/a_2020-01.p", 0, "x"), ("d/a_2020-02.p", 2, "y"), ("d/a_2020-01.p", 4, "z"), ("d/b_2020-01.p", 3, "w"), ("d/a_2020-02.p", 5, None)] + [("d/c.txt", i, f"c{i}") for i in range(7)], "path string, idx long, sha string")
+    profiles = spark.createDataFrame([("x", 10), ("y", 5), ("z", 7), ("w", 1)], "sha string, n long")
+    facts = spark.createDataFrame([(1, "a", "all"), (2, "a", "2020-02"), (3, "b", "2020")], "iid int, ds string, period string")
+    env = environment.Lake(log, profiles, facts, r"^d/([a-z])_(\d{4}-\d{2})\.p$")
+    truth = {(r.iid, r.t): r.truth for r in env.truth().collect()}
+    assert [truth[1, t] for t in range(7)] == ["10", "10", "15", "15", "12", "7", "7"]
+    assert [truth[2, t] for t in range(7)] == ["NONE", "NONE", "5", "5", "5", "NONE", "NONE"]
+    assert [truth[3, t] for t in range(7)] == ["NONE", "NONE", "NONE", "1", "1", "1", "1"]
+    got = environment.keep(env, "replay").collect()
+    assert not any(r.wrong for r in got) and sum(r.derived for r in got) == 4 + 3 + 2
+    assert {(r.iid, r.t) for r in environment.changes(env).collect()} == {(1, 2), (1, 4), (1, 5), (2, 2), (2, 5), (3, 3)}
+    assert sum(r.wrong for r in environment.keep(env, "never").collect()) == 5 + 3 + 4
+    assert {r.path for r in env.world(5).collect()} == {"d/a_2020-01.p", "d/b_2020-01.p", "d/c.txt"}
