@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
-def _slice(time: str):
-    """The day of a time: what a key's rows are cut into, so that a hot key is no single task's."""
-    return F.to_date(F.col(time))
+def _slice(rows: DataFrame, time: str, width: int = 4096):
+    """The day of a time, or a run of numbers: what a key's rows are cut into, so that a hot key is no single task's."""
+    number = isinstance(rows.schema[time].dataType, NumericType)
+    return F.floor(F.col(time) / width) if number else F.to_date(F.col(time))
 
 
 def asof(tasks: DataFrame, clock: DataFrame, by: str, time: str = "time", value: str = "t") -> DataFrame:
@@ -21,7 +23,8 @@ def asof(tasks: DataFrame, clock: DataFrame, by: str, time: str = "time", value:
     """
     c = clock.select(by, F.col(time), F.lit(0).alias("__k"), F.col(value).alias("__v"), *[F.lit(None).cast(tasks.schema[x].dataType).alias(x) for x in tasks.columns if x not in (by, time)])
     x = tasks.select(by, time, F.lit(1).alias("__k"), F.lit(None).cast(clock.schema[value].dataType).alias("__v"), *[x for x in tasks.columns if x not in (by, time)])
-    rows = c.unionByName(x).withColumn("__d", _slice(time))
+    rows = c.unionByName(x)
+    rows = rows.withColumn("__d", _slice(rows, time))
     w = Window.partitionBy(by, "__d").orderBy(time, "__k").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__here", F.last("__v", ignorenulls=True).over(w))
     days = rows.groupBy(F.col(by).alias("__by"), F.col("__d").alias("__day")).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(time))).alias("__end"))
