@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import join_table, load, materialize, pick, release, scratch, slices, small
+from palimpsest.llm._common import BROADCAST_ROWS, join_table, load, materialize, pick, release, scratch, slices, small
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 HASHES, TREES, DEPTHS = 128, 64, (6, 8, 11, 16)
@@ -339,23 +339,26 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, few: bool) -> DataFrame:
     """edges with m, the least b of each a; the centre of a large star may hold most of the edges."""
-    return join_table(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"])
+    return join_table(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"], known_small=True if few else None)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to rows id, component (least id): large-star and small-star in turn until nothing changes."""
     edges = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
+    n = edges.count()
     while True:
+        few = 2 * n <= BROADCAST_ROWS  # no round has more ends than twice its edges: two numbers each
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = _with_least(both, few).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a <> b").distinct()
         # now every edge points down; link all lower neighbours of a node, and the node, to the least of them
-        low = _with_least(large)
+        low = _with_least(large, few)
         small = low.select("a", F.col("m").alias("b")).union(low.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small)
-        same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0
+        before, n = n, small.count()
+        same = n == before and small.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0
         release(edges)
         edges = small
         if same:
