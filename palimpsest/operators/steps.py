@@ -88,7 +88,7 @@ def top_at(counts: DataFrame, by: list[str], key: str, n: str, k: int, snapshots
     """
     last = snapshots.agg(F.max("idx").alias("__last"))
     rows = counts.where((F.col(n) > 0) & F.col(key).isNotNull()).crossJoin(F.broadcast(last))  # one row
-    rows = rows.withColumn("__to", F.coalesce(F.col("valid_to") - 1, F.col("__last"))).where(F.col("valid_from") <= F.col("__to"))
+    rows = rows.withColumn("__to", F.least(F.col("valid_to") - 1, F.col("__last"))).where(F.col("valid_from") <= F.col("__to"))
     cut = lambda c: F.floor(F.col(c) / block).cast("long")
     rows = rows.withColumn("__block", F.explode(F.sequence(cut("valid_from"), cut("__to"))))
     first, end = F.col("__block") * block, F.least((F.col("__block") + 1) * block - 1, F.col("__last"))

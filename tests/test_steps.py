@@ -106,6 +106,6 @@ def test_world_states(spark, snapshots):
     by = defaultdict(set)
     for r in got:
         by[(r.state, r.n_files)].add(frozenset((p, s) for p, s, a, b in files if a <= r.idx and (b is None or b > r.idx)))
-    assert all(len(v) == 1 for v in by.values()) and len(by) == 4
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 3
     empty = spark.createDataFrame([], "path string, sha string, valid_from long, valid_to long")
     assert steps.world_states(empty).collect() == []
