@@ -108,6 +108,14 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def glob_pattern(glob: Column) -> Column:
+    """The same for a column of patterns."""
+    lone = F.regexp_replace(F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1"), r"\[(?![^\]]+\])", r"\\[")
+    inside = F.replace(F.replace(lone, F.lit("**/"), F.lit("\u0001")), F.lit("*"), F.lit(".*"))
+    body = F.replace(F.replace(inside, F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^"))
+    return F.concat(F.lit("^"), F.replace(body, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("$"))
+
+
 def glob_matches(path: Column, glob: str) -> Column:
     """Whether a path matches; a pattern without / is held against the basename alone."""
     return (path if "/" in glob else basename(path)).rlike(glob_regex(glob))

@@ -9,7 +9,7 @@ import re
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
@@ -161,22 +161,51 @@ def render(rows: DataFrame, cap: int = CAP) -> str:
     return text if len(text) <= cap else text[:cap] + f"\n... [{len(text) - cap} more characters]"
 
 
+#: Characters of a name's start by which patterns without a folder meet names, and copies of a pattern
+#: over which the paths that it meets are spread.
+START, SPREAD = 8, 16
+
+
+def ancestors(path: Column) -> Column:
+    """The folders above a path, each ending in /."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    return F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+
+
+def is_glob(item: Column) -> Column:
+    return item.rlike(r"[*?\[]")
+
+
+def glob_matches(patterns: DataFrame, paths: DataFrame) -> DataFrame:
+    """Distinct patterns (item) and the paths (path) that match them: item, path.
+
+    A pattern meets only paths in the folder that it begins with, or, without a folder, names that begin
+    as it does (up to START characters); what begins with a wildcard is spread over SPREAD tasks.
+    """
+    item = F.col("item")
+    literal = F.regexp_extract(item, r"^[^*?\[]*", 0)
+    folder = F.regexp_extract(literal, r"^(.*/)?", 0)
+    key = F.when(item.contains("/"), F.concat(F.lit("d"), folder)).otherwise(F.concat(F.lit("b"), F.substring(literal, 1, START)))
+    asked = patterns.select("item").distinct().select("item", key.alias("key"), scalar.glob_pattern(item).alias("regex"), F.explode(F.array(*[F.lit(i) for i in range(SPREAD)])).alias("salt"))
+    name = scalar.basename(F.col("path"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(START)), lambda n: F.concat(F.lit("b"), F.left(name, n)))
+    keys = F.array_distinct(F.concat(F.array(F.lit("d")), F.transform(ancestors(F.col("path")), lambda f: F.concat(F.lit("d"), f)), starts))
+    held = paths.select("path").distinct().select("path", F.explode(keys).alias("key")).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int"))
+    text = F.when(F.startswith("key", F.lit("d")), F.col("path")).otherwise(scalar.basename(F.col("path")))
+    return asked.join(held, ["key", "salt"]).where(F.rlike(text, F.col("regex"))).select("item", "path")
+
+
 def read_set(calls: DataFrame, files: DataFrame) -> DataFrame:
     """Paths that each observation depends on. calls: iid, item (a path, a folder ending in / or a shell pattern)."""
-    pattern = F.col("item").rlike(r"[*?\[]|/$")
-    plain = calls.where(~pattern).join(files.select("path"), F.col("item") == F.col("path")).select("iid", "path")
-    wide = calls.where(pattern)
+    folder, pattern = F.col("item").endswith("/"), is_glob(F.col("item"))
+    plain = calls.where(~folder & ~pattern).join(files.select("path"), F.col("item") == F.col("path")).select("iid", "path")
     # a folder is a prefix that ends at one of a path's slashes
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    folders = files.select("path", F.explode(F.when(F.size(parts) > 1, above)).alias("item"))
-    inside = wide.where(F.col("item").endswith("/")).join(folders, "item").select("iid", "path")
-    # each pattern meets each path once, however many calls have it
-    regex = F.udf(scalar.glob_regex, "string")
-    globs = wide.where(~F.col("item").endswith("/")).select("item").distinct().select("item", regex("item").alias("regex"))
-    held = F.when(F.col("item").contains("/"), F.col("path")).otherwise(scalar.basename(F.col("path")))
-    got = files.select("path").distinct().join(globs, F.rlike(held, F.col("regex"))).select("item", "path")
-    return plain.unionByName(inside).unionByName(wide.join(got, "item").select("iid", "path")).distinct()
+    above = files.select("path", F.explode(ancestors(F.col("path"))).alias("item"))
+    inside = calls.where(folder).join(above, "item").select("iid", "path")
+    # each pattern meets the paths of its folder once, however many calls have it
+    wide = calls.where(~folder & pattern)
+    return plain.unionByName(inside).unionByName(wide.join(glob_matches(wide, files), "item").select("iid", "path")).distinct()
 
 
 def label(tool, argument):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalar
 from palimpsest.operators import inference, manifest, steps
 from palimpsest.plans.base import query, table
+from palimpsest.sources import working
 
 #: Every version with its bounds, and w: the versions at each snapshot.
 LAKE = """o as (select *, strftime(o_orderdate, '%Y-%m') as month, o_orderstatus as ds from orders),
@@ -36,16 +37,17 @@ def _lake(spark, sf):
     o = table(spark, sf, "orders").withColumn("month", scalar.month_of(F.col("o_orderdate"))).withColumn("ds", F.col("o_orderstatus"))
     december, june = F.col("month").endswith("-12"), F.col("month").endswith("-06")
     parts = o.select("ds", "month").distinct()
-    snapshots = inference.numbered(o.select("month").distinct(), "month", "idx").withColumn("idx", F.col("idx").cast("long"))
+    snapshots = working.kept(inference.numbered(o.select("month").distinct(), "month", "idx"))
     path = _path(F.col("ds"), F.col("month"))
     later = F.when(december, F.array(F.struct(F.lit(0).alias("by"), F.lit("a").alias("v")), F.struct(F.lit(1).alias("by"), F.lit("c").alias("v")))).when(june, F.array(F.struct(F.lit(0).alias("by"), F.lit("a").alias("v")), F.struct(F.lit(24).alias("by"), F.lit(None).cast("string").alias("v"))))
     events = parts.join(snapshots, "month").select("ds", "month", path.alias("path"), "idx", F.explode(F.coalesce(later, F.array(F.struct(F.lit(0).alias("by"), F.lit("a").alias("v"))))).alias("e"))
     log = events.select("path", (F.col("idx") + F.col("e.by")).alias("idx"), F.when(F.col("e.v").isNotNull(), F.md5(F.concat("path", "e.v"))).alias("sha"))
     files = manifest.fold(log).withColumn("ds", F.split_part("path", F.lit("/"), F.lit(2))).withColumn("month", F.substring(F.split_part("path", F.lit("/"), F.lit(3)), 1, 7))
+    files = working.kept(files)  # the log is small beside the data, and every step starts from it
     late = december & (F.col("o_orderkey") % 32 == 0)
     v = F.explode(F.when(late, F.array(F.lit("c"))).when(december, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"))))
     rows = o.withColumn("v", v).withColumn("sha", F.md5(F.concat(path, "v")))
-    facts = parts.select("ds", F.explode(F.array(F.substring("month", 1, 4), F.lit("all"))).alias("period")).distinct().select(F.concat_ws(":", "ds", "period").alias("fact"), "ds", "period")
+    facts = files.select("ds", "month").distinct().select("ds", F.explode(F.array(F.substring("month", 1, 4), F.lit("all"))).alias("period")).distinct().select(F.concat_ws(":", "ds", "period").alias("fact"), "ds", "period")
     return rows, files, snapshots.select("idx"), facts
 
 
