@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from palimpsest.sources.working import kept
+
 
 def _slice(rows: DataFrame, time: str, width: int = 4096):
     """The day of a time, or a run of numbers: what a key's rows are cut into, so that a hot key is no single task's."""
@@ -122,27 +124,54 @@ def task_rollup(reads: DataFrame, task: str, group: str) -> DataFrame:
 CELLS = 1024
 
 
-def zipf_tasks(facts: DataFrame, tasks: DataFrame, k: int, s: float, seed: str = "zipf", draws: int = 64) -> DataFrame:
+#: Draws after which a task's remaining places go by a race instead.
+MOST_DRAWS = 1024
+
+
+def zipf_tasks(facts: DataFrame, tasks: DataFrame, k: int, s: float, seed: str = "zipf") -> DataFrame:
     """k distinct facts for every task (all, if a repository has fewer), drawn by a Zipf law over ranks.
     facts: repo, iid, rank (from 1); tasks: repo, task.
 
-    Hashed numbers of a task are turned into ranks by the inverse of the law's distribution until k
-    facts are found, which draws without replacement; ``draws`` bounds the numbers of a task, so that
-    fewer than k come out only where a few facts hold nearly all the weight. A number meets the facts
-    of its cell of the unit interval alone: no task is paired with all facts.
+    Hashed numbers of a task are turned into ranks by the inverse of the law's distribution until k facts are
+    found, which draws without replacement. Most tasks are done after a few numbers; only those that aren't draw
+    on, four times as many each round. Where a few facts hold nearly all the weight, even that may not find k:
+    after MOST_DRAWS numbers the places that are left go by an exponential race among the task's facts that weren't
+    found, which has the same law. A number meets the facts of its cell of the unit interval alone.
     """
     weight = 1 / F.pow(F.col("rank"), F.lit(s))
     f = facts.withColumn("w", weight)
     upto = F.sum("w").over(Window.partitionBy("repo").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     f = f.withColumn("upto", upto).withColumn("all", F.sum("w").over(Window.partitionBy("repo")))
     f = f.withColumn("before", F.lag("upto", 1, 0.0).over(Window.partitionBy("repo").orderBy("rank")))
-    f = f.select("repo", "iid", (F.col("before") / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"))
+    f = f.select("repo", "iid", "w", (F.col("before") / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"))
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
-    f = f.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("task").cast("string"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("double")
-    d = tasks.select("repo", "task", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", hashed / float(16**12)).withColumn("cell", cell(F.col("u")))
-    hit = d.join(f, ["repo", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    first = hit.groupBy("repo", "task", "iid").agg(F.min("draw").alias("draw"))
+    f = kept(f.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))))
+    unit = lambda *x: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *x)), 1, 12), 16, 10).cast("double") / float(16**12)
+    text = lambda c: F.col(c).cast("string")
+    goal = f.groupBy("repo").agg(F.least(F.countDistinct("iid"), F.lit(k)).alias("goal"))
+    open_, done, last, many = kept(tasks.select("repo", "task").distinct().join(goal, "repo")), [], 0, 4 * k
+    found = None
+    while True:
+        d = open_.select("repo", "task", F.explode(F.sequence(F.lit(last + 1), F.lit(many))).alias("draw")).withColumn("u", unit(text("task"), text("draw"))).withColumn("cell", cell(F.col("u")))
+        hit = d.join(f, ["repo", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("repo", "task", "iid", "draw")
+        seen = (hit if found is None else hit.unionByName(found)).groupBy("repo", "task", "iid").agg(F.min("draw").alias("draw"))
+        have = Window.partitionBy("repo", "task")
+        told = kept(seen.withColumn("have", F.count(F.lit(1)).over(have)).join(goal, "repo"))
+        done.append(told.where("have >= goal").select("repo", "task", "iid", "draw"))
+        short = open_.join(told.where("have >= goal").select("repo", "task").distinct(), ["repo", "task"], "left_anti")
+        open_, found = kept(short), told.where("have < goal").select("repo", "task", "iid", "draw")
+        if open_.isEmpty():
+            break
+        if many >= MOST_DRAWS:
+            rest = open_.join(f.select("repo", "iid", "w").distinct(), "repo").join(found.select("repo", "task", "iid"), ["repo", "task", "iid"], "left_anti")
+            race = -F.log(1 - unit(text("task"), text("iid"), F.lit("race"))) / F.col("w")
+            late = rest.withColumn("n", F.row_number().over(Window.partitionBy("repo", "task").orderBy(race, "iid"))).where(F.col("n") <= k)
+            done += [found, late.select("repo", "task", "iid", (F.col("n") + many).cast("int").alias("draw"))]
+            break
+        last, many = many, min(MOST_DRAWS, 4 * many)
+    first = done[0]
+    for x in done[1:]:
+        first = first.unionByName(x)
     w = Window.partitionBy("repo", "task").orderBy("draw")
     return first.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("repo", "task", "iid", "n")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
+from palimpsest.operators import groups
 
 
 def dependency_key(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -104,18 +105,9 @@ def decode(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def capped_groups(items: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
     """Items of a key in order, put into groups of at most ``most`` in size (a larger item is a group of its own):
-    by, group, n_items, total. A fold over a key's items, whose state is the open group alone."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(size).cast("long").alias("size")))), lambda x: x["size"])
-    whole = F.aggregate(
-        listed,
-        F.struct(F.array().cast("array<struct<n:bigint,total:bigint>>").alias("done"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total")),
-        lambda a, x: F.when(
-            (a["n"] > 0) & (a["total"] + x > most),
-            F.struct(F.array_append(a["done"], F.struct(a["n"].alias("n"), a["total"].alias("total"))).alias("done"), F.lit(1).cast("long").alias("n"), x.alias("total")),
-        ).otherwise(F.struct(a["done"].alias("done"), (a["n"] + 1).alias("n"), (a["total"] + x).alias("total"))),
-        lambda a: F.array_append(a["done"], F.struct(a["n"].alias("n"), a["total"].alias("total"))),
-    )
-    return items.groupBy(by).agg(whole.alias("g")).select(by, F.posexplode("g").alias("group", "g")).select(by, "group", F.col("g.n").alias("n_items"), F.col("g.total").alias("total"))
+    by, group, n_items, total. No row and no task holds a key."""
+    told = groups.grouped(items.select(by, order, size), by, [order], size, most)
+    return told.groupBy(by, "group").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col(size).cast("long")).alias("total"))
 
 
 def hunks(pairs: DataFrame, old: str, new: str, context: int = 2) -> DataFrame:
@@ -144,6 +136,52 @@ def hunks(pairs: DataFrame, old: str, new: str, context: int = 2) -> DataFrame:
     return pairs.withColumn("hunks", diff(F.col(old), F.col(new)))
 
 
+def hunk_rows(pairs: DataFrame, keys: list[str], old: str, new: str, context: int = 2) -> DataFrame:
+    """The hunks of pairs of texts as rows: keys, hunk (from 0), start and lines (in the old text, from 0), text."""
+
+    @F.pandas_udf("array<struct<start:long,lines:long,text:string>>")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        def one(x, y):
+            x, y = (x or "").split("\n"), (y or "").split("\n")
+            out = []
+            for found in difflib.SequenceMatcher(None, x, y, autojunk=False).get_grouped_opcodes(context):
+                lines = []
+                for tag, i1, i2, j1, j2 in found:
+                    lines += [" " + z for z in x[i1:i2]] if tag == "equal" else ["-" + z for z in x[i1:i2]] + ["+" + z for z in y[j1:j2]]
+                out.append({"start": found[0][1], "lines": found[-1][2] - found[0][1], "text": "\n".join(lines)})
+            return out
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+    told = pairs.select(*keys, F.posexplode(diff(F.col(old), F.col(new))).alias("hunk", "h"))
+    return told.select(*keys, "hunk", "h.start", "h.lines", "h.text")
+
+
+def citation_hits(texts: DataFrame, cites: DataFrame, keys: list[str], text: str, least: int = 8) -> DataFrame:
+    """Lines of texts (keys, text) that cites (keys, cite) hit: keys, line (from 0). A line hits when it equals a cite but for
+    blanks around it, or contains one of ``least`` characters or more."""
+    lines = texts.join(cites.groupBy(*keys).agg(F.collect_set("cite").alias("__cites")), keys).select(*keys, "__cites", F.posexplode(F.split(text, "\n")).alias("line", "__l"))
+    hit = F.exists("__cites", lambda c: (F.trim("__l") == c) | ((F.length(c) >= least) & F.contains("__l", c)))
+    return lines.where(hit).select(*keys, F.col("line").cast("long").alias("line"))
+
+
+def nearest_hits(hunks: DataFrame, hits: DataFrame, keys: list[str], none: int = 10**6) -> DataFrame:
+    """hunks (keys, hunk, start, lines) with distance: from the hunk's stretch of lines to the nearest hit (keys, line), 0 inside
+    it; ``none`` plus the hunk's number where its text has no hit. Hunks and hits are swept in one order: the nearest
+    hit is the last one before a hunk's start or the first one from there on, so no hunk is paired with all hits."""
+    marks = hunks.select(*keys, "hunk", "start", "lines", F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__line"))
+    marks = marks.unionByName(hits.distinct().select(*keys, F.lit(None).cast("int").alias("hunk"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("lines"), F.col("line").alias("__at"), F.lit(1).alias("__kind"), F.col("line").alias("__line")))
+    w = Window.partitionBy(*keys).orderBy("__at", "__kind")
+    before = F.last("__line", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("__line", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    end = F.col("start") + F.greatest(F.col("lines"), F.lit(1)) - 1
+    told = marks.select("*", before.alias("__b"), after.alias("__a")).where("__kind = 0")
+    near = F.least(F.col("start") - F.col("__b"), F.when(F.col("__a") > end, F.col("__a") - end).when(F.col("__a").isNotNull(), 0))  # a null is left out
+    return told.select(*keys, "hunk", "start", "lines", F.coalesce(near, F.lit(none) + F.col("hunk")).cast("long").alias("distance"))
+
+
 def anchor_calls(calls: DataFrame, newest: DataFrame) -> DataFrame:
     """calls (iid, pos, tool, path) as queries that survive drift: a call on the newest file of a series asks for
     the newest one, any other for its path; repeats of a query keep their first place. newest: series, path."""
