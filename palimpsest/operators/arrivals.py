@@ -199,6 +199,63 @@ def greedy_assignment(repos: list[tuple[str, float]], proxies: list[tuple[str, f
     return out
 
 
+def numbered_per(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """rows with i, their places (from 0) within each key."""
+    return rows.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+
+
+def assigned(pairs: DataFrame, order: str = "rate") -> DataFrame:
+    """Greedy one-to-one assignment from a table of pairs (repo, rate, proxy, distance): in the order of rising rate (ties
+    by name) each repository gets the nearest proxy (ties by name) that is still free. Returns repo, proxy, distance.
+
+    All repositories ask for their nearest proxy at once; a proxy keeps the one that is first in order and turns
+    the others away, who ask for their next one. That ends with what taking turns gives, after as many rounds as
+    proxies are fought over, without a list on the driver.
+    """
+    turn = F.struct(order, "repo")
+    left = kept(pairs.select("repo", "rate", "proxy", "distance"))
+    while True:
+        asked = left.groupBy("repo").agg(F.min_by(F.struct("rate", "proxy", "distance"), F.struct("distance", "proxy")).alias("x")).select("repo", "x.*")
+        held = kept(asked.withColumn("first", F.min_by("repo", turn).over(Window.partitionBy("proxy"))))
+        away = held.where(F.col("repo") != F.col("first")).select("repo", "proxy")
+        if away.isEmpty():
+            return held.select("repo", "proxy", "distance")
+        left = kept(left.join(away, ["repo", "proxy"], "left_anti"))
+
+
+def proxy_windows(starts: DataFrame, commits: DataFrame, size: int) -> DataFrame:
+    """For each repository (repo, start, rate) and each asset that has commits enough (asset, ct): the window of ``size``
+    commits after the last one up to the start, or the last such window where there isn't one.
+
+    repo, asset, i0 (the window's first commit, from 0), aligned, low and high (its bounds), rate (of the
+    repository), distance (of the window's rate from it, as an absolute log ratio). Repositories and assets are
+    short tables of names; commits are only numbered and looked up.
+    """
+    numbered = kept(numbered_per(commits, "asset", "ct"))
+    many = numbered.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+    probes = many.select("asset").crossJoin(F.broadcast(starts.select("repo", "start")))  # short tables of names
+    marks = numbered.select("asset", F.col("ct").alias("at"), F.lit(None).cast("string").alias("repo"), F.lit(0).alias("probe")).unionByName(probes.select("asset", F.col("start").alias("at"), F.col("repo").cast("string").alias("repo"), F.lit(1).alias("probe")))
+    before = F.count_if(F.col("probe") == 0).over(Window.partitionBy("asset").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    found = marks.withColumn("last", before).where("probe = 1").join(many, "asset")
+    aligned = (F.col("last") >= 0) & (F.col("last") + size < F.col("n"))
+    found = found.select("repo", "asset", aligned.alias("aligned"), F.when(aligned, F.col("last")).otherwise(F.col("n") - size - 1).alias("i0"))
+    at = lambda name, shift: numbered.select("asset", (F.col("i") - shift).alias("i0"), F.col("ct").alias(name))
+    told = found.join(at("low", 0), ["asset", "i0"]).join(at("high", size), ["asset", "i0"])
+    days = F.greatest((F.unix_micros(F.col("high").cast("timestamp")) - F.unix_micros(F.col("low").cast("timestamp"))) / 86_400_000_000, F.lit(1e-9))
+    told = told.join(starts.select(F.col("repo").cast("string").alias("repo"), "rate"), "repo")
+    return told.withColumn("distance", F.round(F.abs(F.log(size / days / F.col("rate"))), 9))
+
+
+def mapped_arrivals(chosen: DataFrame, commits: DataFrame, issues: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Issues of each repository's asset (chosen: repo, asset, i0, low, high) as its arrivals, and the clock that they are
+    mapped by: arrivals (repo, time, t) and clock (repo, t, time). A clock is a window's commits, made monotone."""
+    ticks = numbered_per(commits, "asset", "ct").join(chosen.select("repo", "asset", "i0"), "asset").withColumn("t", F.col("i") - F.col("i0")).where((F.col("t") >= 0) & (F.col("t") <= size))
+    clock = kept(ticks.select("repo", F.col("t").cast("long").alias("t"), F.max("ct").over(Window.partitionBy("repo").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("time")))
+    inside = issues.join(chosen.select("repo", "asset", "low", "high"), "asset").where((F.col("time") > F.col("low")) & (F.col("time") <= F.col("high")))
+    told = asof(inside.select("repo", "time"), clock.groupBy("repo", "time").agg(F.max("t").alias("t")), "repo")  # of equal times the last
+    return told.select("repo", "time", F.least(F.greatest(F.coalesce("t", F.lit(0)), F.lit(0)), F.lit(size)).cast("long").alias("t")), clock
+
+
 def poisson_control(counts: DataFrame, by: str, start: str, end: str, seed: str = "poisson") -> DataFrame:
     """counts (by, n) to n arrivals between two times in seconds: order statistics of hashed uniform numbers,
     which are those of a Poisson process given its count."""

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.sources.working import kept
 
-#: Items of a chunk.
-CHUNK = 4096
+#: Items of a chunk, and a threshold that every running sum exceeds.
+CHUNK, LOWEST = 4096, -(1 << 62)
 
 
 def running(rows: DataFrame, by: str, order: list[str], size: str) -> DataFrame:
@@ -75,12 +75,12 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of a key in order: the threshold that comes into each, and the groups that started before it."""
-    key, threshold, groups = None, -1, 0
+    key, threshold, groups = None, LOWEST, 0
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             if (r["k"],) != key:
-                key, threshold, groups = (r["k"],), -1, 0
+                key, threshold, groups = (r["k"],), LOWEST, 0
             rows.append({"k": r["k"], "chunk": r["chunk"], "threshold": threshold, "groups": groups})
             run = next((i for i, x in enumerate(r["below"]) if x > threshold), None)
             if run is not None:
@@ -131,9 +131,14 @@ def grouped(items: DataFrame, by: str, order: list[str], size: str, most: int, b
     # the sum that a group may reach which starts here; an item that doesn't fit alone ends its group
     limit = F.greatest(F.col("upto") - F.col("__whole") + most - F.col("__extra"), F.col("upto"))
     summed = kept(summed.withColumn("limit", limit).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long")))
+    return chained(summed, chunk).select(*items.columns, "group")
+
+
+def chained(summed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (__k, place, upto, limit: whole numbers, upto rising with place, chunk), with group: the chain starts at a key's
+    first row, and from each start goes on to the first row whose upto exceeds the start's limit."""
     links = summed.select(F.col("__k").alias("k"), "chunk", "upto", "limit", "place").repartition("k", "chunk").sortWithinPartitions("k", "chunk", "place")
     told = kept(links.mapInArrow(_tell, "k long, chunk long, below array<long>, out array<long>, n array<long>"))
     entry = kept(told.repartition("k").sortWithinPartitions("k", "chunk").mapInArrow(_fold, "k long, chunk long, threshold long, groups long"))
     numbered = links.join(entry, ["k", "chunk"]).repartition("k", "chunk").sortWithinPartitions("k", "chunk", "place").mapInArrow(_number, "k long, place long, group long")
-    out = summed.join(numbered.withColumnsRenamed({"k": "__nk", "place": "__np"}), (F.col("__k") == F.col("__nk")) & (F.col("place") == F.col("__np")))
-    return out.select(*items.columns, "group")
+    return summed.join(numbered.withColumnsRenamed({"k": "__nk", "place": "__np"}), (F.col("__k") == F.col("__nk")) & (F.col("place") == F.col("__np"))).drop("__nk", "__np")

@@ -7,10 +7,12 @@ a window of the past stay windows; the ones that depend on their own earlier act
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import groups
+from palimpsest.sources.working import kept
+
 
 def schedule(versions: DataFrame, kind: str, t: str = "t") -> DataFrame:
     """The reads of a schedule: "every", or "every<k>"."""
@@ -177,3 +179,33 @@ def run(name: str, rows: DataFrame) -> DataFrame:
     if name not in REGISTRY:
         raise KeyError(f"no policy is called {name!r}")
     return REGISTRY[name](rows)
+
+
+def configured(reads: DataFrame, triggers: DataFrame, configurations: DataFrame, chunk: int = groups.CHUNK) -> DataFrame:
+    """Many configurations of one policy in one pass: config, iid, n_reads, n_derived, n_wrong.
+
+    reads: iid, t (whole numbers, in any spacing), truth; triggers: iid, t; configurations, a short table: config,
+    every (only reads whose place in their key divides by it), age (a derivation expires after so much t; null: never),
+    triggered (whether a trigger, too, makes the next read derive; it is carried forward to that read).
+
+    A read of a configuration derives where its last derivation has expired or a trigger fired since the read
+    before. A trigger cuts a key's reads into stretches that start with a derivation; within one, derivations are a
+    chain by age, which goes through all reads of all configurations in chunks: no fold holds a key.
+    """
+    place = F.row_number().over(Window.partitionBy("iid").orderBy("t")) - 1
+    # how many triggers fired up to each read: a union in order of time, triggers first
+    marks = reads.select("iid", "t", "truth", F.lit(0).alias("fired"), F.lit(1).alias("read")).unionByName(triggers.select("iid", "t", F.lit(None).cast(reads.schema["truth"].dataType).alias("truth"), F.lit(1).alias("fired"), F.lit(0).alias("read")))
+    upto = F.sum("fired").over(Window.partitionBy("iid").orderBy("t", "read").rowsBetween(Window.unboundedPreceding, 0))
+    told = marks.withColumn("stretch", upto).where("read = 1").withColumn("at", place)
+    rows = told.crossJoin(F.broadcast(configurations)).where(F.col("at") % F.col("every") == 0)  # a short table, by contract
+    rows = rows.withColumn("stretch", F.when(F.col("triggered"), F.col("stretch")).otherwise(0))
+    rows = rows.withColumn("__k", F.xxhash64("config", "iid", "stretch"))
+    order = Window.partitionBy("__k").orderBy("t")
+    never = F.lit(1 << 61)
+    summed = rows.withColumn("place", (F.row_number().over(order) - 1).cast("long")).withColumn("upto", F.col("t").cast("long"))
+    summed = kept(summed.withColumn("limit", F.coalesce(F.col("upto") + F.col("age") - 1, never).cast("long")).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long")))
+    grouped = groups.chained(summed, chunk)
+    served = F.first("truth").over(Window.partitionBy("__k", "group").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.row_number().over(Window.partitionBy("__k", "group").orderBy("t")) == 1
+    out = grouped.withColumn("derived", start).withColumn("wrong", ~served.eqNullSafe(F.col("truth")))
+    return out.groupBy("config", "iid").agg(F.count(F.lit(1)).alias("n_reads"), F.count_if("derived").alias("n_derived"), F.count_if("wrong").alias("n_wrong"))
