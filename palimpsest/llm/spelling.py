@@ -212,7 +212,8 @@ def variants(vocabulary: DataFrame, shard: int = SHARD) -> DataFrame:
     """words (word, n) to word, n, n_near, form, form_n and root."""
     with scratch(vocabulary.sparkSession) as keep:
         own = materialize(vocabulary)
-        close = materialize(join_table(own, near_words(own, shard), ["word"], "left"))
+        near_ = materialize(near_words(own, shard))  # read twice: its size is looked at before the join
+        close = materialize(join_table(own, near_, ["word"], "left"))
         is_form = F.col("best_n") >= RATIO * F.col("n")
         told = close.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n"))
         ends = roots(told.where("form is not null").select("word", "form"))
