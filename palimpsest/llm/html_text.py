@@ -1,11 +1,13 @@
 """HTML main-text extraction with a tree-structured graphical model.
 
 A page becomes a tree of block elements with runs of inline text as leaves. Every node has
-a binary label, content or not. A node's own features (tag, words of its class, id and
-role, and for a leaf its length, links and punctuation) give its potential; each
-parent-child edge has a 2 x 2 potential that depends on the kind of the child. One upward
+a binary label, content or not. A node's own features (tag, words of its class, id and role;
+how long, how linked and how much like sentences its text and the text below it are; for a leaf
+the leaves beside it and whether most of the page's plain text is where it is) give its potential;
+each parent-child edge has a 2 x 2 potential that depends on the kind of the child. One upward
 and one downward pass of sum-product messages give exact marginals; leaves with a marginal
-of one half or more are the main text, in page order.
+of one half or more are the main text, in page order. Names of elements are hints that training
+pages drop, make up and mislead with, so that text can outweigh them.
 
 All potentials are trained by maximum conditional likelihood (the gradient needs the same
 marginals) on labelled pages, which ``labelled_pages`` makes from seeded templates, on the
@@ -25,9 +27,10 @@ import html as entities
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,17 +62,20 @@ ENDS = {
 PLAIN = frozenset(["", *"html body p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th figure figcaption object center".split()])
 #: Kinds of children, by which edge potentials differ.
 KINDS = {"": 0, "p": 1, "pre": 1, "blockquote": 1, **{f"h{i}": 2 for i in range(1, 7)}, "li": 3, "ul": 3, "ol": 3, "dl": 3, "dt": 3, "dd": 3, "article": 4, "main": 4, "div": 5, "section": 5, "td": 6, "tr": 6, "table": 6, "tbody": 6, "th": 6}
-OTHER_KIND, N_KINDS = 7, 8
+OTHER_KIND, N_KINDS, CONTAINERS = 7, 8, 4
+#: A feature of fewer training pages is left out: a name that is seen so seldom says nothing.
+LEAST_PAGES = 8
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:\s|^)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_ENDS = frozenset(".!?:;…\"'”»")
 
 
 class Node:
     __slots__ = ("tag", "parent", "names", "label", "parts", "linked")
 
-    def __init__(self, tag: str, parent: int, names: tuple[str, ...] = (), label: int = -1):
+    def __init__(self, tag: str, parent: int, names: tuple[tuple[str, bool], ...] = (), label: int = -1):
         self.tag, self.parent, self.names, self.label = tag, parent, names, label
         self.parts: list[str] = []
         self.linked = 0
@@ -147,7 +153,10 @@ def parse(page: str) -> list[Node]:
                     if a[1].lower() == "data-y":
                         label = int(value == "1")
                     else:
-                        names += _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                        for name in value.split():
+                            words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+                            # a word of a name of many words says less than one that stands by itself
+                            names += [(w, len(words) < 3) for w in words]
                 nodes.append(Node(tag, stack[-1], tuple(dict.fromkeys(names)), label))
                 places[tag].append(len(stack))
                 stack.append(len(nodes) - 1)
@@ -156,25 +165,68 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _share(part: int, whole: int) -> int:
+    """A share in four grades."""
+    x = part / max(1, whole)
+    return 0 if x < 0.05 else 1 if x < 0.3 else 2 if x < 0.75 else 3
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
-    """Names of the features of each node that hold."""
-    out = []
+    """Names of the features of each node that hold: its tag and names; how long, how linked and how much like sentences
+    its text and that of all below it are; a container's share of the page's text; the leaves beside a leaf."""
+    out: list[list[str]] = []
     bare = all(n.tag in PLAIN for n in nodes)
-    for n in nodes:
+    n_nodes = len(nodes)
+    texts = [_SPACE.sub(" ", "".join(n.parts)).strip() if not n.tag else "" for n in nodes]
+    chars, linked, ended, leaves = ([0] * n_nodes for _ in range(4))
+    for i in range(n_nodes - 1, -1, -1):
+        if not nodes[i].tag:
+            chars[i], linked[i], leaves[i] = len(texts[i]), min(nodes[i].linked, len(texts[i])), 1
+            ended[i] = int(texts[i][-1:] in _ENDS and chars[i] > 20)
+        if (up := nodes[i].parent) >= 0:
+            for held in (chars, linked, ended, leaves):
+                held[up] += held[i]
+    # how much plain text each container holds itself, and the most that one holds: where a page's text mostly is
+    holder, own = list(range(n_nodes)), [0] * n_nodes
+    for i, n in enumerate(nodes):
+        if n.parent >= 0 and (not n.tag or KINDS.get(n.tag, OTHER_KIND) < CONTAINERS):
+            holder[i] = holder[n.parent]
+        if not n.tag:
+            own[holder[i]] += chars[i] - linked[i]
+    most = max(1, max(own))
+    place = [0 if 5 * x < most else 1 if x < most else 2 for x in own]
+    whole, last = max(1, chars[0]), ""
+    for i, n in enumerate(nodes):
+        size = 0 if chars[i] < 25 else 1 if chars[i] < 120 else 2 if chars[i] < 400 else 3
+        grade = f"{_share(linked[i], chars[i])}{min(2, ended[i])}{size}"
         if n.tag:
-            out.append(["t:" + n.tag, *["n:" + w for w in n.names], "named" if n.names else "plain"])
+            kind = KINDS.get(n.tag, OTHER_KIND)
+            got = ["t:" + n.tag, *(("n:" if few else "m:") + w for w, few in n.names), "named" if n.names else "plain"]
+            if kind >= CONTAINERS:  # a long article has many paragraphs, of which each says little: what is below them is told by their leaves
+                got += [f"b:{grade}", f"p:{_share(chars[i], whole)}", f"k:{kind}:{_share(linked[i], chars[i])}{_share(chars[i], whole)}"]
             if n.parent >= 0 and nodes[n.parent].tag in ("html", "body"):
-                out[-1].append(f"top:{n.tag}:{bare}")
+                got.append(f"top:{n.tag}:{bare}")
+            out.append(got)
             continue
-        s = _SPACE.sub(" ", "".join(n.parts)).strip()
-        chars, share = len(s), n.linked / max(1, len(s))
-        got = ["leaf", f"in:{nodes[n.parent].tag}:{bare and nodes[n.parent].tag in ('html', 'body')}", f"len:{min(7, int(math.log2(chars + 1)))}" if chars < 256 else "len:long"]
-        got.append("link:all" if share > 0.8 else "link:some" if share > 0.2 else "link:no")
-        if s[-1:] in ".!?:;…\"'”»":
+        up = n.parent
+        s = texts[i]
+        got = ["leaf", f"where:{place[holder[i]]}", f"in:{nodes[up].tag}:{bare and nodes[up].tag in ('html', 'body')}", f"len:{min(7, int(math.log2(chars[i] + 1)))}" if chars[i] < 256 else "len:long"]
+        got.append(f"link:{_share(linked[i], chars[i])}")
+        got += [f"l:{grade}", f"up:{_share(linked[up], chars[up])}{min(2, ended[up])}"]
+        if last:
+            got.append(f"after:{last}")
+        if s[-1:] in _ENDS:
             got.append("sentence")
         if "©" in s or "all rights reserved" in s.lower():
             got.append("copyright")
+        last = f"{_share(linked[i], chars[i])}{min(3, chars[i] // 40)}"
         out.append(got)
+    following = ""
+    for i in range(n_nodes - 1, -1, -1):
+        if not nodes[i].tag:
+            if following:
+                out[i].append(f"before:{following}")
+            following = f"{_share(linked[i], chars[i])}{min(3, chars[i] // 40)}"
     return out
 
 
@@ -212,9 +264,14 @@ class Model:
 
 
 def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
-    """Pages from varied templates; data-y says of each element whether it is content."""
+    """Pages from varied templates; data-y says of each element whether it is content.
+
+    Names are no more than a hint: on some pages there are none, on some they are made up, and now and
+    then content has a name of several words with one in it that elsewhere stands for something else.
+    """
     rng = random.Random(seed)
     pick_ = rng.choice
+    naming = ["told"]
 
     def words(low: int, high: int) -> str:
         w = ["".join(pick_("aeiounrstlmdéüñ") for _ in range(rng.randint(1, 11))) for _ in range(rng.randint(low, high))]
@@ -223,23 +280,40 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
     def sentences(low: int, high: int) -> str:
         return " ".join(words(1, 14) + pick_((".", ".", ".", "!", "?", "&hellip;", "")) for _ in range(rng.randint(low, high)))
 
+    def made_up() -> str:
+        return pick_((lambda: "".join(pick_("bcdfgkxz") for _ in range(rng.randint(2, 6))), lambda: f"css-{rng.randint(100, 999)}x", lambda: f"{pick_(('col', 'row', 'box', 'cell', 'grid'))}-{rng.randint(1, 12)}"))()
+
     def element(tag: str, y: int, inner: str, name: str = "") -> str:
+        holds = tag in ("div", "section", "article", "main")
+        if naming[0] == "none" or (naming[0] == "clutter" and y):
+            name = ""
+        elif naming[0] == "made up":
+            name = made_up() if name or (y and holds and rng.random() < 0.6) else ""
+        elif y and rng.random() < 0.25:
+            name = pick_(("", made_up())) if holds else ""
+        elif y and naming[0] == "told" and rng.random() < 0.04:
+            name = "-".join(rng.sample(("side", "by", "two", "top", "nav", "ad", "menu", "footer", "header", "comment", "notice", "promo", "with", "no", "main"), 3))
         how = pick_(("class", "class", "id")) if name else ""
         return f'<{tag} data-y="{y}"' + (f' {how}="{name}"' if name else "") + f">{inner}" + ("" if tag in ("p", "li") and rng.random() < 0.2 else f"</{tag}>")
 
     def links(y: int, n: int) -> str:
         return element("ul", y, "".join(element("li", y, f'<a href="/x">{words(1, 3)}</a>') for _ in range(n)))
 
-    def paragraph(y: int) -> str:
+    def paragraph(y: int, tag: str = "p") -> str:
         s = sentences(1, pick_((1, 1, 3, 8))) if rng.random() < 0.85 else "".join(pick_("aeiounrstlm1") for _ in range(rng.randint(1, 4)))
         if rng.random() < 0.2:
             s = f"<b>{s}" + pick_(("</b>", "<br>", ""))
         elif rng.random() < 0.2:
             s += f' <a href="/y">{words(1, 4)}</a> {sentences(1, 1)}'
-        return element("p", y, s)
+        elif rng.random() < 0.06:
+            s = f'<a href="/y">{s}</a>'
+        return element(tag, y, s)
 
     def junk(kind: str) -> str:
-        text = pick_((lambda: sentences(1, 3), lambda: paragraph(0), lambda: paragraph(0) + paragraph(0)))()
+        short = lambda: element("p", 0, sentences(1, 2))
+        text = pick_((lambda: sentences(1, 2), lambda: sentences(1, 2), short, short, lambda: short() + short(), lambda: paragraph(0)))()
+        if kind == "menu" and rng.random() < 0.25:  # links without a list
+            return element(pick_(("div", "p", "nav")), 0, pick_((" ", "<br>", " | ")).join(f'<a href="/x">{words(1, 2)}</a>' for _ in range(rng.randint(2, 7))), pick_(("", "menu", "topnav", "links")))
         if kind == "menu":
             return element(pick_(("nav", "nav", "div", "ul")), 0, links(0, rng.randint(2, 8)), pick_(("", "menu", "nav", "navbar", "navigation", "breadcrumb", "topnav", "main menu")))
         if kind == "header":
@@ -263,25 +337,31 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
 
     def article() -> str:
         inner = [element(pick_(("h1", "h1", "h2")), 1, words(2, 9))] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(1, 9)):
+        usual = "div" if rng.random() < 0.12 else "p"
+        for _ in range(pick_((rng.randint(1, 9), rng.randint(1, 9), rng.randint(1, 9), rng.randint(10, 60)))):
             r = rng.random()
-            if r < 0.72:
-                inner.append(paragraph(1))
-            elif r < 0.78:
+            if r < 0.7:
+                inner.append(paragraph(1, usual))
+            elif r < 0.75:
                 inner.append(element(pick_(("h2", "h3")), 1, words(1, 6)))
-            elif r < 0.83:
+            elif r < 0.8:
                 inner.append(element(pick_(("ul", "ol")), 1, "".join(element("li", 1, words(1, 12)) for _ in range(rng.randint(2, 5)))))
-            elif r < 0.87:
+            elif r < 0.82:  # links that belong to the article
+                inner.append(paragraph(1, usual) + links(1, rng.randint(2, 4)) + paragraph(1, usual))
+            elif r < 0.86:
                 inner.append(element("blockquote", 1, pick_((sentences(1, 3), paragraph(1)))))
-            elif r < 0.9:
+            elif r < 0.88:
                 inner.append(element("table", 1, "".join(element("tr", 1, element("td", 1, words(1, 4)) + element("td", 1, words(1, 4))) for _ in range(3))))
-            elif r < 0.915:
+            elif r < 0.895:
                 inner.append(element("pre", 1, words(2, 20)))
-            elif r < 0.93:
+            elif r < 0.91:
                 caption = element("figcaption", 1, pick_((words(2, 12), sentences(1, 2))))
                 inner.append(element("figure", 1, pick_(('<img src="/i">' + caption, caption + '<img src="/i">', element("object", 1, words(2, 8)) + caption))))
-            elif r < 0.94:
+            elif r < 0.92:
                 inner.append(element(pick_(("p", "div")), 1, words(1, 6) + " <math><mi>x</mi><mo>=</mo><mn>2</mn></math> " + sentences(1, 1)))
+            elif r < 0.95:  # a part of the article, whatever it is called
+                part = "".join(paragraph(1, usual) for _ in range(rng.randint(1, 4)))
+                inner.append(element(pick_(("section", "section", "div")), 1, pick_(("", element("h2", 1, words(1, 4)))) + part, pick_(("", "intro", "discussion", "results", "summary", "part", "chapter", "lead"))))
             else:
                 inner.append(junk(pick_(("advert", "sidebar", "notice", "form"))))
         if rng.random() < 0.04:  # a list of verses, steps or the like
@@ -289,22 +369,34 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
         if rng.random() < 0.04:  # right in the body, or in what holds the article and other things
             return "".join(inner)
         body = "".join(inner) + (junk("comments") if rng.random() < 0.15 else "")
+        for _ in range(pick_((0, 0, 0, 0, 1, 1, 2))):  # plain wrappers, with the article alone or something beside it
+            body = element("div", 1, body) + (junk(pick_(("sidebar", "advert"))) if rng.random() < 0.3 else "")
         r = rng.random()
-        if r < 0.45:
+        if r < (0.2 if naming[0] == "clutter" else 0.45):
             return element("article", 1, body, pick_(("", "", "post", "story", "hentry")))
         if r < 0.6:
             return element("main", 1, body, pick_(("", "content")))
+        if r < 0.7:
+            return element("div", 1, body)
         name = pick_(("content", "post", "entry content", "article body", "story", "main content", "text", "post body", "article"))
         return element(pick_(("div", "section")), 1, body, name)
 
     pages = []
     for i in range(count):
+        naming[0] = pick_(("told", "told", "clutter", "none", "made up"))
         if i % 25 == 0:  # a fragment without any page around it
             pages.append(article() if i % 50 else "".join(paragraph(1) for _ in range(rng.randint(1, 4))) if i % 100 else f'<div data-y="1">{sentences(1, 4)}</div>')
             continue
         some = lambda kinds, p: "".join(junk(k) for k in kinds if rng.random() < p)
         middle = article()
-        if rng.random() < 0.4:
+        if rng.random() < 0.25:  # little else than the article
+            beside = "".join(junk(k) for k in ("sidebar", "menu", "footer") if rng.random() < 0.3)
+            pages.append(f"<html><body data-y=0>{pick_((middle + beside, element('div', 0, middle + beside), element('div', 1, middle) + beside, element('div', 1, middle) + beside))}</body></html>")
+            continue
+        if rng.random() < 0.1:  # laid out in a table
+            cells = [element("td", 0, pick_((junk("menu"), links(0, rng.randint(2, 6)), "".join(f'<a href="/x">{words(1, 2)}</a><br>' for _ in range(rng.randint(1, 6)))))), element("td", 1, middle)]
+            middle = element("table", 0, element("tr", 0, "".join(cells)))
+        elif rng.random() < 0.4:
             middle = element(pick_(("div", "main", "div")), 0, some(("sidebar", "advert"), 0.3) + middle + some(("sidebar", "comments", "form"), 0.4), pick_(("wrapper", "container", "page", "layout", "")))
         before = some(rng.sample(("header", "menu", "notice", "advert", "form"), 5), 0.5)
         after = some(rng.sample(("comments", "sidebar", "advert", "form", "notice"), 5), 0.3) + (junk("footer") if rng.random() < 0.8 else "")
@@ -313,13 +405,16 @@ def labelled_pages(count: int, seed: int = 20240607) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 800, epochs: int = 8, rate: float = 0.3, penalty: float = 1e-4) -> Model:
+def trained(pages: int = 1800, epochs: int = 7, rate: float = 0.3, penalty: float = 1e-4) -> Model:
     """The model fitted to ``pages`` labelled pages, the same in every process."""
     model, squares = Model(), {}
     edge_squares = [[[1e-6] * 2 for _ in range(2)] for _ in range(N_KINDS)]
     data = [(nodes := parse(p), features(nodes)) for p in labelled_pages(pages)]
-    order = random.Random(1)
-    for _ in range(epochs):
+    seen = Counter(f for _, feats in data for f in set(chain.from_iterable(feats)))
+    data = [(nodes, [[f for f in fs if seen[f] >= LEAST_PAGES] for fs in feats]) for nodes, feats in data]
+    order, mean = random.Random(1), defaultdict(float)
+    edge_mean = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(N_KINDS)]
+    for epoch in range(epochs):
         order.shuffle(data)
         for nodes, feats in data:
             marginal, up, rest, psi = model.infer(nodes, feats)
@@ -342,6 +437,14 @@ def trained(pages: int = 800, epochs: int = 8, rate: float = 0.3, penalty: float
                             d = (a == yp and b == y) - t[a][b] / total - penalty * model.edge[k][a][b]
                             edge_squares[k][a][b] += d * d
                             model.edge[k][a][b] += rate * d / math.sqrt(edge_squares[k][a][b])
+        if epoch >= epochs // 2:  # the result is the mean of the later epochs
+            for f, w in model.weights.items():
+                mean[f] += w / (epochs - epochs // 2)
+            for e, m in zip(model.edge, edge_mean):
+                for a in (0, 1):
+                    for b in (0, 1):
+                        m[a][b] += e[a][b] / (epochs - epochs // 2)
+    model.weights, model.edge = dict(mean), edge_mean
     return model
 
 
