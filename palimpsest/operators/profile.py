@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar
 from palimpsest.operators import manifest
+from palimpsest.sources.working import kept
 
 
 def profile(rows: DataFrame, key: str, ts: str, numbers: list[str]) -> DataFrame:
@@ -129,3 +130,32 @@ def quality_fraction(rows: DataFrame, by: str, check: str, column: str, places:
         bad = F.lit(check == "null")
     g = rows.groupBy(by).agg(F.count_if(bad).alias("a"), F.count(F.lit(1)).alias("b"))
     return g.select(by, scalar.answer(scalar.ratio_half_even(F.col("a"), F.col("b"), places)).alias("answer"))
+
+
+def quota_sample(candidates: DataFrame, seed: str, pool: int = 150, natural: int = 11, enriched: int = 11, extra: int = 600) -> DataFrame:
+    """Facts of each type drawn by quota: type, fact, kind (natural, enriched or fill). candidates: type, fact, valid (it has
+    a value), changing (the value changes later).
+
+    Candidates are scanned in the order of a keyed hash until ``pool`` valid ones are found; ``natural`` of them are
+    drawn as they are. ``enriched`` more are drawn from those that change: the rest of the pool's, and, where these
+    are few, the changing ones of up to ``extra`` further candidates, until three times the quota. What is still
+    missing is filled from the pool. All draws are least hashes, so each is a bounded rank per type, of which tasks
+    send only their own best; nothing depends on how the rows are laid out.
+    """
+    h = lambda use: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(use), "type", F.col("fact").cast("string"))), 1, 15), 16, 10).cast("long")
+    first = lambda rows, order, n: rows.withColumn("__r", F.row_number().over(Window.partitionBy("type").orderBy(order, "fact"))).where(F.col("__r") <= n)
+    rows = candidates.select("type", "fact", "valid", "changing").withColumn("scan", h("scan"))
+    picked = kept(first(rows.where("valid"), "scan", pool).drop("__r", "valid"))
+    drawn = kept(first(picked.withColumn("draw", h("natural")), "draw", natural).select("type", "fact", F.lit("natural").alias("kind")))
+    rest = picked.join(drawn.select("type", "fact"), ["type", "fact"], "left_anti")
+    changing = rest.where("changing").select("type", "fact")
+    # beyond the pool: only where it was filled, from its last candidate on
+    ends = picked.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("scan", "fact")).alias("end")).where(F.col("n") == pool).select("type", "end")
+    short = ends.join(changing.groupBy("type").agg(F.count(F.lit(1)).alias("have")), "type", "left").withColumn("want", 3 * enriched - F.coalesce("have", F.lit(0))).where("want > 0")
+    beyond = first(rows.join(short.drop("have"), "type").where(F.struct("scan", "fact") > F.col("end")), "scan", extra).where("valid and changing").drop("__r")
+    more = first(beyond, "scan", 3 * enriched).where(F.col("__r") <= F.col("want")).select("type", "fact")
+    rich = kept(first(changing.unionByName(more).withColumn("draw", h("enriched")), "draw", enriched).select("type", "fact", F.lit("enriched").alias("kind")))
+    missing = picked.select("type").distinct().join(rich.groupBy("type").agg(F.count(F.lit(1)).alias("have")), "type", "left").withColumn("want", F.lit(enriched) - F.coalesce("have", F.lit(0)))
+    left = rest.join(rich.select("type", "fact"), ["type", "fact"], "left_anti").withColumn("draw", h("fill"))
+    fill = first(left, "draw", enriched).join(missing, "type").where(F.col("__r") <= F.col("want")).select("type", "fact", F.lit("fill").alias("kind"))
+    return drawn.unionByName(rich).unionByName(fill)

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from palimpsest.plans import analysis, base, deltas, facts, lake, maintenance, series, snapshots, streams, traces  # noqa: F401
+from palimpsest.plans import analysis, base, deltas, dependencies, exchange, facts, lake, maintenance, series, snapshots, streams, traces  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
