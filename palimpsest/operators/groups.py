@@ -39,20 +39,24 @@ def running(rows: DataFrame, by: str, order: list[str], size: str) -> DataFrame:
     return out.drop("__part", "__by", "__at", "__n", "__s", "__i", "__u")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list]]:
-    """Chunks of rows in order: key, chunk, running sums, thresholds, places."""
-    key, held = None, ([], [], [])
+def _chunks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Chunks of rows in order: key, chunk, running sums, thresholds, places, and what all rows of the chunk say of more."""
+    key, held, said = None, [], ()
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("k", "chunk", "upto", "limit", "place")]
-        for k, chunk, *row in zip(*columns):
-            if (k, chunk) != key:
-                if held[0]:
-                    yield *key, np.array(held[0]), np.array(held[1]), held[2]
-                key, held = (k, chunk), ([], [], [])
-            for x, values in zip(row, held):
-                values.append(x)
-    if held[0]:
-        yield *key, np.array(held[0]), np.array(held[1]), held[2]
+        k, chunk = batch.column("k").to_numpy(), batch.column("chunk").to_numpy()
+        columns = [batch.column(c).to_numpy() for c in ("upto", "limit", "place")]
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(k)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            mine = (int(k[start]), int(chunk[start]))
+            if mine != key:
+                if held:
+                    yield *key, *map(np.concatenate, zip(*held)), *said
+                key, held, said = mine, [], tuple(batch.column(c)[start].as_py() for c in more)
+            held.append([c[start:end] for c in columns])
+    if held:
+        yield *key, *map(np.concatenate, zip(*held)), *said
 
 
 def _links(upto: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +69,21 @@ def _links(upto: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, n
 
 
+_TOLD = pa.schema([("k", pa.int64()), ("chunk", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("below", "out", "n")]])
+
+
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each chunk as runs: thresholds below `below` (and at least the run's before) leave as `out` after n groups."""
+    told = []
     for k, chunk, upto, limit, _ in _chunks(batches):
         out, n = _links(upto, limit)
         ends = np.flatnonzero(np.append((out[1:] != out[:-1]) | (n[1:] != n[:-1]), True))
-        yield pa.RecordBatch.from_pylist([{"k": k, "chunk": chunk, "below": upto[ends].tolist(), "out": out[ends].tolist(), "n": n[ends].tolist()}], schema=pa.schema([("k", pa.int64()), ("chunk", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("below", "out", "n")]]))
+        told.append({"k": k, "chunk": chunk, "below": upto[ends].tolist(), "out": out[ends].tolist(), "n": n[ends].tolist()})
+        if len(told) == 1024:
+            yield pa.RecordBatch.from_pylist(told, schema=_TOLD)
+            told = []
+    if told:
+        yield pa.RecordBatch.from_pylist(told, schema=_TOLD)
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,20 +103,23 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of chunks, with what comes in, to the number of each item's group."""
-    def with_entry():
-        for batch in batches:
-            for i in range(batch.num_rows):
-                entry.setdefault((batch.column("k")[i].as_py(), batch.column("chunk")[i].as_py()), (batch.column("threshold")[i].as_py(), batch.column("groups")[i].as_py()))
-            yield batch
-
-    entry: dict = {}
-    for k, chunk, upto, limit, places in _chunks(with_entry()):
-        threshold, groups = entry.pop((k, chunk))
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["k", "place", "group"])
+
+    for k, _, upto, limit, places, threshold, groups in _chunks(batches, "threshold", "groups"):
         starts, at = np.zeros(len(upto), dtype=np.int64), int(np.searchsorted(upto, threshold, side="right"))
         while at < len(upto):
             starts[at] = 1
             at = int(np.searchsorted(upto, limit[at], side="right"))
-        yield pa.RecordBatch.from_arrays([pa.array([k] * len(places), pa.int64()), pa.array(places, pa.int64()), pa.array(groups - 1 + np.cumsum(starts))], names=["k", "place", "group"])
+        held.append((np.full(len(places), k, dtype=np.int64), places, groups - 1 + np.cumsum(starts)))
+        n += len(places)
+        if n >= 65_536:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
 
 
 def grouped(items: DataFrame, by: str, order: list[str], size: str, most: int, block: str | None = None, header: str | None = None, chunk: int = CHUNK) -> DataFrame:
