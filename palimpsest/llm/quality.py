@@ -122,6 +122,17 @@ def newton(betas: list[np.ndarray], total, ridge: float = 1.0, steps: int = 15)
     return betas
 
 
+def skill(z: np.ndarray, y: np.ndarray) -> float:
+    """How well scores tell labels apart, from 0 (no better than by chance) to 1, less what chance may give to so few;
+    ties count half."""
+    good, bad = z[y > 0], z[y <= 0]
+    if not len(good) or not len(bad):
+        return 0.0
+    order = np.sort(bad)
+    area = (np.searchsorted(order, good, "left") + np.searchsorted(order, good, "right")).mean() / (2 * len(bad))
+    return float(np.clip(2 * (area - 2 * np.sqrt((1 / len(good) + 1 / len(bad)) / 12)) - 1, 0, 1))
+
+
 class Model:
     """Weights of both views and of their calibrated combination."""
 
@@ -193,8 +204,10 @@ class Held:
     def counts(self, rounds: list, betas: list) -> np.ndarray:
         return np.stack([np.bincount(bins(self.x[me] @ betas[me])[self.has[1 - me] < 0], minlength=BINS) for me in (0, 1)])
 
-    def give(self, rounds: list) -> None:
+    def give(self, rounds: list) -> np.ndarray:
+        """Give the last round's labels; how many documents each view has been given by now."""
         self.has = given(self.x, self.key, rounds)
+        return (self.has >= 0).sum(axis=1)
 
     def sums(self, betas: dict) -> dict:
         return {v: sums(self.x[v][self.has[v] >= 0], self.has[v][self.has[v] >= 0] % 2, 1.0, b) for v, b in betas.items()}
@@ -206,7 +219,7 @@ class Spread:
     COLUMNS = "key long, ti binary, tv binary, mi binary"
 
     def __init__(self, table: DataFrame):
-        self.table, self.n, self.chosen = table.select("key", "ti", "tv", "mi"), table.count(), []
+        self.table, self.n, self.chosen, self.given = table.select("key", "ti", "tv", "mi"), table.count(), [], np.zeros(2, dtype=np.int64)
 
     def __len__(self) -> int:
         return self.n
@@ -227,7 +240,7 @@ class Spread:
             out[r[0], r[1]] = r[2]
         return out
 
-    def give(self, rounds: list) -> None:
+    def give(self, rounds: list) -> np.ndarray:
         def run(batches):
             for batch in batches:
                 has = given(dense(batch), batch.column("key").to_numpy(), rounds)
@@ -237,6 +250,8 @@ class Spread:
                 yield rows.filter(some)
 
         self.chosen.append(materialize(self.table.mapInArrow(run, f"{self.COLUMNS}, y0 long, y1 long")))
+        self.given = self.given + np.array(self.chosen[-1].agg(F.count_if(F.col("y0") >= 0), F.count_if(F.col("y1") >= 0)).first())
+        return self.given
 
     def sums(self, betas: dict) -> dict:
         def run(batches):
@@ -269,14 +284,14 @@ def fit(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pool: H
     if pool is None:
         free = np.flatnonzero(y < 0)
         pool = Held(xt[free], xm[free], np.arange(len(free)) * 2**31 // max(1, len(free)))
-    weight = GIVEN * min(1.0, (y >= 0).sum() / max(1, len(pool)))
+    weight, test = np.zeros(2), (y >= 0) & held
     label, share = y[known].astype(float), y[known].mean()
 
     def total(betas: dict, more: bool = True) -> dict:
         out = {v: sums(x[v][known], label, 1.0, b) for v, b in betas.items()}
         if more:
             for v, (g, h) in pool.sums(betas).items():
-                out[v] = out[v][0] + weight * g, out[v][1] + weight * h
+                out[v] = out[v][0] + weight[v] * g, out[v][1] + weight[v] * h
         return out
 
     betas = newton([np.zeros(xt.shape[1]), np.zeros(xm.shape[1])], lambda b: total(b, False))
@@ -284,9 +299,11 @@ def fit(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, pool: H
     for _ in range(ROUNDS if len(pool) else 0):
         counts = pool.counts(rounds, betas)
         rounds.append((betas, [limits(c, share) if c.any() else None for c in counts]))
-        pool.give(rounds)
+        # what a view has been given weighs as much as GIVEN of the given labels, however many documents that is,
+        # times the skill that its teacher, the other view, shows on the labels held out
+        taught = np.array([skill(x[1 - me][test] @ betas[1 - me], y[test]) for me in (0, 1)])
+        weight = GIVEN * np.minimum(1.0, known.sum() / np.maximum(1, pool.give(rounds))) * taught
         betas = newton(betas, total)
-    test = (y >= 0) & held
     zt, zm, yt = xt[test] @ betas[0], xm[test] @ betas[1], y[test].astype(float)
     one = np.ones(len(yt))
     if len(np.unique(yt)) < 2:
