@@ -4,8 +4,10 @@ A document is its token ids and an end id. One longer than the capacity is cut i
 pieces and a rest; full pieces are sequences of their own. Every other piece goes where
 the sum of the squared counts of open bins per residual gap becomes smallest: into a bin
 with some gap, or into a new bin. Only lengths matter for that, so pieces are dealt out to
-shards of bounded size by a hash and each shard is packed by itself, in order of falling
-length; a shard's open bins are the only loss against one single run.
+shards of bounded size by a hash of what they are, not of where they lie in a file, and each
+shard is packed by itself; a shard's open bins are the only loss against one single run. The
+rule is fed lengths that fall, each nudged up by at most NUDGE at random: in strictly falling
+order pieces of one length follow each other and crowd the same gaps.
 
 Token ids of a word are remembered per worker (the vocabulary treats words between
 boundaries independently), so most of a text is looked up rather than encoded. That path
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import load, materialize, pick, slices
+from palimpsest.llm._common import join_table, load, materialize, pick, slices
 
 CAPACITY = 2048
 #: About as many pieces as are packed together in one task.
 SHARD = 50_000
+#: The greatest part of its length by which a piece may move forward in the order.
+NUDGE = 0.05
 #: Characters of strings whose ids a worker remembers, beyond which it starts anew, and the longest such string.
 REMEMBERED, LONGEST = 4_000_000, 64
 #: Fixed values of the word-level vocabulary: how it parts a lower-case text into words,
@@ -162,27 +166,41 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
+def feed(length: np.ndarray, draw: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    """The order in which pieces are placed: falling length, nudged by their draws."""
+    nudged = length * (1 + NUDGE * (draw.view(np.uint64) >> np.uint64(11)) / 2.0**53)
+    return np.lexsort((uid, draw, -nudged))
+
+
 def _pack_shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        length = table.column("length").to_numpy()
-        order = np.lexsort((table.column("uid").to_numpy(), -length))
+        length, draw, uid = (table.column(c).to_numpy() for c in ("length", "draw", "uid"))
+        order = feed(length, draw, uid)
         bins, offsets = sum_of_squares(length[order], capacity)
         seq, at = np.empty_like(bins), np.empty_like(offsets)
         seq[order], at[order] = bins, offsets
         shard = table.column("shard").to_numpy()
-        table = table.drop_columns(["shard", "uid"])
+        table = table.drop_columns(["shard", "draw", "uid"])
         return table.append_column("sequence_id", pa.array(shard * 2**32 + seq)).append_column("offset", pa.array(at))
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with a length of 1 to capacity) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, most: int = SHARD) -> DataFrame:
+    """pieces (doc_id, piece, ids_crc32 and a length of 1 to capacity) with sequence_id and offset.
+
+    Pieces that differ go the same way however the input is dealt over files. Rows that repeat share a draw; a shard
+    that they swell beyond twice its size is dealt again, by row.
+    """
     pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()))
     full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long")).drop("uid")
-    rest = pieces.where(F.col("length") < capacity)
-    shards = max(1, round(rest.count() / SHARD))
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
+    rest = pieces.where(F.col("length") < capacity).withColumn("draw", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    shards = max(1, round(rest.count() / most))
+    rest = rest.withColumn("shard", F.pmod("draw", F.lit(shards)))
+    crowded = rest.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).alias("cuts")).where("cuts > 2")
+    rest = join_table(rest, crowded, ["shard"], "left")
+    cut = F.pmod(F.xxhash64("uid"), F.coalesce("cuts", F.lit(1)))
+    rest = rest.withColumn("shard", F.col("shard") + shards * cut).drop("cuts")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.drop("uid").schema) + ", sequence_id long, offset long"
     return full.unionByName(rest.groupBy("shard").applyInArrow(_pack_shard(capacity), fields))
 

@@ -1,6 +1,7 @@
 """Operators on small tables: brute force, and the cases that the docstrings define."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -358,6 +359,33 @@ def test_packing(spark, docs):
     assert sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in rows)
 
 
+def test_packing_depends_on_the_pieces_alone(spark):
+    rng = random.Random(5)
+    rows = [(i, 0, rng.randrange(1, 1500), rng.randrange(1 << 32)) for i in range(3000)]
+    schema = "doc_id long, piece int, length long, ids_crc32 long"
+    told = []
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        got = packing.pack(spark.createDataFrame(rows, schema).repartition(parts), most=700).collect()
+        told.append({(r.doc_id, r.sequence_id, r.offset) for r in got})
+    assert told[0] == told[1] and len(told[0]) == 3000
+    # one row, many times over, is dealt out again and stays whole
+    same = spark.createDataFrame([(1, 0, 500, 9)] * 2000 + rows[:100], schema)
+    got = packing.pack(same, most=300)
+    fill = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("d"), F.count("*").alias("k")).collect()
+    assert sum(r.k for r in fill) == 2100 and all(r.n <= 2048 and r.d == r.k for r in fill)
+    assert len({r.sequence_id >> 32 for r in got.collect()}) >= 7
+
+
+def test_packing_order_beats_falling_lengths():
+    rng = np.random.default_rng(5)
+    length = np.clip(rng.lognormal(6.3, 0.9, 20_000), 1, 2047).astype(np.int64)
+    draw = rng.integers(-(1 << 63), (1 << 63) - 1, len(length))
+    made = [int(packing.sum_of_squares(length[o])[0].max()) + 1 for o in (packing.feed(length, draw, np.arange(len(length))), np.argsort(-length, kind="stable"))]
+    least = -(-int(length.sum()) // 2048)
+    assert least <= made[0] <= least * 1.001 and made[0] < made[1]
+
+
 def test_chat_round_trip(spark):
     odd = ["", None, "</turn>", "<turn>", "<\\turn>", "</\\\\turn>\n", "\\### Assistant: </turn> ok", "a\nb", "\\b\\n"]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "user", "assistant", "weird\n<turn>\\n"][: c + 1])]
