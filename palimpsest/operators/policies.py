@@ -2,13 +2,19 @@
 
 Inputs are long tables by key (iid) and read (t): truth (the answer that holds), state (the
 fingerprint of the evidence) and tokens (what a re-derivation costs). Policies whose state is
-a window of the past stay windows; the ones that depend on their own earlier actions fold.
+a window of the past stay windows; the ones that depend on their own earlier actions are chains in
+chunks, or stream through in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palimpsest.operators import groups
 from palimpsest.sources.working import kept
@@ -57,23 +63,21 @@ def ttl_epoch(rows: DataFrame, k: int) -> DataFrame:
     return served_at(rows.withColumn("e", epoch).withColumn("e0", F.lag("e").over(w)), ~F.col("e").eqNullSafe(F.col("e0"))).drop("e", "e0")
 
 
-def ttl_age_reads(rows: DataFrame, k: int) -> DataFrame:
-    """Per key, the reads at which an answer older than k versions is derived anew; its clock restarts
-    at that read. A fold over the key's sorted reads whose result holds only those reads; a key's
-    reads are its version axis."""
-    reads = rows.groupBy("iid").agg(F.sort_array(F.collect_list(F.col("t").cast("long"))).alias("ts"))
-    # of the steps of width k from a due read, the first read in each is due: at most (last - first) / k times
-    step = F.aggregate(
-        "ts",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= k), F.struct(t.alias("last"), F.array_append(a["out"], t).alias("out"))).otherwise(a),
-    )
-    return reads.select("iid", F.explode(step["out"]).alias("t"))
+def ttl_age_reads(rows: DataFrame, k: int, chunk: int = groups.CHUNK) -> DataFrame:
+    """Per key, the reads at which an answer at least k versions old is derived anew; its clock restarts at
+    that read. Each such read follows from the one before: a chain, gone through in chunks of reads, so
+    that no row or task holds a key. Reads without a time are none; several at one time are one."""
+    reads = rows.select("iid", F.col("t").cast("long").alias("t")).where("t is not null").distinct()
+    reads = reads.withColumn("__k", F.xxhash64("iid", F.isnull("iid"))).withColumn("__one", F.lit(1).cast("long"))
+    placed = groups.running(reads, "__k", ["t"], "__one").withColumn("upto", F.col("t"))
+    summed = kept(placed.withColumn("limit", F.col("t") + (k - 1)).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long")))
+    return groups.chained(summed, chunk).groupBy("iid", "group").agg(F.min("t").alias("t")).select("iid", "t")
 
 
 def ttl_age(rows: DataFrame, k: int) -> DataFrame:
-    due = ttl_age_reads(rows, k).withColumn("due", F.lit(True))
-    return served_at(rows.join(due, ["iid", "t"], "left"), F.coalesce("due", F.lit(False))).drop("due")
+    due = ttl_age_reads(rows, k).select(F.col("iid").alias("__iid"), F.col("t").alias("__t"))
+    told = rows.join(due, F.col("iid").eqNullSafe(F.col("__iid")) & (F.col("t") == F.col("__t")), "left")
+    return served_at(told, F.col("__t").isNotNull()).drop("__iid", "__t")
 
 
 def guard(rows: DataFrame, state: str = "state") -> DataFrame:
@@ -90,64 +94,54 @@ def detect(rows: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.when(F.col("state").eqNullSafe(first), "same").when(again, "memo").otherwise("eval"))
 
 
-def _machine(force_after: int, unsure: str):
-    """One step of the verdict-driven machine: (state, read) -> state, whose `out` are the rows so far."""
-    keeps = ["still_valid", "unsure"] if unsure == "fresh" else ["still_valid"]
-
-    def step(a, r):
-        due = (r["t"] - a["since"] >= force_after) if force_after else F.lit(False)
-        action = (
-            F.when(a["since"].isNull(), "derive")
-            .when(due, "forced")
-            .when(r["state"].eqNullSafe(a["anchor"]), "same")
-            .when(F.array_contains(a["memo"], F.coalesce(r["state"], F.lit(""))), "memo")
-            .when(r["verdict"] == "still_valid", "valid")
-            .when((r["verdict"] == "unsure") & F.lit("unsure" in keeps), "unsure_fresh")
-            .when(r["verdict"] == "changed", "repair")
-            .otherwise("rederive")
-        )
-
-        def go(x):
-            anew = x.isin("derive", "forced", "repair", "rederive")
-            asked = x.isin("valid", "unsure_fresh", "repair", "rederive")
-            served = F.when(anew, r["truth"]).otherwise(a["served"])
-            row = F.struct(
-                r["t"].alias("t"),
-                x.alias("action"),
-                served.alias("served"),
-                (~served.eqNullSafe(r["truth"])).alias("wrong"),
-                F.when(asked, F.floor(r["tokens"] / 10)).otherwise(0).cast("long").alias("eval_tok"),
-                F.when(anew, r["tokens"]).otherwise(0).cast("long").alias("der_tok"),
-            )
-            memo = F.when(anew, F.array().cast("array<string>")).when(asked, F.array_append(a["memo"], F.coalesce(r["state"], F.lit("")))).otherwise(a["memo"])
-            return F.struct(
-                served.alias("served"),
-                F.when(anew, r["state"]).otherwise(a["anchor"]).alias("anchor"),
-                F.when(anew, r["t"]).otherwise(a["since"]).alias("since"),
-                memo.alias("memo"),
-                F.array_append(a["out"], row).alias("out"),
-            )
-
-        return F.transform(F.array(action), go)[0]  # binds the action once
-
-    return step
-
-
-#: State of the machine.
-START = "struct<served:string,anchor:string,since:bigint,memo:array<string>,out:array<struct<t:bigint,action:string,served:string,wrong:boolean,eval_tok:bigint,der_tok:bigint>>>"
+def _machine(force_after: int, unsure: str, schema: pa.Schema):
+    """The verdict-driven machine over reads sorted by key and time. What it remembers of a key is the answer served, its
+    evidence and time, and the states judged valid since; nothing of a key's reads is held beyond a batch."""
+    keeps = ("still_valid", "unsure") if unsure == "fresh" else ("still_valid",)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, served, anchor, since, memo = (), None, None, None, set()
+        for batch in batches:
+            out = []
+            for iid, t, truth, state, verdict, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if (iid,) != key:
+                    key, served, anchor, since, memo = (iid,), None, None, None, set()
+                asked = False
+                if since is None:
+                    action = "derive"
+                elif force_after and t is not None and t - since >= force_after:
+                    action = "forced"
+                elif state == anchor:
+                    action = "same"
+                elif (state or "") in memo:
+                    action = "memo"
+                else:
+                    asked = True
+                    action = ("valid" if verdict == "still_valid" else "unsure_fresh") if verdict in keeps else "repair" if verdict == "changed" else "rederive"
+                if anew := action in ("derive", "forced", "repair", "rederive"):
+                    served, anchor, since, memo = truth, state, t, set()
+                elif asked:
+                    memo.add(state or "")
+                told = None if tokens is None else tokens // 10
+                out.append((iid, t, action, served, served != truth, told if asked else 0, tokens if anew else 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
 
 
 def verdict_driven(rows: DataFrame, force_after: int = 0, unsure: str = "rederive") -> DataFrame:
     """The evidence-state policy: equal evidence serves the stored answer; a new state asks for a verdict,
     remembers a valid one, and repairs or derives anew otherwise, which re-anchors the evidence.
 
-    Its query set depends on its own actions, so it is a fold over a key's reads in order, which are
-    its version axis, bounded by the number of snapshots. It stays in the JVM.
+    Its query set depends on its own actions, so a key's reads are gone through in order: they are sorted by
+    Spark and stream through a worker in batches, in time proportional to their number. Reads of one
+    time are ordered by their other columns; a null verdict derives anew; a null state equals a null state.
     """
-    reads = F.sort_array(F.collect_list(F.struct(F.col("t").cast("long").alias("t"), "truth", "state", "verdict", F.col("tokens").cast("long").alias("tokens"))))
-    start = F.from_json(F.lit('{"memo": [], "out": []}'), START)
-    done = rows.groupBy("iid").agg(reads.alias("reads")).select("iid", F.aggregate("reads", start, _machine(force_after, unsure), lambda a: a["out"]).alias("out"))
-    return done.select("iid", F.inline("out"))
+    columns = ["iid", F.col("t").cast("long").alias("t"), F.col("truth").cast("string").alias("truth"), F.col("state").cast("string").alias("state"), F.col("verdict").cast("string").alias("verdict"), F.col("tokens").cast("long").alias("tokens")]
+    reads = rows.select(*columns).repartition("iid").sortWithinPartitions("iid", "t", "truth", "state", "verdict", "tokens")
+    kind = StructType([rows.schema["iid"], *StructType.fromDDL("t long, action string, served string, wrong boolean, eval_tok long, der_tok long")])
+    return reads.mapInArrow(_machine(force_after, unsure, to_arrow_schema(kind)), kind)
 
 
 def at_times(rows: DataFrame, times: list[int], t: str = "t") -> DataFrame:

@@ -178,6 +178,48 @@ def test_verdict_machine_against_a_loop(spark):
     assert rows(policies.verdict_driven(df, force_after=12)) == sorted(want, key=str)
 
 
+def test_verdict_machine_with_nulls_ties_and_batches(spark):
+    data = [(None, 1, "a", None, 9, None), (None, 2, "b", None, 9, "changed"), (None, 3, "c", "s", None, None), (1, 1, None, "s", 10, None), (1, 1, "x", "s2", 25, "unsure"), (1, 2, "x", "s2", 25, "changed"), (1, 3, "y", "s3", 25, "unsure")]
+    df = spark.createDataFrame(data, "iid long, t long, truth string, state string, tokens long, verdict string")
+    got = [tuple(r) for r in policies.verdict_driven(df, unsure="fresh").orderBy("iid", "t", "action").collect()]
+    assert got == [
+        (None, 1, "derive", "a", False, 0, 9),
+        (None, 2, "same", "a", True, 0, 0),
+        (None, 3, "rederive", "c", False, None, None),
+        (1, 1, "derive", None, False, 0, 10),
+        (1, 1, "unsure_fresh", None, True, 2, 0),
+        (1, 2, "memo", None, True, 0, 0),
+        (1, 3, "unsure_fresh", None, True, 2, 0),
+    ]
+    assert policies.verdict_driven(df.where("false")).count() == 0
+    # a key is carried over from batch to batch
+    _, many = reads(spark)
+    whole = rows(policies.verdict_driven(many, force_after=12))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert rows(policies.verdict_driven(many, force_after=12)) == whole
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_expiry_by_age_over_sparse_reads_against_a_loop(spark):
+    rng = random.Random(8)
+    data = [(i, t, f"v{t}") for i in (None, 1, 2) for t in sorted(rng.sample(range(500), 60))]
+    df = spark.createDataFrame(data, "iid long, t long, truth string")
+    for k in (1, 7, 90):
+        want, last = set(), {}
+        for i, t, _ in data:
+            if i not in last or t - last[i] >= k:
+                last[i] = t
+                want.add((i, t))
+        assert {tuple(r) for r in policies.ttl_age_reads(df.unionAll(df), k, chunk=5).collect()} == want
+        got = policies.ttl_age(df, k).collect()
+        assert {(r.iid, r.t) for r in got if r.derived} == want and len(got) == len(data)
+    assert policies.ttl_age(df.where("false"), 3).count() == 0
+
+
 def test_replay_never_serves_a_changed_state(spark):
     _, df = reads(spark)
     got = policies.guard(df.withColumn("truth", F.col("state")))
