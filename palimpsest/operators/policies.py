@@ -2,14 +2,15 @@
 
 Inputs are long tables by key (iid) and read (t): truth (the answer that holds), state (the
 fingerprint of the evidence) and tokens (what a re-derivation costs). Policies whose state is
-a window of the past stay windows; the ones that depend on their own earlier actions are chains in
-chunks, or stream through in order.
+a window of the past stay windows; the ones that depend on their own earlier actions stream
+through in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,15 +64,36 @@ def ttl_epoch(rows: DataFrame, k: int) -> DataFrame:
     return served_at(rows.withColumn("e", epoch).withColumn("e0", F.lag("e").over(w)), ~F.col("e").eqNullSafe(F.col("e0"))).drop("e", "e0")
 
 
-def ttl_age_reads(rows: DataFrame, k: int, chunk: int = groups.CHUNK) -> DataFrame:
+def _expiries(k: int):
+    """Of reads sorted by key and time, those that derive; a key's clock is carried from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, due = (), 0
+        for batch in batches:
+            t = batch.column("t").to_numpy()
+            codes = batch.column("iid").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(t)]
+            found = []
+            for at, end in zip(cuts, cuts[1:]):
+                if at == end:
+                    continue
+                iid = batch.column("iid")[at].as_py()
+                if (iid,) != key:
+                    key, due = (iid,), int(t[at])
+                while (at := at + int(np.searchsorted(t[at:end], due))) < end:
+                    found.append(at)
+                    due = int(t[at]) + k
+            yield batch.take(pa.array(found, pa.int64()))
+
+    return run
+
+
+def ttl_age_reads(rows: DataFrame, k: int) -> DataFrame:
     """Per key, the reads at which an answer at least k versions old is derived anew; its clock restarts at
-    that read. Each such read follows from the one before: a chain, gone through in chunks of reads, so
-    that no row or task holds a key. Reads without a time are none; several at one time are one."""
-    reads = rows.select("iid", F.col("t").cast("long").alias("t")).where("t is not null").distinct()
-    reads = reads.withColumn("__k", F.xxhash64("iid", F.isnull("iid"))).withColumn("__one", F.lit(1).cast("long"))
-    placed = groups.running(reads, "__k", ["t"], "__one").withColumn("upto", F.col("t"))
-    summed = kept(placed.withColumn("limit", F.col("t") + (k - 1)).withColumn("chunk", F.floor(F.col("place") / chunk).cast("long")))
-    return groups.chained(summed, chunk).groupBy("iid", "group").agg(F.min("t").alias("t")).select("iid", "t")
+    that read. Sorted reads stream through in batches, and each due read is searched for from the one
+    before, so nothing holds a key. Reads without a time are none; several at one time are one."""
+    reads = rows.select("iid", F.col("t").cast("long").alias("t")).where("t is not null").repartition("iid").sortWithinPartitions("iid", "t")
+    return reads.mapInArrow(_expiries(k), reads.schema)
 
 
 def ttl_age(rows: DataFrame, k: int) -> DataFrame:

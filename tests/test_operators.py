@@ -214,7 +214,7 @@ def test_expiry_by_age_over_sparse_reads_against_a_loop(spark):
             if i not in last or t - last[i] >= k:
                 last[i] = t
                 want.add((i, t))
-        assert {tuple(r) for r in policies.ttl_age_reads(df.unionAll(df), k, chunk=5).collect()} == want
+        assert {tuple(r) for r in policies.ttl_age_reads(df.unionAll(df), k).collect()} == want
         got = policies.ttl_age(df, k).collect()
         assert {(r.iid, r.t) for r in got if r.derived} == want and len(got) == len(data)
     assert policies.ttl_age(df.where("false"), 3).count() == 0
