@@ -1,14 +1,16 @@
 """Personal data: detection and surrogate generation.
 
 Detected entities (e-mail addresses, phone and card numbers, IBANs, social security numbers,
-IP addresses, credentials, names after a title or beginning with a common given name) give
+IP addresses of both versions, credentials, names after a title or "my name is" or beginning with a
+common given name) give
 way to keyed surrogates of the same type and format: digits stay digits, letters keep their
 case and script, separators and fixed parts (country code, key prefix, the form of an
 address) stay, card numbers pass the Luhn check as before, given names keep the gender that
 their title or the list of given names tells.
 
 A name is replaced word by word, so "Mr Paul Smith", "Mr Smith" and, later in the same text,
-"Smith" or "Paul" alone get the same words. A number of the North American plan is the same
+"Smith" or "Paul" alone get the same words, unless what stands beside them tells a thing: an article
+before, a number or a capitalised word that is in no name of the text behind. A number of the North American plan is the same
 with and without its country code. The surrogate depends on the key, the type and the
 canonical form alone, so every mention in the corpus gets the same one (coreference).
 
@@ -47,7 +49,8 @@ WIDER = 8
 TITLES = {
     "Mr": "m", "Mr.": "m", "Herr": "m", "Sr.": "m", "Señor": "m", "M.": "m", "Monsieur": "m", "Don": "m", "Signor": "m", "Господин": "m",
     "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Mlle": "f", "Sra.": "f", "Señora": "f", "Doña": "f", "Signora": "f", "Госпожа": "f",
-    "Dr.": "", "Prof.": "",
+    "Dr.": "", "Prof.": "", "MR.": "m", "MRS.": "f", "MS.": "f", "DR.": "", "PROF.": "",
+    "My name is": "", "my name is": "", "Ich heiße": "", "ich heiße": "", "Me llamo": "", "me llamo": "", "Je m'appelle": "", "je m'appelle": "", "Mi chiamo": "", "mi chiamo": "",
 }
 GIVEN = {
     "f": "Anna Maria Julia Clara Emma Laura Sofia Elena Nora Alice Helen Irene Lucia Paula Marta Celia Greta Ingrid Odette Yvonne".split(),
@@ -67,17 +70,21 @@ def _marks() -> str:
 _LOW = rf"(?:[^\W\d_A-Z]|[{_marks()}])"
 _NAME = rf"[^\W\d_a-z]{_LOW}+(?:-[^\W\d_a-z]{_LOW}+)?"
 _TITLE = "(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\s+"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Words before a capitalised word that tell a thing rather than a person (fixed values).
+ARTICLES = frozenset("the a an der die das den dem ein eine el los las un una le les une il lo gli".split())
 #: Types with their patterns, in order of precedence; the group e is the entity where there is one.
 TYPES = (
     ("email", r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?(?P<e>(?=[+/_=.~-]*[A-Za-z0-9])[A-Za-z0-9+/_=.~-]{8,})"),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9-]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\b(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("ipv6", rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])"),
     ("ip", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"),
     ("phone", r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}(?!\w)|(?<![\w.(])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
-    ("name", rf"(?<!\w){_TITLE}{_NAME}(?: {_NAME}){{0,2}}|(?<!\w)(?:{'|'.join(sorted(GENDER))})(?: {_NAME}){{1,2}}"),
+    ("name", rf"(?<!\w){_TITLE}{_NAME}(?: {_NAME}){{0,2}}|(?<!\w)(?:MRS?|MS|DR|PROF)\.\s+[A-Z]{{2,}}(?!\w)|(?<!\w)(?:{'|'.join(sorted(GENDER))})(?: {_NAME}){{1,2}}"),
 )
 _PATTERNS = [(kind, re.compile(p)) for kind, p in TYPES]
 _TITLED = re.compile(_TITLE)
@@ -86,6 +93,7 @@ _WORD = re.compile(_NAME)
 _DIGIT = re.compile(r"\d")
 _HINTS = {
     "email": re.compile("@"),
+    "ipv6": re.compile(":"),
     "secret": re.compile(r"(?i:password|passwd|pwd|secret|token|key)"),
     **{kind: _DIGIT for kind in ("iban", "ip", "ssn", "card", "phone")},
     "name": re.compile("|".join(map(re.escape, [*TITLES, *GENDER]))),
@@ -129,7 +137,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 def mentions(text: str) -> list[tuple[int, int, str, list[Unit]]]:
     """Spans with their units: what is replaced, by type and canonical form. Words of a name that is
-    found count as mentions wherever else they stand as a word of the text."""
+    found count as mentions wherever else they stand as a word of the text and nothing beside them
+    tells a thing (see _person)."""
     found = [(a, b, kind, units(kind, text[a:b])) for a, b, kind in _found_spans(text)]
     known = {u[1]: u for _, _, kind, us in sorted(found) if kind == "name" for u in us if len(u[1]) > 1}
     if known:
@@ -138,7 +147,7 @@ def mentions(text: str) -> list[tuple[int, int, str, list[Unit]]]:
         for m in _WORD.finditer(text):
             while i < len(busy) and busy[i][1] <= m.start():
                 i += 1
-            if m[0] in known and (i == len(busy) or m.end() <= busy[i][0]) and _alone(text, *m.span()):
+            if m[0] in known and (i == len(busy) or m.end() <= busy[i][0]) and _alone(text, *m.span()) and _person(text, *m.span(), known):
                 found.append((*m.span(), "name", [known[m[0]]]))
     return sorted(found)
 
@@ -148,6 +157,16 @@ def _alone(text: str, a: int, b: int) -> bool:
     return not (a and (text[a - 1].isalnum() or text[a - 1] == "_")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
 
 
+_BEFORE, _AFTER = re.compile(r"(\w+) $"), re.compile(rf" (?:\d|({_NAME})(?!\w))")
+
+
+def _person(text: str, a: int, b: int, known: dict[str, Unit]) -> bool:
+    """Whether a name's word at text[a:b] may stand for its person: not after an article ("the White House"), nor before
+    a number ("May 2020") or a capitalised word that is in no name of the text ("Ford Museum")."""
+    before, after = _BEFORE.search(text, max(0, a - 16), a), _AFTER.match(text, b)
+    return not (before and before[1].lower() in ARTICLES) and not (after and (after[1] is None or after[1] not in known))
+
+
 def units(kind: str, entity: str) -> list[Unit]:
     """The words of a name, each with its part in it and, for a given name, the gender; else the entity itself."""
     if kind != "name":
@@ -166,7 +185,7 @@ def canonical(kind: str, entity: str) -> str:
         return digits[1:] if entity[0] == "+" and len(digits) == 11 and digits[0] == "1" else digits
     if kind in ("card", "ssn", "iban"):
         return "".join(c for c in entity if c.isalnum())
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return entity.lower()
     return entity
 
@@ -248,6 +267,9 @@ def form(kind: str, canon: str, key: bytes, attempt: int) -> str:
     digit = lambda _: str(s.below(10))
     if kind == "ip":  # addresses that can't exist once the others run short
         return ".".join(str(256 + s.below(744) if more else 1 + s.below(254)) for _ in range(4))
+    if kind == "ipv6":  # groups of five digits, which no address has, once the others run short
+        out = "".join("0123456789abcdef"[s.below(16)] if c != ":" else c for c in canon)
+        return re.sub("^0", "1", out) + ("" if not more else "".join("0123456789abcdef"[s.below(16)] for _ in range(4 + more)))
     if kind == "card":
         digits = [canon[0], *map(digit, canon[1:]), *map(digit, range(more))]
         if _luhn(canon):
@@ -292,7 +314,7 @@ def dress(kind: str, entity: str, surrogate: str) -> str:
         whole = "".join(c for c in entity if c.isalnum())
         it = iter(whole[: len(whole) - len(canonical(kind, entity))] + surrogate)  # a country code stays
         return "".join(next(it) if c.isalnum() else c for c in entity) + "".join(it)
-    if kind == "email":
+    if kind in ("email", "ipv6"):
         return surrogate.upper() if entity.isupper() else surrogate
     if kind == "name":
         title = _TITLED.match(entity)

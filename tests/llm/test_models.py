@@ -258,3 +258,27 @@ def test_cotraining_learns_from_either_view():
     model = quality.fit(xt, xm, y, held)
     p = model.combine(xt @ model.text, xm @ model.meta)[2]
     assert np.mean((p >= 0.5) == good) > 0.85
+
+
+def _names(text):
+    return [text[a:b] for a, b, kind in pii.detect(text) if kind == "name"]
+
+
+def test_words_of_names_that_tell_things_stay():
+    assert _names("Mr White visited the White House. White was late, and Mr White said so.") == ["Mr White", "White", "Mr White"]
+    assert _names("Dr. May met us in May 2020, and May agreed.") == ["Dr. May", "May"]
+    assert _names("Mr Ford likes Ford Museum tours; Ford, too.") == ["Mr Ford", "Ford"]
+    assert _names("Mr Paul Smith came. Paul Smith left. Smith's car. Then Paul") == ["Mr Paul Smith", "Paul Smith", "Smith", "Paul"]
+
+
+def test_further_forms_of_names_and_addresses():
+    assert _names("My name is John Smith. I saw DR. SMITH HERE.") == ["My name is John Smith", "DR. SMITH"]
+    assert pii.units("name", "My name is John Smith") == [("given", "John"), ("surname", "Smith")]
+    found = "2001:db8::ff00:42:8329 and FE80::1, 2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    assert [found[a:b] for a, b, kind in pii.detect(found) if kind == "ipv6"] == ["2001:db8::ff00:42:8329", "FE80::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
+    for text in ("std::vector abc::def a::b", "12:30:45", "at 10:20", "00:1b:44:11:3a:b7", "x::1", "::", "key: value"):
+        assert not [x for x in pii.detect(text) if x[2] == "ipv6"], text
+    sur = pii.form("ipv6", "2001:db8::ff00:42:8329", pii.KEY, 0)
+    assert [len(x) for x in sur.split(":")] == [4, 3, 0, 4, 2, 4] and sur != "2001:db8::ff00:42:8329"
+    assert pii.dress("ipv6", "FE80::1", "abc1::2") == "ABC1::2"
+    assert len({pii.form("ipv6", "fe80::1", pii.KEY, 8 * i) for i in range(5)}) == 5
