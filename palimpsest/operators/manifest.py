@@ -153,8 +153,9 @@ def bootstrap_versions(docs: DataFrame, start) -> DataFrame:
 
 def real_only(log: DataFrame) -> DataFrame:
     """A log (path, idx, sha, synthetic) without its synthetic events: earlier puts of a path get the last
-    synthetic content, and numbers stay as they are."""
-    final = log.where("synthetic").groupBy("path").agg(F.max_by("sha", "idx").alias("final"), F.max("idx").alias("upto"))
+    synthetic content, which a later synthetic removal has none of, and numbers stay as they are."""
+    put = F.when(F.col("sha").isNotNull(), F.col("idx"))
+    final = log.where("synthetic").groupBy("path").agg(F.max_by("sha", put).alias("final"), F.max("idx").alias("upto"))
     rows = log.where("not synthetic").join(final, "path", "left")
     sha = F.when((F.col("idx") < F.col("upto")) & F.col("sha").isNotNull(), F.col("final")).otherwise(F.col("sha"))
     return rows.select("path", "idx", sha.alias("sha"))

@@ -40,7 +40,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     month's count divides by 7."""
     n = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     path = F.concat(F.lit("orders/p"), F.substring("o_orderpriority", 1, 1), F.lit("/part.parquet"))
-    idx = F.dense_rank().over(Window.orderBy("month")) - 1  # months are few
+    idx = F.dense_rank().over(Window.orderBy(F.col("month").asc_nulls_last())) - 1  # months are few
     sha = F.when(F.col("n") % 7 != 0, F.md5(F.concat_ws(":", path, "month", F.col("n").cast("string"))))
     return n.select(path.alias("path"), idx.cast("long").alias("idx"), sha.alias("sha"), "month", "n")
 

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from palimpsest.plans import base, streams  # noqa: F401
+from palimpsest.plans import base, series, streams  # noqa: F401
 from tests.test_queries import shown
 
 
@@ -26,3 +26,12 @@ def test_configurations_round_times_to_seconds(spark, tmp_path):
     n = len(ts)
     events = pa.table({"event_id": range(n), "ts": pa.array(ts, pa.timestamp("us")), "user_id": [i % 2 for i in range(n)], "event_type": ["signup" if i % 7 == 0 else "view" for i in range(n)], "value": [1.5 * i for i in range(n)], "props": ["{}"] * n})
     assert same(spark, tmp_path, "configurations_in_one_pass", events=events)
+
+
+def test_real_only_log_with_a_removal_in_the_last_december(spark, tmp_path):
+    # orders a month: a put, a put in December, and a December of 7 orders, which is a removal
+    months = ["1996-11"] * 3 + ["1996-12"] * 4 + ["1997-05"] * 5 + ["1997-12"] * 7 + ["1998-01"] * 2
+    dates = pa.array([f"{m}-0{1 + i % 9}" for i, m in enumerate(months)]).cast(pa.date32()).cast(pa.timestamp("us"))
+    dates = pa.concat_arrays([dates, pa.array([None], dates.type)])
+    orders = pa.table({"o_orderkey": range(len(dates)), "o_orderdate": dates, "o_orderpriority": ["1-URGENT"] * len(dates)})
+    assert same(spark, tmp_path, "real_only_log", orders=orders)
