@@ -1,4 +1,4 @@
-"""Scalar functions over columns; all stay in the JVM."""
+"""Scalar functions over columns; all stay in the JVM but for texts of doubles and values of INI and TOML texts."""
 
 from __future__ import annotations
 
@@ -185,14 +185,14 @@ def rate_distance(a: Column, b: Column) -> Column:
     return F.abs(F.ln(a / b))
 
 
+def _float_text(x: pd.Series) -> pd.Series:
+    return x.map("{:.10g}".format)
+
+
 def float_text(x: Column) -> Column:
-    """A double as text with ten significant digits and no zeros at the end; with an exponent below 1e-4 and from 1e10 on."""
-    digits = F.format_string("%.9e", x)
-    mantissa, exponent = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1)
-    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    fixed = bare(digits.cast("decimal(38,18)").cast("string"))
-    inside = exponent.cast("int").between(-4, 9) | (x == 0)
-    return F.when(F.isnan(x) | F.isnan(x - x), x.cast("string")).when(inside, fixed).otherwise(F.concat(bare(mantissa), F.lit("e"), exponent))
+    """A double as text with ten significant digits, rounded from its exact value, and no zeros at the end; with an exponent
+    below 1e-4 and from 1e10 on. A null stays null; the sign of -0 stays."""
+    return F.when(x.isNotNull(), F.pandas_udf(_float_text, "string")(x))
 
 
 #: Top-level folders that hold no source of a package.

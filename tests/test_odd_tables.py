@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from palimpsest.plans import base, series, streams  # noqa: F401
+from palimpsest.plans import analysis, base, series, streams  # noqa: F401
 from tests.test_queries import shown
 
 
@@ -35,3 +35,10 @@ def test_real_only_log_with_a_removal_in_the_last_december(spark, tmp_path):
     dates = pa.concat_arrays([dates, pa.array([None], dates.type)])
     orders = pa.table({"o_orderkey": range(len(dates)), "o_orderdate": dates, "o_orderpriority": ["1-URGENT"] * len(dates)})
     assert same(spark, tmp_path, "real_only_log", orders=orders)
+
+
+def test_float_texts_of_odd_balances(spark, tmp_path):
+    # no balance, one below zero that rounds to -0, and eleven digits: ties go to the even digit of the exact value
+    balances = [None, -0.0, 0.0, -999.85, 123456789.25, 1234567890.5, 1000000.0005, 0.5 / 3, float("inf"), -float("inf"), float("nan"), 5e-324]
+    customer = pa.table({"c_custkey": range(len(balances)), "c_acctbal": pa.array(balances, pa.float64())})
+    assert same(spark, tmp_path, "float_texts", customer=customer)
