@@ -17,7 +17,8 @@ characters that both words begin with.
 
 Each shard sends one row per word (its near words there, counted, and the best of them). A word's
 form is its near word of largest count, if that is ``RATIO`` times its own; counts grow from form to
-form, so following forms ends after a few joins.
+form, so following forms ends after a few joins. Joins by word are shuffled by it: none of their tables,
+which grow with the vocabulary, is sent to the driver for being just short enough.
 
 Defined cases: a null text has no words; a null doc_id is an empty text where a damaged run is told;
 repeated rows count as often as they are there; words are compared by code points; an empty table
@@ -197,7 +198,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = forms.select(F.col("word").alias("root"), F.col("form").alias("next"))
     open_, done = forms.select("word", F.col("form").alias("root")), []
     while True:
-        moved = materialize(join_table(open_, step, ["root"], "left"))
+        moved = materialize(open_.join(step, "root", "left"))  # step has one row per word; Spark splits a root of many words
         done.append(moved.where("next is null").select("word", "root"))
         open_ = moved.where("next is not null").select("word", F.col("next").alias("root"))
         if open_.isEmpty():
@@ -212,12 +213,13 @@ def variants(vocabulary: DataFrame, shard: int = SHARD) -> DataFrame:
     """words (word, n) to word, n, n_near, form, form_n and root."""
     with scratch(vocabulary.sparkSession) as keep:
         own = materialize(vocabulary)
-        near_ = materialize(near_words(own, shard))  # read twice: its size is looked at before the join
-        close = materialize(join_table(own, near_, ["word"], "left"))
+        near_ = near_words(own, shard)
+        # a word is one row in each of these tables, so the joins need no salt
+        close = materialize(own.join(near_, "word", "left"))
         is_form = F.col("best_n") >= RATIO * F.col("n")
         told = close.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n"))
         ends = roots(told.where("form is not null").select("word", "form"))
-        return keep(materialize(join_table(told, ends, ["word"], "left").withColumn("root", F.coalesce("root", "word"))))
+        return keep(materialize(told.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

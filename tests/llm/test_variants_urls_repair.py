@@ -53,6 +53,19 @@ def test_variants_are_those_of_all_pairs(spark, shard):
     assert len(written() - before) == 1  # only the result
 
 
+def test_tables_of_words_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, write = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = spelling.variants(spark.createDataFrame([("abcdef", 50), ("abcdeg", 9), ("abcdeh", 1), ("unlike", 5)], "word string, n long"))
+        assert {(r.word, r.form, r.root) for r in got.collect()} == {("abcdef", None, "abcdef"), ("abcdeg", "abcdef", "abcdef"), ("abcdeh", "abcdef", "abcdef"), ("unlike", None, "unlike")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_pairs_of_a_shard_meet_once():
     rng = random.Random(5)
     for short in range(4):
