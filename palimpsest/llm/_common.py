@@ -9,14 +9,17 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Most rows of a table that may be broadcast, and most bytes of its strings, arrays and binary
-#: values; both are checked first.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
+#: values; both are checked first. The driver holds each such table more than once, and several at a time.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8_000_000
 
 #: Rows that go to a Python worker at once; texts may be long.
 BATCH_ROWS = 1000
@@ -121,17 +124,25 @@ def release(*tables: DataFrame) -> None:
         delete(t.sparkSession, [t.palimpsest_path])
 
 
-def small(table: DataFrame) -> bool:
-    """Whether a table may be broadcast: its rows, and the bytes of its columns of varying length, are few."""
-    size = F.lit(0).cast("long")
-    for f in table.schema:
-        kind = f.dataType.typeName()
-        if kind in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
-        elif kind in ("array", "map"):
-            size = size + 8 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
-    n, held = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    return n <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES
+def _held(value: Column, kind: DataType) -> Column:
+    """Bytes of a value of varying length, in structs as well; others count nothing."""
+    name = kind.typeName()
+    if name in ("string", "binary"):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if name in ("array", "map"):
+        return F.coalesce(8 * F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("long")
+    if name == "struct":
+        return reduce(add, [_held(value.getField(f.name), f.dataType) for f in kind], F.lit(0).cast("long"))
+    return F.lit(0).cast("long")
+
+
+def small(table: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table may be broadcast: its rows (BROADCAST_ROWS at most, or as told), and the bytes of
+    its columns of varying length, are few."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    size = reduce(add, [_held(F.col(f"`{f.name}`"), f.dataType) for f in table.schema], F.lit(0).cast("long"))
+    n, held = table.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= rows and (held or 0) <= BROADCAST_BYTES
 
 
 def join_table(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32, known_small: bool | None = None) -> DataFrame:

@@ -341,7 +341,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_least(edges: DataFrame, few: bool) -> DataFrame:
     """edges with m, the least b of each a; the centre of a large star may hold most of the edges."""
-    return join_table(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"], known_small=True if few else None)
+    return join_table(edges, edges.groupBy("a").agg(F.min("b").alias("m")), ["a"], known_small=few)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long").distinct())
     n = edges.count()
     while True:
-        few = 2 * n <= BROADCAST_ROWS  # no round has more ends than twice its edges: two numbers each
+        few = 2 * n <= BROADCAST_ROWS  # no round has more ends than twice its edges; beyond that nothing goes to the driver
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, few).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = large.where("a <> b").distinct()
@@ -483,12 +483,10 @@ def near_links(documents: DataFrame) -> DataFrame:
         groups = components(edges).withColumnRenamed("id", "cid").join(texts, "cid")
         groups = materialize(groups)
         release(full, edges)
-        wanted = groups.select("text_id").distinct()
-        wanted = F.broadcast(wanted) if small(wanted) else wanted
-        # a class without any doc_id: all rows without one are read again, and needn't meet
-        again = docs.join(wanted.where("text_id is not null"), docs["doc_id"] == F.col("text_id"), "left_semi").select("text")
-        if wanted.where("text_id is null").limit(1).count():
-            again = again.union(docs.where("doc_id is null").select("text"))
+        # by hash, one number each: what else it reads again (all rows without doc_id, for a class without any) meets no class below
+        wanted = groups.select(F.xxhash64("text_id").alias("wanted")).distinct()
+        wanted = F.broadcast(wanted) if small(wanted, 4 * BROADCAST_ROWS) else wanted.hint("merge")
+        again = docs.join(wanted, F.xxhash64(docs["doc_id"]) == F.col("wanted"), "left_semi").select("text")
         sets = again.mapInArrow(_sets, "class binary, grams binary, size long").groupBy("class").agg(F.first("grams").alias("grams"), F.first("size").alias("size"))
         sets = materialize(sets.join(groups.select("class", "cid", "component"), "class").select("cid", "component", "size", "grams"))
         tasks = _tasks(sets.select("cid", "component", F.col("size").alias("grams"))).join(sets.select("cid", "grams"), "cid")

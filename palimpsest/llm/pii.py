@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import BROADCAST_ROWS, load, materialize, pick, release, slices
+from palimpsest.llm._common import load, materialize, pick, release, slices
 
 KEY = b"palimpsest surrogate key"
 #: Attempts after which a surrogate may be one character longer.
@@ -420,7 +420,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64() if i == 0 else pa.string()) for i in range(3)], names=["row", "kind", "canon"])
 
 
-def replace_entities(documents: DataFrame, key: bytes = KEY, make: Callable = form, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def replace_entities(documents: DataFrame, key: bytes = KEY, make: Callable = form, broadcast_rows: int = 200_000) -> DataFrame:
     """documents (doc_id, text) to doc_id, text (with surrogates), n_entities, entities (kind, start and
     end in the original text, surrogate)."""
     table = surrogate_table(documents, key, make)

@@ -5,7 +5,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, html_text, pii, quality, topk
+import corpus_pipeline
+from palimpsest.llm import chat, html_text, near_join, pii, quality, topk
 from palimpsest.llm._common import join_table, materialize, release, scratch, small, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ti string, key long"
@@ -43,6 +44,42 @@ def test_only_small_tables_are_broadcast(spark):
     assert not small(spark.range(300_000))
 
 
+def test_tables_of_many_rows_or_long_texts_in_structs_are_not_broadcast(spark):
+    assert small(spark.range(40_000)) and not small(spark.range(100_000)) and small(spark.range(100_000), 100_000)
+    long = F.struct(F.lit(1).alias("n"), F.struct(F.repeat(F.lit("x"), F.lit(1_000_000)).alias("s")).alias("in"))
+    assert not small(spark.range(40).select(long.alias("key")))
+
+
+def test_components_of_many_edges_send_none_to_the_driver(spark, monkeypatch):
+    seen, join = [], near_join.join_table
+    monkeypatch.setattr(near_join, "join_table", lambda *a, known_small=None, **b: seen.append(known_small) or join(*a, known_small=known_small, **b))
+    edges = spark.range(30_000).select((10 * F.col("id") + 1).alias("a"), (10 * F.col("id")).alias("b"))
+    edges = edges.union(edges.select((F.col("a") + 1).alias("a"), "a"))
+    got = near_join.components(edges)
+    assert seen and not any(x is not False for x in seen)
+    assert got.count() == 90_000 and got.where(F.col("component") != F.col("id") - F.col("id") % 10).count() == 0
+
+
+def test_long_lists_of_dropped_rows_are_not_broadcast(spark, tmp_path):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = corpus_pipeline._numbered(spark.read.parquet(f"{tmp_path}/d"))
+    with scratch(spark):
+        dropped = materialize(docs.where("doc_id > 1").select("row"))
+        out = corpus_pipeline._without(docs, dropped)
+        assert sorted(r.doc_id for r in out.collect()) == [0, 1]
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_links_of_rows_without_doc_id(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i}" for i in range(60))
+    rows = [(None, text), (None, text + " end"), (None, other), (4, other), (5, text + " more"), (6, "quite another one")]
+    got = near_join.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # null is no doc_id: the least of those there are names a class
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_links) for r in got) == [(-1, 4, 0), (-1, 5, 2), (-1, 5, 2), (4, 4, 0), (5, 5, 2), (6, 6, 0)]
+
+
 @pytest.mark.parametrize("known_small", [True, False])
 def test_join_table_is_null_safe(spark, known_small):
     rows = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)] * 3, "k string, v int")
